@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.plans import retrieval  # noqa: F401  each module enters its queries
+from tessera.plans.registry import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
