@@ -125,7 +125,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, gap: int = 3, co
 
     start = F.when(F.col("phrase"), F.col("first"))
     results = materialize(
-        spans(hits(docs, phrases, templates), gap, coverage)
+        spans(materialize(hits(docs, phrases, templates), "hits"), gap, coverage)
         .groupBy("doc_id", "th")
         .agg(
             F.count_if("phrase").alias("n_base"), F.min(start).cast("long").alias("first_word"), F.max(start).cast("long").alias("last_word"),
