@@ -2,8 +2,8 @@
 
 Items and documents are sequences of lower-cased words. For each item size the
 windows of that many words slide over a document one word at a time. A window
-that holds no five-word shingle of any item has similarity 0 with all of them
-and is passed over. The others get a 64-bit weighted SimHash. Items of the same
+less than `least` of whose weight is in five-word shingles of items of its size can't reach
+the similarity `least` with any of them and is passed over. The others get a 64-bit weighted SimHash. Items of the same
 size are indexed by radius + 1 blocks of the fingerprint: fingerprints within
 the radius agree on one block at least, so the blocks find all of them. Each
 candidate within the radius is then verified by the exact weighted Jaccard
@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded
+
 WORD = re.compile(r"\w+")
 #: Weight of a shingle that one item holds, or none.
 WEIGHT = 8
@@ -48,10 +50,12 @@ class Item(NamedTuple):
 class Index(NamedTuple):
     words: dict[str, int]
     gate: np.ndarray  # sorted codes of the items' shingles
+    gate_weight: np.ndarray
+    gate_sizes: dict[int, np.ndarray]  # by size, which codes are in items of that size
     bloom: np.ndarray
     weights: dict[int, int]  # of shingle hashes that several items share
     sizes: dict[int, list[Item]]
-    blocks: dict[int, list[dict[int, np.ndarray]]]
+    blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # by size and block: values in order, and whose they are
     fps: dict[int, np.ndarray]
 
 
@@ -92,6 +96,18 @@ def block_values(fps: np.ndarray, n: int) -> list[np.ndarray]:
     return [(fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def candidates(fps: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], radius: int, n_items: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in *fps*, place of an item) that agree on a block at least: all within the radius are among them."""
+    found = [np.zeros(0, np.int64)]
+    for own, (values, order) in zip(block_values(fps, radius + 1), blocks, strict=True):
+        low, high = np.searchsorted(values, own, side="left"), np.searchsorted(values, own, side="right")
+        n = high - low
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        found.append(np.repeat(np.arange(len(fps)), n) * n_items + order[at])
+    pairs = np.unique(np.concatenate(found))
+    return pairs // n_items, pairs % n_items
+
+
 def build_index(items: list[tuple[int, str | None]], radius: int, width: int = 5) -> Index:
     found = [(i, words) for i, text in items if len(words := words_of(text)) >= width]
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in found for w in words}), 1)}
@@ -112,16 +128,18 @@ def build_index(items: list[tuple[int, str | None]], radius: int, width: int = 5
     fps = {n: np.array([x.fp for x in own], np.uint64) for n, own in sizes.items()}
     blocks = {}
     for n, own in fps.items():
-        blocks[n] = []
-        for values in block_values(own, radius + 1):
-            by: dict[int, list[int]] = {}
-            for k, v in enumerate(values.tolist()):
-                by.setdefault(v, []).append(k)
-            blocks[n].append({v: np.array(ks) for v, ks in by.items()})
+        orders = [(v, np.argsort(v, kind="stable")) for v in block_values(own, radius + 1)]
+        blocks[n] = [(v[order], order) for v, order in orders]
     gate = np.unique(np.concatenate(codes))
+    gate_weight = np.full(len(gate), WEIGHT, np.int64)
+    gate_sizes = {n: np.zeros(len(gate), bool) for n in sizes}
+    for (_, words), own, plain in zip(found, codes[1:], hashes, strict=True):
+        at = np.searchsorted(gate, own)
+        gate_weight[at] = [weights.get(h, WEIGHT) for h in plain.tolist()]
+        gate_sizes[len(words)][at] = True
     bloom = np.zeros(1 << 20, bool)
     bloom[(gate & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(vocabulary, gate, bloom, weights, sizes, blocks, fps)
+    return Index(vocabulary, gate, gate_weight, gate_sizes, bloom, weights, sizes, blocks, fps)
 
 
 def similarity(item: Item, words: list[str], hashes: list[int], weights: dict[int, int]) -> float:
@@ -150,17 +168,22 @@ def matches(text: str | None, index: Index, radius: int, least: float, width: in
     if not len(maybe):
         return []
     at = np.minimum(np.searchsorted(index.gate, codes[maybe]), len(index.gate) - 1)
-    hits = maybe[index.gate[at] == codes[maybe]]
+    at, hits = at[index.gate[at] == codes[maybe]], maybe[index.gate[at] == codes[maybe]]
+    if not len(hits):
+        return []
+    weight = np.full(len(codes), WEIGHT, np.int64)
+    weight[hits] = index.gate_weight[at]
+    whole = np.r_[0, np.cumsum(weight)]
     best: dict[int, dict] = {}
     for size, items in index.sizes.items():
         span = size - width + 1
-        if not len(hits) or len(codes) < span:
+        own = hits[index.gate_sizes[size][at]]
+        if not len(own) or len(codes) < span:
             continue
-        # all starts of windows that hold a hit
-        change = np.zeros(len(codes) + 1, np.int64)
-        np.add.at(change, np.maximum(hits - span + 1, 0), 1)
-        np.add.at(change, hits + 1, -1)
-        starts = np.flatnonzero(np.cumsum(change)[: len(codes) - span + 1] > 0)
+        part = np.zeros(len(codes) + 1, np.int64)
+        part[own + 1] = weight[own]
+        seen = np.cumsum(part)
+        starts = np.flatnonzero(seen[span:] - seen[:-span] >= least * (whole[span:] - whole[:-span]) - 1e-9)
         for lo in range(0, len(starts), STARTS):
             for run in np.split(part := starts[lo : lo + STARTS], np.flatnonzero(np.diff(part) > span) + 1):
                 first, upto = int(run[0]), int(run[-1]) + size
@@ -169,18 +192,14 @@ def matches(text: str | None, index: Index, radius: int, least: float, width: in
                 plain = hashes.tolist()
                 weights = np.fromiter((index.weights.get(h, WEIGHT) for h in plain), np.int32, len(plain))
                 fps = simhashes(hashes, weights, run - first, span)
-                for k, values in enumerate(zip(*[b.tolist() for b in block_values(fps, radius + 1)], strict=True)):
-                    found = [own for v, table in zip(values, index.blocks[size], strict=True) if (own := table.get(v)) is not None]
-                    if not found:
-                        continue
-                    near = np.unique(np.concatenate(found))
-                    distance = np.bitwise_count(index.fps[size][near] ^ fps[k])
-                    a = int(run[k]) - first
-                    for i, d in zip(near[distance <= radius].tolist(), distance[distance <= radius].tolist(), strict=True):
-                        item = items[i]
-                        s = similarity(item, local[a : a + size], plain[a : a + span], index.weights)
-                        if s >= least and s > best.get(item.item_id, {"similarity": 0.0})["similarity"]:
-                            best[item.item_id] = {"item_id": item.item_id, "start_word": first + a, "n_words": size, "distance": d, "similarity": s}
+                where, which = candidates(fps, index.blocks[size], radius, len(items))
+                distance = np.bitwise_count(fps[where] ^ index.fps[size][which])
+                near = np.flatnonzero(distance <= radius)
+                for k, i, d in zip(where[near].tolist(), which[near].tolist(), distance[near].tolist(), strict=True):
+                    item, a = items[i], int(run[k]) - first
+                    s = similarity(item, local[a : a + size], plain[a : a + span], index.weights)
+                    if s >= least and s > best.get(item.item_id, {"similarity": 0.0})["similarity"]:
+                        best[item.item_id] = {"item_id": item.item_id, "start_word": first + a, "n_words": size, "distance": d, "similarity": s}
     return [best[i] for i in sorted(best)]
 
 
@@ -203,7 +222,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, radius: int = 16, least:
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], radius))
         found.append(F.arrow_udf(_matcher(index, radius, least), MATCH)("text"))
-    return docs.withColumn("matches", F.concat(*found))
+    return bounded(docs).withColumn("matches", F.concat(*found))
 
 
 TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())]))
