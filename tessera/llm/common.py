@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame, size: str = "4m") -> DataFrame:
+    """*df*, from now on sent to Python in Arrow batches of *size* at most.
+
+    The default bounds rows only, and whole texts are wide: 10,000 of them would be held
+    several times over in the JVM and in Python.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir.
 

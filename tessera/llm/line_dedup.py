@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bounded, materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -67,7 +67,7 @@ def _explode(least: int):
 def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
     """(doc_id, lost): for each document that loses lines the hashes of their keys."""
     lines = materialize(
-        docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+        bounded(docs).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         .select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
         .mapInArrow(_explode(min_chars), "doc_id long, h binary"),
         "lines",

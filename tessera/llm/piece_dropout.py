@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded
+
 MARK = "▁"
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Symbols of the longest unit that is worked off in a matrix.
 WIDE = 48
 #: Units that a task remembers, and units it looks at together: they bound its memory.
-REMEMBERED, TOGETHER = 400_000, 100_000
+REMEMBERED, TOGETHER = 250_000, 100_000
 NO = np.int32(2**31 - 1)
 
 
@@ -347,7 +349,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 0.1, seed: int = 1,
         lists = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
         return pa.StructArray.from_arrays([lists, pa.array(good, pa.bool_())], ["ids", "lossless"])
 
-    done = docs.withColumn("_encoded", F.arrow_udf(run, ENCODED)(F.col(key).cast("long"), F.col(text)))
+    done = bounded(docs).withColumn("_encoded", F.arrow_udf(run, ENCODED)(F.col(key).cast("long"), F.col(text)))
     return done.withColumns({"ids": F.col("_encoded.ids"), "lossless": F.col("_encoded.lossless")}).drop("_encoded")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bounded, materialize
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: (type, what a text must hold, pattern; group 1, if there is one, is the entity)
@@ -49,7 +49,7 @@ TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f",
     "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f", "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f",
 }
-NAME = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[  ]((?:[^\W\d_][^\W\d_'’-]{1,30}[  ]){0,2}[^\W\d_][^\W\d_'’-]{1,30})")
+NAME = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[  ]((?:[^\W\d_][^\W\d_'’-]{1,30}[  ]){0,2}[^\W\d_][^\W\d_'’-]{1,30}(?!\w))")
 SYLLABLES = {
     "latin": ("ba be bi bo da de di do fa fe fi ga ge go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(), {"m": "n r s l k".split(), "f": "a ia ina ea ela".split(), "s": "man ner son ley ford".split()}),
     "cyrillic": ("ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ве ви во".split(), {"m": "н р с л к".split(), "f": "а ия ина ея ела".split(), "s": "ко ин ов ев ский".split()}),
@@ -221,7 +221,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             rows = [(d.as_py(), k, v) for d, t in zip(batch.column(0), batch.column(1), strict=True) for k, v in sorted({(e.kind, e.value) for e in find(t.as_py())})]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "kind", "value"), r, strict=True)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("value", pa.string())]))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, kind string, value string")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, kind string, value string")
 
 
 def attempts(found: DataFrame, key: bytes, max_rounds: int = 50) -> DataFrame:

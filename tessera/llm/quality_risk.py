@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import bounded, materialize
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -85,7 +85,7 @@ def _features(texts: pa.Array) -> pa.Array:
 
 def with_features(docs: DataFrame) -> DataFrame:
     """*docs* with `_f`, a struct of FEATURES, added."""
-    return docs.withColumn("_f", F.arrow_udf(_features, "struct<" + ", ".join(f"{x}: long" for x in FEATURES) + ">")(F.col("text")))
+    return bounded(docs).withColumn("_f", F.arrow_udf(_features, "struct<" + ", ".join(f"{x}: long" for x in FEATURES) + ">")(F.col("text")))
 
 
 def base_failed() -> Column:

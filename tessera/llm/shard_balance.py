@@ -47,12 +47,18 @@ def first_cohorts(groups: DataFrame, shards: int) -> DataFrame:
 
 def admitted(wishes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
     """How many may go from a to b: swaps, and b's room by proportion."""
-    swap = {(a, b): min(n, wishes.get((b, a), 0)) for (a, b), n in wishes.items()}
-    rest = {p: n - swap[p] for p, n in wishes.items()}
-    into: dict[int, int] = {}
-    for (_, b), n in rest.items():
-        into[b] = into.get(b, 0) + n
-    return {p: swap[p] + min(n, room[p[1]] * n // max(1, into[p[1]])) for p, n in rest.items()}
+    may = {(a, b): min(n, wishes.get((b, a), 0)) for (a, b), n in wishes.items()}
+    rest = {p: n - may[p] for p, n in wishes.items()}
+    for b, free in enumerate(room):
+        into = sorted((p for p, n in rest.items() if p[1] == b and n), key=lambda p: (-rest[p], p))
+        total = sum(rest[p] for p in into)
+        parts = {p: min(rest[p], free * rest[p] // total) for p in into}
+        left = min(free, total) - sum(parts.values())
+        for p in into:  # what rounding down has left
+            more = min(left, rest[p] - parts[p])
+            may[p] += parts[p] + more
+            left -= more
+    return may
 
 
 def propagate(cohorts: DataFrame, quota: list[int], rounds: int) -> DataFrame:
@@ -62,7 +68,8 @@ def propagate(cohorts: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     for _ in range(rounds):
         load = dict(now.groupBy("s").agg(F.sum("n")).collect())  # a row for each shard
         room = [q - load.get(s, 0) for s, q in enumerate(quota)]
-        open_ = F.col("s").isin([s for s, r in enumerate(room) if r > 0])
+        # a shard that is full but for a fiftieth no longer draws, so a group larger than a shard goes on to the next
+        open_ = F.col("s").isin([s for s, r in enumerate(room) if 50 * r > quota[s]])
         rank = F.struct(F.col("n"), F.xxhash64("g", "s"))
         goals = now.groupBy("g").agg(F.max_by("s", F.struct(open_, rank)).alias("b"), F.max_by("n", F.struct(open_, rank)).alias("at_b"))
         gain = F.col("at_b") - F.col("n") + 1

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, materialize
+from tessera.llm.common import bounded, connected_components, materialize
 
 BITS = 31
 MASK = (1 << BITS) - 1
@@ -77,7 +77,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(
         _fingerprints(width), "doc_id long, fp long"
     )
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import materialize, scratch_path
+from tessera.llm.common import bounded, materialize, scratch_path
 
 MAGIC = "WARC/1."
 SEPARATOR = "\r\n\r\n" + MAGIC
@@ -159,7 +159,7 @@ ARROW = pa.schema([(x.split(" ")[0], _TYPES[x.split(" ")[1]]) for x in CANDIDATE
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", SEPARATOR).text(path)
-    return lines.select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("value"))
+    return bounded(lines).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("value"))
 
 
 def entries(placed: DataFrame) -> DataFrame:
