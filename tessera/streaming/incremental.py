@@ -37,7 +37,7 @@ def newest(spark: SparkSession, target: str, key: str) -> DataFrame:
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by type and window of a stream with (ts, event_type, value); late rows are waited for, then dropped."""
-    w = events.withWatermark("ts", late).groupBy("event_type", F.window("ts", size))
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("event_type", F.window("ts", size))
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("window.start").alias("start"), "n", "total")
 
 

@@ -99,7 +99,8 @@ def test_streams(spark, tmp_path, sf_dir):
     assert spark.read.parquet(target).count() == 15
     assert {r.id: r.v for r in incremental.newest(spark, target + "2", "id").collect()}[7] == 2 * 2 + 5
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    live = incremental.tumbling(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet"), late="3650 days")
+    events.write.parquet(str(tmp_path / "events"))
+    live = incremental.tumbling(spark.readStream.schema(events.schema).parquet(str(tmp_path / "events")), late="3650 days")
     live.writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     batch = {(r.event_type, r.start): r.n for r in incremental.tumbling(events).collect()}
     assert {(r.event_type, r.start): r.n for r in spark.table("live").collect()} == batch
