@@ -162,5 +162,5 @@ def internal(recall: DataFrame, rerank: DataFrame, k: int = 60, top: int | None
     high = F.max("score").over(Window.partitionBy("query_id"))
     fine = rerank.select(*KEY, F.when(high > 0, F.col("score") / high).otherwise(0.0).alias("fine"))
     joined = recall.join(fine, KEY, "left")
-    out = ranked(joined.select(*KEY, F.round(1.0 / (k + F.col("rank")) + F.coalesce("fine", F.lit(0.0)), 6).alias("score")))
+    out = ranked(joined.select(*KEY, F.round(1.0 / (k + F.col("rank")) + F.coalesce("fine", F.lit(0.0)), 8).alias("score")))
     return out if top is None else out.filter(F.col("rank") <= top)

@@ -344,7 +344,7 @@ def rerank_tag_match(spark, d):
 
 
 @query(f"""WITH {f.both_sql()}, {HITS}, g AS (SELECT query_id, chunk_id, avg(s) score FROM hits GROUP BY ALL), x AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END fine FROM g WINDOW w AS (PARTITION BY query_id)),
-i AS (SELECT query_id, chunk_id, round(1.0 / (60 + rank) + coalesce(fine, 0), 6) score FROM dim LEFT JOIN x USING (query_id, chunk_id) WHERE rank <= 50) {f.rank('i', 8)}""")
+i AS (SELECT query_id, chunk_id, round(1.0 / (60 + rank) + coalesce(fine, 0), 8) score FROM dim LEFT JOIN x USING (query_id, chunk_id) WHERE rank <= 50) {f.rank('i', 8)}""")
 def internal_rrf(spark, d):
     pool, hits = _rerank(spark, d)
     return fusion.internal(pool, hits.groupBy("query_id", "chunk_id").agg(F.avg("s").alias("score")))

@@ -35,10 +35,12 @@ on_docs("rule_clean", x.rule_clean, "trim(regexp_replace(regexp_replace(regexp_r
 on_docs("tokens", lambda c: F.size(x.tokens(c)), f"len(regexp_extract_all(lower(text), '{TOKEN}'))", "long")
 on_docs("numbers", lambda c: F.array_join(x.numbers(c), ","), "array_to_string(regexp_extract_all(text, '\\d+(?:[.:\\x{FF1A}/\\-]\\d+)*%?'), ',')")
 on_docs("bigrams", lambda c: F.size(x.char_ngrams(c)), f"(SELECT len(list_distinct(list_transform(range(1, greatest(length(t), 1)), lambda i: substr(t, i, 2)))) FROM (SELECT regexp_replace(text, '{SP}', '', 'g') t))", "long")
-on_docs("answer_norm", x.answer_norm, "trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(?:a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))")
+NORM = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
+on_docs("answer_norm", x.answer_norm, NORM.format("text"))
 on_docs("clip_head_tail", lambda c: F.when(F.length(c) > 500, F.concat(F.left(c, F.lit(250)), F.lit("\n...\n"), F.right(c, F.lit(250)))).otherwise(c), "CASE WHEN length(text) > 500 THEN left(text, 250) || chr(10) || '...' || chr(10) || right(text, 250) ELSE text END")
 on_docs("hashed_field", lambda c: F.concat(F.lit("dim_"), F.substring(F.md5(c.cast("binary")), 1, 6)), "'dim_' || substr(md5(text), 1, 6)")
-on_docs("pronoun_count", lambda c: F.regexp_count(F.lower(c), F.lit(r"\b(?:his|her|its|this|that|les|elle|der|die|das|el|la)\b")), "len(regexp_extract_all(lower(text), '\\b(?:his|her|its|this|that|les|elle|der|die|das|el|la)\\b'))", "long")
+PRONOUNS = ["his", "her", "its", "this", "that", "les", "elle", "der", "die", "das", "el", "la"]
+on_docs("pronoun_count", lambda c: x.count_words(c, PRONOUNS), f"len(list_filter(regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w IN {tuple(PRONOUNS)}))", "long")
 
 
 @query("SELECT doc_id, length(text)::bigint AS chars, length(regexp_replace(text, '\\s', '', 'g'))::bigint AS solid, len(regexp_extract_all(text, '[A-Za-z]+'))::bigint AS words, (length(text) - length(replace(text, chr(10), '')) + 1)::bigint AS lines, len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}]'))::bigint AS cjk FROM documents")
@@ -338,7 +340,7 @@ def bigram_coverage(spark, d):
     return g.select("id", F.round(share, 6).alias("coverage"), F.contains("a", F.col("q")).alias("whole"))
 
 
-@query(f"WITH {QA} SELECT id, contains(a, q) OR contains(q, a) AS em FROM (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(q), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(?:a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) q, trim(regexp_replace(regexp_replace(regexp_replace(lower(a), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(?:a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')) a FROM qa)")
+@query(f"WITH {QA} SELECT id, contains(a, q) OR contains(q, a) AS em FROM (SELECT id, {NORM.format('q')} q, {NORM.format('a')} a FROM qa)")
 def exact_match(spark, d):
     n = _qa(spark, d).select("id", x.answer_norm(F.col("q")).alias("q"), x.answer_norm(F.col("a")).alias("a"))
     return n.select("id", (F.contains("a", F.col("q")) | F.contains("q", F.col("a"))).alias("em"))
@@ -442,9 +444,7 @@ PAIR = "WITH c AS (SELECT doc_id, i, substr(text, i, 1) a, substr(text, i + 1, 1
 @query(f"{PAIR} SELECT doc_id, k AS n, round(exp(-s / k), 4) AS ppl FROM p")
 def bigram_ppl(spark, d):
     """Perplexity by character pairs counted over all documents, with add-one smoothing."""
-    t = F.col("text")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
-    c = f.t(spark, d, "documents").filter(F.length("text") > 1).select("doc_id", F.explode(pairs).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("k"))
+    c = f.t(spark, d, "documents").select("doc_id", F.explode(x.runs(F.col("text"))).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("k"))
     n2 = c.groupBy("g").agg(F.sum("k").alias("n2"))
     n1 = n2.groupBy(F.left("g", F.lit(1)).alias("a")).agg(F.sum("n2").alias("n1"))
     p = n2.join(n1, F.left("g", F.lit(1)) == F.col("a")).select("g", F.ln((F.col("n2") + 1) / (F.col("n1") + 65536)).alias("lp"))
