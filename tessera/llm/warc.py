@@ -236,7 +236,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     flagged = placed.join(begun, ["file", "start"], "left").select([x.split(" ")[0] for x in kept.split(", ")])
     chained = materialize(flagged.groupBy("file", "block").applyInArrow(_follow, kept + ", reached boolean, owner long"), "chained")
     fields = ["file", "start", "type", "page_id", "refers_to", "uri", "digest", "http_bytes", "payload_bytes", "payload_digest"]
-    records = chained.filter("reached")
+    records = chained.filter("reached AND total IS NOT NULL")  # a chain can end at what has no length
     split = materialize(records.filter("NOT complete").select("file", "start", "total"), "split")
     if split.isEmpty():
         return records.select(fields)
