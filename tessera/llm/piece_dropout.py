@@ -23,6 +23,9 @@ counts as 0; columns other than the key and the text are handed on.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import heapq
 import itertools
 import re
@@ -43,7 +46,9 @@ UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Symbols of the longest unit that is worked off in a matrix.
 WIDE = 48
 #: Units that a task remembers, and units it looks at together: they bound its memory.
-REMEMBERED, TOGETHER = 250_000, 100_000
+REMEMBERED, TOGETHER = 200_000, 100_000
+#: Units that a worker keeps from one task to the next, those met most often.
+KEPT = 30_000
 NO = np.int32(2**31 - 1)
 
 
@@ -122,6 +127,32 @@ class Encoder:
         self.count = np.zeros(1024 * self.variants, np.int32)
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
+        self.hits = np.zeros(1024, np.int64)  # by unit
+
+    def make_room(self, most: int = REMEMBERED // 2) -> None:
+        """Forget all but the *most* units met most often."""
+        n, v = len(self.units), self.variants
+        often = np.argsort(-self.hits[:n], kind="stable")[:most]
+        kept = np.sort(often[self.hits[often] > 1])
+        old = (self.place, self.keys, self.units, self.first, self.count, self.pool, self.hits)
+        self.forget()
+        self.units = [old[2][i] for i in kept.tolist()]
+        self.keys = [old[1][i] for i in kept.tolist()]
+        self.place = {u: i for i, u in enumerate(self.units)}
+        self.reserve()
+        self.hits[: len(kept)] = old[6][kept] // 2  # what was met long ago counts less
+        slots = (kept[:, None] * v + np.arange(v)).ravel()
+        known = np.flatnonzero(old[3][slots] >= 0)
+        first, count = old[3][slots[known]], old[4][slots[known]].astype(np.int64)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        self.store(known, count, old[5][at])
+
+    def reserve(self) -> None:
+        """Places for all units."""
+        while len(self.units) * self.variants > len(self.first):
+            self.first = np.r_[self.first, np.full(len(self.first), -1, np.int64)]
+            self.count = np.r_[self.count, np.zeros(len(self.count), np.int32)]
+            self.hits = np.r_[self.hits, np.zeros(len(self.hits), np.int64)]
 
     def symbols(self, unit: str) -> list[int]:
         return list(map(self.v.char_id.__getitem__, unit))
@@ -242,9 +273,8 @@ class Encoder:
     def together(self, units: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of *units* one after another, and how many each has; *draws* chooses the variants."""
         if len(self.place) > REMEMBERED or self.used > 8 * REMEMBERED * self.variants:
-            self.forget()
-        get = self.place.get
-        index = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+            self.make_room()
+        index = np.fromiter(map(self.place.get, units, itertools.repeat(-1)), np.int64, len(units))
         for i in np.flatnonzero(index < 0).tolist():
             u = units[i]
             if u not in self.place:
@@ -252,9 +282,8 @@ class Encoder:
                 self.units.append(u)
                 self.keys.append(xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), self.seed & (2**64 - 1)))
             index[i] = self.place[u]
-        while len(self.units) * self.variants > len(self.first):
-            self.first = np.r_[self.first, np.full(len(self.first), -1, np.int64)]
-            self.count = np.r_[self.count, np.zeros(len(self.count), np.int32)]
+        self.reserve()
+        self.hits += np.bincount(index, minlength=len(self.hits))
         slot = index * self.variants + (draws % np.uint64(self.variants)).astype(np.int64)
         missing = np.unique(slot[self.first[slot] < 0])
         if len(missing):
@@ -321,6 +350,14 @@ def encoder(model: bytes, alpha: float, seed: int, variants: int) -> Encoder:
     return _ENCODERS[key]
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 ENCODED = "struct<ids: array<int>, lossless: boolean>"
 
 
@@ -333,8 +370,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 0.1, seed: int = 1,
     """*docs* with `ids` and `lossless` (whether they decode to the text) added."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(docs, model_path))
 
-    def run(keys: pa.Array, texts: pa.Array) -> pa.Array:
-        own = encoder(model.value, alpha, seed, variants)
+    def batch(own: Encoder, keys: pa.Array, texts: pa.Array) -> pa.Array:
         out, good = [], []
         at = 0
         sizes_of = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -349,6 +385,15 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 0.1, seed: int = 1,
         lists = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
         return pa.StructArray.from_arrays([lists, pa.array(good, pa.bool_())], ["ids", "lossless"])
 
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own = encoder(model.value, alpha, seed, variants)
+        try:
+            for keys, texts in batches:
+                yield batch(own, keys, texts)
+        finally:  # the worker may idle or run other operators next
+            own.make_room(KEPT)
+            release_memory()
+
     done = bounded(docs).withColumn("_encoded", F.arrow_udf(run, ENCODED)(F.col(key).cast("long"), F.col(text)))
     return done.withColumns({"ids": F.col("_encoded.ids"), "lossless": F.col("_encoded.lossless")}).drop("_encoded")
 
