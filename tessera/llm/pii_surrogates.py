@@ -9,14 +9,16 @@ length, punctuation, case, check digits, country code, and for names gender and
 
 Collision checks: one pass gathers the distinct entities of the corpus. Where a
 surrogate equals that of another entity or is itself an entity of the corpus,
-it is drawn anew, in rounds until all are distinct. Only these few entities
+it is drawn anew, in rounds until all are distinct. After NARROW draws in the
+mention's own length and range, each further draw comes from a larger space (more
+characters or digits, a wider address range), so a free surrogate always exists. Only these few entities
 carry a number of attempts; each document gets those that it holds by a join on
 its id, which the planner broadcasts if they are small. Texts don't leave their tasks
 unless they aren't.
 
 Defined results: a null text stays null; an empty one stays empty; rows that
 repeat a doc_id are treated alike; overlapping finds go to the earlier, then
-the longer one; other columns are handed on.
+the longer one; a secret without a letter or digit (a rule, a blank to fill in) is none; other columns are handed on.
 """
 
 from __future__ import annotations
@@ -56,6 +58,10 @@ SYLLABLES = {
 }
 
 
+#: Draws in the mention's own length and range, before the space widens.
+NARROW = 4
+
+
 class Entity(NamedTuple):
     kind: str
     value: str  # the normal form
@@ -85,6 +91,8 @@ def normal(kind: str, text: str) -> str | None:
     if kind == "iban":
         plain = text.replace(" ", "")
         return plain if 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4] else None
+    if kind == "secret" and not any(map(str.isalnum, text)):
+        return None
     return text
 
 
@@ -152,52 +160,68 @@ class Stream:
         return "".join(next((self.one(s) for a, b, s in sets if a <= c <= b), c) for c in text)
 
 
+def wider(text: str, more: int) -> str:
+    """A pattern for Stream.like with *more* places than *text*, where letters stand for what is no letter or digit."""
+    return re.sub("[^0-9A-Za-z]", "z", text) + "z" * more if more else text
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The normal form that stands for the entity of the normal form *value*."""
     s = Stream(key, kind, value, attempt)
+    more = 2 * max(0, attempt + 1 - NARROW)  # further characters
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")
         fixed = 2 if labels[-2:-1] == ["example"] else 1  # reserved names, and the top level, stay
         d = Stream(key, "domain", domain)
-        return s.like(local) + "@" + ".".join([d.like(x) for x in labels[:-fixed]] + labels[-fixed:])
+        if not more and not re.search("[0-9a-z]", local):
+            more = 1
+        return s.like(wider(local, more)) + "@" + ".".join([d.like(x) for x in labels[:-fixed]] + labels[-fixed:])
     if kind == "phone":
         country = value[: max(0, len(value) - 10)]
         rest = value[len(country) :]
-        return country + s.one("23456789") + "".join(s.one("0123456789") for _ in rest[1:])
+        return country + s.one("23456789") + "".join(s.one("0123456789") for _ in range(len(rest) - 1 + more))
     if kind == "card":
-        body = value[0] + "".join(s.one("0123456789") for _ in value[2:])
+        body = value[0] + "".join(s.one("0123456789") for _ in range(len(value) - 2 + more))
         return body + luhn_digit(body)
+    if kind == "ssn" and more:
+        return "".join(s.one("0123456789") for _ in range(7 + more))
     if kind == "ssn":
         return f"{1 + s.below(665):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
     if kind == "iban":
-        rest = s.like(value[4:])
+        rest = s.like(value[4:]) + "".join(s.one("0123456789") for _ in range(more))
         return value[:2] + iban_check(value[:2], rest) + rest
     if kind == "ip":
         o = value.split(".")
+        if more > 4:  # places beyond 255: no text holds these as addresses
+            return ".".join(str(256 + s.below(10 ** min(more // 2, 9))) for _ in range(4))
+        if more and o[0] in ("192", "172"):
+            o = ["10"]  # the largest of the private ranges
         keep = 1 if o[0] in ("10", "127") else 2 if o[:2] == ["192", "168"] or o[0] == "172" and 16 <= int(o[1]) < 32 else 0
         first = [str(s.one([x for x in range(1, 224) if x not in (10, 127, 172, 192)]))] if not keep else o[:keep]
         return ".".join(first + [str(1 + s.below(254)) for _ in range(4 - len(first))])
     if kind == "access_key":
-        return value[:4] + s.like(value[4:])
+        return value[:4] + s.like(value[4:] + "A" * more)
     if kind == "secret":
-        return s.like(value)
+        return s.like(wider(value, more))
     script = "cyrillic" if re.search("[Ѐ-ӿ]", value) else "latin"
     syllables, endings = SYLLABLES[script]
-    body = "".join(s.one(syllables) for _ in range(2 + min(attempt, 4)))
+    body = "".join(s.one(syllables) for _ in range(2 + attempt))
     return body + s.one(endings["s" if kind == "surname" else kind[-1]])
 
 
 def render(kind: str, shown: str, stand_in: str) -> str:
-    """*stand_in*, a normal form, as *shown* was written."""
+    """*stand_in*, a normal form, as *shown* was written; what it has more stands behind."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(stand_in)
-        return "".join(next(digits) if c in "0123456789" else c for c in shown)
+        return "".join([next(digits) if c in "0123456789" else c for c in shown] + list(digits))
     if kind == "iban":
         chars = iter(stand_in)
-        return "".join(c if c == " " else next(chars) for c in shown)
+        return "".join([c if c == " " else next(chars) for c in shown] + list(chars))
     if kind == "email":
-        return "".join(c.upper() if o.isupper() else c for c, o in zip(stand_in, shown, strict=True))
+        (local, _, domain), (own, _, at) = stand_in.rpartition("@"), shown.rpartition("@")
+        case = own.ljust(len(local)) + "@" + at
+        return "".join(c.upper() if o.isupper() else c for c, o in zip(f"{local}@{domain}", case, strict=True))
     if kind == "surname" or kind.startswith("given"):
         return stand_in.upper() if len(shown) > 1 and shown.isupper() else stand_in.capitalize() if shown[0].isupper() else stand_in
     return stand_in
@@ -224,8 +248,11 @@ def mentions(docs: DataFrame) -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, kind string, value string")
 
 
-def attempts(found: DataFrame, key: bytes, max_rounds: int = 50) -> DataFrame:
-    """(kind, value, attempt) of the entities in *found* that need another draw than the first."""
+def attempts(found: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, attempt) of the entities in *found* that need another draw than the first.
+
+    The rounds end, since each draws from a larger space than the one before.
+    """
 
     def run(kinds: pa.Array, values: pa.Array, tries: pa.Array) -> pa.Array:
         return pa.array([surrogate(key, *x) for x in zip(kinds.to_pylist(), values.to_pylist(), tries.to_pylist(), strict=True)], pa.string())
@@ -237,7 +264,7 @@ def attempts(found: DataFrame, key: bytes, max_rounds: int = 50) -> DataFrame:
 
     now = drawn(found.select("kind", "value").distinct().withColumn("attempt", F.lit(0)))
     originals = now.select("kind", F.col("value").alias("stand_in"))
-    for _ in range(max_rounds):
+    while True:
         first = now.groupBy("kind", "stand_in").agg(F.min(F.struct("attempt", "value")).alias("w"), F.count("*").alias("n")).filter("n > 1")
         lost = now.join(first, ["kind", "stand_in"]).filter("NOT (attempt = w.attempt AND value = w.value)").select("kind", "value")
         known = now.join(originals, ["kind", "stand_in"], "left_semi").select("kind", "value")
@@ -245,7 +272,6 @@ def attempts(found: DataFrame, key: bytes, max_rounds: int = 50) -> DataFrame:
         if again.isEmpty():
             return now.filter("attempt > 0").select("kind", "value", "attempt")
         now = drawn(now.drop("stand_in").join(again, ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")))
-    raise ValueError("too few surrogates of a kind for the entities found")
 
 
 RESULT = "struct<text: string, entities: array<struct<kind: string, start: int, end: int>>>"

@@ -173,3 +173,22 @@ def test_replace_whole_table(spark):
     assert len({by[i][0].text for i in range(300)}) == 300
     assert "a.b@c.example.com" not in by[903][0].text and by[903][0].text.startswith(LONG)
     assert pii_surrogates.replace(df.limit(0), KEY).count() == 0
+
+
+def test_every_entity_can_be_settled(spark):
+    text = "Password: ____________ | token: ---------- | -@example.com"
+    assert [e.kind for e in pii_surrogates.find(text)] == ["email"]
+    entities = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz-"] + [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(256)]
+    entities += [("secret", "_" * 8 + c) for c in "abcdefghijklmnopqrstuvwxyz"]
+    tried = {(r.kind, r.value): r.attempt for r in pii_surrogates.attempts(spark.createDataFrame(entities, "kind string, value string"), KEY).collect()}
+    drawn = [(k, pii_surrogates.surrogate(KEY, k, v, tried.get((k, v), 0))) for k, v in entities]
+    assert len(set(drawn)) == len(entities) and not set(drawn) & set(entities)
+
+
+@pytest.mark.parametrize("attempt", [0, 3, 4, 6, 9])
+def test_wider_surrogates_keep_the_way_of_writing(attempt):
+    for e in pii_surrogates.find(PII):
+        shown = PII[e.start : e.end]
+        new = pii_surrogates.render(e.kind, shown, pii_surrogates.surrogate(KEY, e.kind, e.value, attempt))
+        assert new != shown and (e.kind != "email" or new.partition("@")[2].istitle() == shown.partition("@")[2].istitle())
+        assert attempt < pii_surrogates.NARROW or e.kind in ("ip", "surname") or e.kind.startswith("given") or len(new) > len(shown)
