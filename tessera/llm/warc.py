@@ -102,7 +102,7 @@ def parse(fragment: bytes) -> dict:
     """A candidate record: *fragment* is what follows the magic up to the next one."""
     head, sep, rest = fragment.partition(b"\r\n\r\n")
     out: dict = dict.fromkeys(NAMES[5:])
-    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head[:65536].split(b"\r\n")[1:])}
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head.split(b"\r\n")[1:])}
     size = _number(fields.get(b"content-length"))
     if size is None or size < 0 or b"warc-type" not in fields:
         return out

@@ -40,6 +40,13 @@ def test_no_pages_and_foreign_archives(spark, tmp_path):
     assert {r.payload_digest for r in got} == {hashlib.sha1(body).hexdigest()}
 
 
+@pytest.mark.parametrize("url", ["http://a/" + "x" * 100_000, " " * 100_000])
+def test_records_behind_a_very_long_url(spark, url):
+    pages = spark.createDataFrame([(1, "http://a/", "one"), (2, url, "two"), (3, "http://c/", "three"), (4, url, None)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.roundtrip(pages).collect()}
+    assert got == {i: (len(t), hashlib.sha1(t.encode()).hexdigest()) for i, t in ((1, "one"), (2, "two"), (3, "three"), (4, ""))}
+
+
 pieces = pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
 TEXTS = ["", None, "a", "  a  b ", "▁x ▁▁", "日本語 テスト 🎉", "\n\n a\n", "x" * 300 + " y", "=" * 200, "é" * 60 + " " * 70 + "q", "\t\ttab\r\n", "The quick brown fox jumps over the lazy dog. " * 30]
 
