@@ -2,7 +2,10 @@
 
 Entities: e-mail addresses, telephone numbers, IPv4 addresses, payment cards
 (Luhn), IBANs (mod 97), US social security numbers, access keys, secrets after
-`password=` and the like, and names behind a title. A surrogate is drawn
+`password=` and the like, and names behind a title with their other mentions in
+the same text. A secret in quotes goes to the closing one, any other to
+white space, a quote, `<`, `>`, or a delimiter that white space, the text's end or another `name=`
+follows; its full stop or bracket at the end stays. A surrogate is drawn
 from a keyed hash of the entity's type and normal form, so an entity gets the same surrogate
 wherever and however it is written (coreference), in the mention's own format:
 length, punctuation, case, check digits, country code, and for names gender and script.
@@ -35,10 +38,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded, materialize
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: (type, what a text must hold, pattern; group 1, if there is one, is the entity)
+#: A quoted secret, or an unquoted one.
+SECRET = r"""(?:"([^"\n]++)"|'([^'\n]++)'|["'`]?((?:[^\s"'`<>,;|&]++|'(?=\w)|[,;|&](?!\s|\Z|["'`<>]|[a-z_][\w.-]{0,63}\s?[=:]))++))"""
+#: (type, what a text must hold, pattern; the group that matched, if it has groups, is the entity)
 PATTERNS = (
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")),
-    ("secret", "=:", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_-]{8,512}={0,2})")),
+    ("secret", "=:", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}" + SECRET)),
     ("access_key", "A", re.compile(r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])")),
     ("iban", "0123456789", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", ".", re.compile(rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])")),
@@ -51,7 +56,12 @@ TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f",
     "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f", "господин": "m", "госпожа": "f", "Господин": "m", "Госпожа": "f",
 }
-NAME = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[  ]((?:[^\W\d_][^\W\d_'’-]{1,30}[  ]){0,2}[^\W\d_][^\W\d_'’-]{1,30}(?!\w))")
+TITLE = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.?[ \u00a0]")
+#: A word of a name: letters, joined by hyphens and apostrophes; the 's of a genitive stays outside.
+WORD = r"[^\W\d_](?:[^\W\d_]|(?:-|['’](?!s\b))(?=[^\W\d_]))+(?!\w)"
+#: Behind a title: a word, or an initial.
+PART = re.compile(rf"[ \u00a0]?(?:({WORD})|([^\W\d_]\.|[^\W\d_](?=[ \u00a0][^\W\d_])))")
+MENTION = re.compile(rf"(?<!\w){WORD}")
 SYLLABLES = {
     "latin": ("ba be bi bo da de di do fa fe fi ga ge go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(), {"m": "n r s l k".split(), "f": "a ia ina ea ela".split(), "s": "man ner son ley ford".split()}),
     "cyrillic": ("ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ве ви во".split(), {"m": "н р с л к".split(), "f": "а ия ина ея ела".split(), "s": "ко ин ов ев ский".split()}),
@@ -91,25 +101,34 @@ def normal(kind: str, text: str) -> str | None:
     if kind == "iban":
         plain = text.replace(" ", "")
         return plain if 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4] else None
-    if kind == "secret" and not any(map(str.isalnum, text)):
-        return None
+    if kind == "secret":
+        plain = len(text) >= 8 and any(map(str.isalnum, text))
+        return text if plain or len(text) >= 4 and any(map(str.isdigit, text)) and any(map(str.isalpha, text)) else None
     return text
 
 
 def names(text: str) -> list[Entity]:
-    """The parts of names behind titles: given names by gender, and surnames."""
-    out = []
-    for m in NAME.finditer(text):
-        gender, at = TITLES[m[1]], m.start(2)
-        parts = []
-        for word in re.split("[  ]", m[2]):
-            if not word[0].isupper():
-                break
-            parts.append((word, at))
+    """The parts of names behind titles, given names by gender and surnames, and where they stand elsewhere in the text."""
+    out, kinds = [], {}
+    for m in TITLE.finditer(text):
+        gender, at, parts, words = TITLES[m[1]], m.end(), [], 0
+        while words < 3 and (p := PART.match(text, at)) and text[p.start(p.lastindex)].isupper():
+            parts.append(p)
+            words, at = words + (p.lastindex == 1), p.end()
+        while parts and parts[-1].lastindex == 2:  # an initial alone is no name
+            parts.pop()
+        for k, p in enumerate(parts):
+            kind, value = "surname" if k == len(parts) - 1 else f"given_{gender}", p[p.lastindex].casefold()
+            out.append(Entity(kind, value, *p.span(p.lastindex)))
+            if p.lastindex == 1:
+                for name in (value, *(x for x in value.split("-") if len(x) > 1)):
+                    kinds.setdefault(name, kind)
+    for m in MENTION.finditer(text) if kinds else ():
+        at = m.start()
+        for word in (m[0],) if m[0].casefold() in kinds else m[0].split("-"):
+            if word[:1].isupper() and (value := word.casefold()) in kinds:
+                out.append(Entity(kinds[value], value, at, at + len(word)))
             at += len(word) + 1
-        for k, (word, start) in enumerate(parts):
-            kind = "surname" if k == len(parts) - 1 else f"given_{gender}"
-            out.append(Entity(kind, word.casefold(), start, start + len(word)))
     return out
 
 
@@ -121,13 +140,16 @@ def find(text: str | None) -> list[Entity]:
     for rank, (kind, needs, pattern) in enumerate(PATTERNS):
         at, held = 0, any(c in text for c in needs)
         while held and (m := pattern.search(text, at)):
-            g, at = pattern.groups and 1, m.end()
-            if (value := normal(kind, m[g])) is not None:
-                out.append((m.start(g), -m.end(g), rank, Entity(kind, value, m.start(g), m.end(g))))
+            g, at = m.lastindex or 0, m.end()
+            start, end = m.span(g)
+            if g == 3:  # an unquoted secret: the sentence's mark behind it is none of it
+                end = start + len(m[g].rstrip(".,;:!?)]}"))
+            if (value := normal(kind, text[start:end])) is not None:
+                out.append((start, -end, rank, Entity(kind, value, start, end)))
             else:
                 at = m.start() + 1  # what its check digits rule out may hold a find that begins later
     if any(t in text for t in TITLES):
-        out += [(e.start, -e.end, 99, e) for e in names(text)]
+        out += [(e.start, -e.end, 99 + k, e) for k, e in enumerate(names(text))]
     found, upto = [], 0
     for *_, e in sorted(out):
         if e.start >= upto:
@@ -154,9 +176,11 @@ class Stream:
         return chars[self.below(len(chars))]
 
     def like(self, text: str) -> str:
-        """Letters for letters and digits for digits, in the same case; text of hex digits stays so."""
+        """Letters for letters and digits for digits, in the same case; text of hex digits stays so. Other scripts get ASCII."""
         lower = "abcdef" if re.fullmatch("[0-9a-f]{8,}", text) else "abcdefghijklmnopqrstuvwxyz"
         sets = (("0", "9", "0123456789"), ("a", "z", lower), ("A", "Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        if not text.isascii():
+            text = "".join(c if c.isascii() else "A" if c.isupper() else "z" if c.isalpha() else "0" if c.isnumeric() else c for c in text)
         return "".join(next((self.one(s) for a, b, s in sets if a <= c <= b), c) for c in text)
 
 
@@ -223,7 +247,7 @@ def render(kind: str, shown: str, stand_in: str) -> str:
         case = own.ljust(len(local)) + "@" + at
         return "".join(c.upper() if o.isupper() else c for c, o in zip(f"{local}@{domain}", case, strict=True))
     if kind == "surname" or kind.startswith("given"):
-        return stand_in.upper() if len(shown) > 1 and shown.isupper() else stand_in.capitalize() if shown[0].isupper() else stand_in
+        return stand_in.upper() if shown.isupper() and sum(map(str.isalpha, shown)) > 1 else stand_in.capitalize() if shown[0].isupper() else stand_in
     return stand_in
 
 

@@ -192,3 +192,33 @@ def test_wider_surrogates_keep_the_way_of_writing(attempt):
         new = pii_surrogates.render(e.kind, shown, pii_surrogates.surrogate(KEY, e.kind, e.value, attempt))
         assert new != shown and (e.kind != "email" or new.partition("@")[2].istitle() == shown.partition("@")[2].istitle())
         assert attempt < pii_surrogates.NARROW or e.kind in ("ip", "surname") or e.kind.startswith("given") or len(new) > len(shown)
+
+
+@pytest.mark.parametrize(
+    ("text", "gone"),
+    [
+        ("password=" + "k7" * 350 + " ok", ["k7k7k7"]),
+        ("token=eyJhbGciOi.eyJzdWIiOj.SflKxwRJSM ok", ["eyJhbGciOi", "eyJzdWIiOj", "SflKxwRJSM"]),
+        ("password=Tr0ub4dor&3xyz. ok", ["Tr0ub4dor", "3xyz"]),
+        ("pwd: P@ssw0rd! ok", ["ssw0rd"]),
+        ("pwd=hunter2 ok", ["hunter2"]),
+        ("password=päßwörd9,wörter ok", ["päßwörd9", "wörter"]),
+        ('password: "correct horse battery" ok', ["correct", "horse", "battery"]),
+        ("Mrs Anne Smith-Jones ok. Smith-Jones, SMITH and Jones", ["Anne", "Smith", "SMITH", "Jones"]),
+        ("Mr J. Smith ok. Smith's", ["J.", "Smith"]),
+        ("Mr J.R. O'Brien ok. O'Brien left", ["J.", "R.", "Brien"]),
+        ("Before, Brown said. Herr Brown ok", ["Brown"]),
+    ],
+)
+def test_nothing_of_an_entity_stays(text, gone):
+    new, _ = pii_surrogates.rewrite(text, KEY, {})
+    assert not [x for x in gone if x in new] and " ok" in new
+
+
+def test_where_entities_end():
+    url = "https://a.example/?token=abcd12345&user=bob, api_key=wxyz98765;mode=fast password: ---- secret: no 'pwd: abcdefg'"
+    assert [e.value for e in pii_surrogates.find(url)] == ["abcd12345", "wxyz98765"]
+    text, found = pii_surrogates.rewrite("Mr Smith met Smith, Smith's smith and Mr Smith. Then", KEY, {})
+    new = text.split()[1]
+    assert text == f"Mr {new} met {new}, {new}'s smith and Mr {new}. Then" and len(found) == 4
+    assert len(pii_surrogates.find("password=" + "(" * 300_000 + " token:" * 20_000)) <= 1
