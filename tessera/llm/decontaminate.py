@@ -1,12 +1,14 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact verification.
+"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, shared shingles, exact verification.
 
 Items and documents are sequences of lower-cased words. For each item size the
 windows of that many words slide over a document one word at a time. A window
 less than `least` of whose weight is in five-word shingles of items of its size can't reach
 the similarity `least` with any of them and is passed over. The others get a 64-bit weighted SimHash. Items of the same
 size are indexed by radius + 1 blocks of the fingerprint: fingerprints within
-the radius agree on one block at least, so the blocks find all of them. Each
-candidate within the radius is then verified by the exact weighted Jaccard
+the radius agree on one block at least, so the blocks find all of them. Similar
+windows beyond the radius are found by the shingles that they share with an
+item: those that hold enough of its weight for the similarity `least` are
+candidates too, so none is lost. Each candidate is then verified by the exact weighted Jaccard
 similarity of the shingles (multisets; a shingle that several items share
 weighs less).
 
@@ -37,6 +39,8 @@ WORD = re.compile(r"\w+")
 WEIGHT = 8
 #: Window starts that are fingerprinted at once.
 STARTS = 8192
+#: Pairs of a shingle's place and an item that are looked at at once.
+PAIRS = 4_000_000
 MATCH = "array<struct<item_id: long, start_word: long, n_words: long, distance: int, similarity: double>>"
 
 
@@ -57,6 +61,7 @@ class Index(NamedTuple):
     sizes: dict[int, list[Item]]
     blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # by size and block: values in order, and whose they are
     fps: dict[int, np.ndarray]
+    holders: dict[int, tuple[np.ndarray, np.ndarray]]  # by size: where each gate code's items begin, and these
 
 
 def words_of(text: str | None) -> list[str]:
@@ -108,6 +113,42 @@ def candidates(fps: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], rad
     return pairs // n_items, pairs % n_items
 
 
+def sharing(codes: np.ndarray, weight: np.ndarray, starts: np.ndarray, span: int, total: np.ndarray, items: list[Item], held: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in *starts*, place of an item) that share shingles enough for the similarity *least*: none of these is missing.
+
+    *codes* are places in the gate, -1 where there is none, *total* is the weight of each start's window.
+    """
+    first, items_of = held
+    places = np.flatnonzero(codes >= 0)
+    low = first[codes[places]]
+    n = first[codes[places] + 1] - low
+    if n.sum() > PAIRS and len(starts) > 1:  # shingles that many items hold: fewer starts at once
+        half, found = len(starts) // 2, []
+        for lo, hi in ((0, half), (half, len(starts))):
+            a, b = int(starts[lo]), int(starts[hi - 1]) + span
+            k, i = sharing(codes[a:b], weight[a:b], starts[lo:hi] - a, span, total[lo:hi], items, held, least)
+            found.append((k + lo, i))
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    who, where = items_of[at], np.repeat(places, n)
+    share = least / (1 + least)  # of the weights of both sides, what both have
+    need = share * (np.array([x.weight for x in items]) + (total.min() if len(total) else 0)) - 1e-6
+    kept = np.bincount(who, weights=weight[where], minlength=len(items))[who] >= need[who]
+    order = np.argsort(who[kept], kind="stable")
+    who, where = who[kept][order], where[kept][order]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    edges = np.r_[0, np.flatnonzero(np.diff(who)) + 1, len(who)]
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if a == b:
+            continue
+        own, i = where[a:b], int(who[a])
+        sums = np.r_[0, np.cumsum(weight[own])]
+        both = sums[np.searchsorted(own, starts + span)] - sums[np.searchsorted(own, starts)]
+        k = np.flatnonzero(both >= share * (total + items[i].weight) - 1e-6)
+        found.append((k, np.full(len(k), i, np.int64)))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def build_index(items: list[tuple[int, str | None]], radius: int, width: int = 5) -> Index:
     found = [(i, words) for i, text in items if len(words := words_of(text)) >= width]
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in found for w in words}), 1)}
@@ -137,9 +178,17 @@ def build_index(items: list[tuple[int, str | None]], radius: int, width: int = 5
         at = np.searchsorted(gate, own)
         gate_weight[at] = [weights.get(h, WEIGHT) for h in plain.tolist()]
         gate_sizes[len(words)][at] = True
+    pairs: dict[int, list[np.ndarray]] = {n: [] for n in sizes}
+    for (_, words), own in zip(found, codes[1:], strict=True):
+        pairs[len(words)].append(np.unique(np.searchsorted(gate, own)))
+    holders = {}
+    for n, held in pairs.items():
+        code = np.concatenate(held)
+        order = np.argsort(code, kind="stable")
+        holders[n] = np.searchsorted(code[order], np.arange(len(gate) + 1)), np.repeat(np.arange(len(held)), [len(x) for x in held])[order]
     bloom = np.zeros(1 << 20, bool)
     bloom[(gate & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(vocabulary, gate, gate_weight, gate_sizes, bloom, weights, sizes, blocks, fps)
+    return Index(vocabulary, gate, gate_weight, gate_sizes, bloom, weights, sizes, blocks, fps, holders)
 
 
 def similarity(item: Item, words: list[str], hashes: list[int], weights: dict[int, int]) -> float:
@@ -174,6 +223,8 @@ def matches(text: str | None, index: Index, radius: int, least: float, width: in
     weight = np.full(len(codes), WEIGHT, np.int64)
     weight[hits] = index.gate_weight[at]
     whole = np.r_[0, np.cumsum(weight)]
+    place = np.full(len(codes), -1, np.int64)
+    place[hits] = at
     best: dict[int, dict] = {}
     for size, items in index.sizes.items():
         span = size - width + 1
@@ -193,9 +244,14 @@ def matches(text: str | None, index: Index, radius: int, least: float, width: in
                 weights = np.fromiter((index.weights.get(h, WEIGHT) for h in plain), np.int32, len(plain))
                 fps = simhashes(hashes, weights, run - first, span)
                 where, which = candidates(fps, index.blocks[size], radius, len(items))
+                near = np.flatnonzero(np.bitwise_count(fps[where] ^ index.fps[size][which]) <= radius)
+                summed = np.r_[0, np.cumsum(weights, dtype=np.int64)]
+                total = summed[run - first + span] - summed[run - first]
+                more = sharing(place[first : upto - width + 1], weights, run - first, span, total, items, index.holders[size], least)
+                pairs = np.unique(np.r_[where[near] * len(items) + which[near], more[0] * len(items) + more[1]])
+                where, which = pairs // len(items), pairs % len(items)
                 distance = np.bitwise_count(fps[where] ^ index.fps[size][which])
-                near = np.flatnonzero(distance <= radius)
-                for k, i, d in zip(where[near].tolist(), which[near].tolist(), distance[near].tolist(), strict=True):
+                for k, i, d in zip(where.tolist(), which.tolist(), distance.tolist(), strict=True):
                     item, a = items[i], int(run[k]) - first
                     s = similarity(item, local[a : a + size], plain[a : a + span], index.weights)
                     if s >= least and s > best.get(item.item_id, {"similarity": 0.0})["similarity"]:

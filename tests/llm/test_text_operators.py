@@ -222,3 +222,20 @@ def test_where_entities_end():
     new = text.split()[1]
     assert text == f"Mr {new} met {new}, {new}'s smith and Mr {new}. Then" and len(found) == 4
     assert len(pii_surrogates.find("password=" + "(" * 300_000 + " token:" * 20_000)) <= 1
+
+
+def test_no_similar_window_is_lost():
+    rnd = random.Random(9)
+    items = [(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.randrange(49, 60)))) for i in range(300)]
+    items += [(i, " ".join(f"w{rnd.randrange(400)}" for _ in range(300))) for i in range(300, 330)]
+    index = decontaminate.build_index(items, 16)
+    for radius, own in ((16, index), (0, decontaminate.build_index(items, 0))):
+        for i, t in items:
+            for _ in range(2):
+                words = t.split()
+                for _ in range(1 if len(words) < 60 else 6):
+                    words[rnd.randrange(len(words))] = "other"
+                text = " ".join(["x", "y", *words, "z"])
+                got = {m["item_id"]: round(m["similarity"], 9) for m in decontaminate.matches(text, own, radius, 0.8)}
+                want = {k: round(s, 9) for k, s in brute_matches(text, [items[i]]).items()}
+                assert got == want or radius == 16 and set(want) <= set(got)
