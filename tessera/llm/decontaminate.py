@@ -13,7 +13,8 @@ similarity of the shingles (multisets; a shingle that several items share
 weighs less).
 
 Items are collected and sent to the tasks in blocks of at most
-`block_items`; each block is compared with all documents, whole.
+`block_items`; each block is compared with all documents, whole. How many items share
+a shingle is counted over all items once, so the blocks don't change the result.
 
 Defined results: items of fewer than five words (null and empty texts among
 them) have no shingle and match nothing; a null or empty document matches
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -57,7 +59,8 @@ class Index(NamedTuple):
     gate_weight: np.ndarray
     gate_sizes: dict[int, np.ndarray]  # by size, which codes are in items of that size
     bloom: np.ndarray
-    weights: dict[int, int]  # of shingle hashes that several items share
+    weights: dict[int, int]  # of shingle hashes that several items share, of this block or others
+    floor: int  # the least weight of a shingle that no item of this block holds
     sizes: dict[int, list[Item]]
     blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # by size and block: values in order, and whose they are
     fps: dict[int, np.ndarray]
@@ -149,7 +152,13 @@ def sharing(codes: np.ndarray, weight: np.ndarray, starts: np.ndarray, span: int
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def build_index(items: list[tuple[int, str | None]], radius: int, width: int = 5) -> Index:
+def shingle_weights(holders: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """The weights of the shingle hashes that several items hold."""
+    return {h: max(1, round(WEIGHT / n)) for h, n in holders if n > 1}
+
+
+def build_index(items: list[tuple[int, str | None]], radius: int, width: int = 5, weights: dict[int, int] | None = None) -> Index:
+    """The index of *items*; *weights* are the shingle weights over all items if these are but a block of them."""
     found = [(i, words) for i, text in items if len(words := words_of(text)) >= width]
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in found for w in words}), 1)}
     holders: Counter[int] = Counter()
@@ -159,7 +168,9 @@ def build_index(items: list[tuple[int, str | None]], radius: int, width: int = 5
         codes.append(_rolled(np.array([vocabulary[w] for w in words], np.uint64), width))
         hashes.append(_rolled(word_hashes(words), width))
         holders.update(set(hashes[-1].tolist()))
-    weights = {h: max(1, round(WEIGHT / n)) for h, n in holders.items() if n > 1}
+    if weights is None:
+        weights = shingle_weights(holders.items())
+    floor = min((w for h, w in weights.items() if h not in holders), default=WEIGHT)
     sizes: dict[int, list[Item]] = {}
     for (item_id, words), own in zip(found, hashes, strict=True):
         w = np.array([weights.get(h, WEIGHT) for h in own.tolist()], np.int32)
@@ -188,7 +199,7 @@ def build_index(items: list[tuple[int, str | None]], radius: int, width: int = 5
         holders[n] = np.searchsorted(code[order], np.arange(len(gate) + 1)), np.repeat(np.arange(len(held)), [len(x) for x in held])[order]
     bloom = np.zeros(1 << 20, bool)
     bloom[(gate & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return Index(vocabulary, gate, gate_weight, gate_sizes, bloom, weights, sizes, blocks, fps, holders)
+    return Index(vocabulary, gate, gate_weight, gate_sizes, bloom, weights, floor, sizes, blocks, fps, holders)
 
 
 def similarity(item: Item, words: list[str], hashes: list[int], weights: dict[int, int]) -> float:
@@ -220,7 +231,7 @@ def matches(text: str | None, index: Index, radius: int, least: float, width: in
     at, hits = at[index.gate[at] == codes[maybe]], maybe[index.gate[at] == codes[maybe]]
     if not len(hits):
         return []
-    weight = np.full(len(codes), WEIGHT, np.int64)
+    weight = np.full(len(codes), index.floor, np.int64)
     weight[hits] = index.gate_weight[at]
     whole = np.r_[0, np.cumsum(weight)]
     place = np.full(len(codes), -1, np.int64)
@@ -267,18 +278,31 @@ def _matcher(index, radius: int, least: float):
     return run
 
 
+def shared_weights(items: DataFrame, width: int = 5) -> dict[int, int]:
+    """The weights of shingle hashes over all items, counted in one aggregation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(_rolled(word_hashes(words_of(t.as_py())), width)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["hash"])
+
+    held = bounded(items).select("text").mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    return shingle_weights((r.hash & (2**64 - 1), r.n) for r in held.collect())
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, radius: int = 16, least: float = 0.8, block_items: int = 5000) -> DataFrame:
     """*docs* with `matches` added: for each item found in the text its best window."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     n = max(1, -(-items.count() // block_items))
+    weights = shared_weights(items)
     found = []
     for k in range(n):
         # by hash, so a block holds about block_items at most, whatever the number of items
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], radius))
+        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], radius, weights=weights))
         found.append(F.arrow_udf(_matcher(index, radius, least), MATCH)("text"))
-    return bounded(docs).withColumn("matches", F.concat(*found))
+    return bounded(docs).withColumn("matches", F.array_sort(F.concat(*found)))
 
 
 TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64())]))

@@ -239,3 +239,23 @@ def test_no_similar_window_is_lost():
                 got = {m["item_id"]: round(m["similarity"], 9) for m in decontaminate.matches(text, own, radius, 0.8)}
                 want = {k: round(s, 9) for k, s in brute_matches(text, [items[i]]).items()}
                 assert got == want or radius == 16 and set(want) <= set(got)
+
+
+def test_blocks_of_items_give_equal_rows(spark):
+    rnd = random.Random(5)
+    preamble = " ".join(f"p{i}" for i in range(30))
+    items = [(i, preamble + " " + " ".join(f"w{rnd.randrange(200)}" for _ in range(10 + i % 3))) for i in range(12)]
+    items += [(12 + i, " ".join(f"w{rnd.randrange(200)}" for _ in range(20))) for i in range(6)] + [(18, items[11][1])]
+    docs = []
+    for i in range(120):
+        words = rnd.choice(items)[1].split()
+        for _ in range(rnd.randrange(4)):
+            words[rnd.randrange(len(words))] = "other"
+        docs.append((i, " ".join(["x"] * rnd.randrange(5) + words)))
+    docs.append((120, preamble + " " + " ".join(f"w{rnd.randrange(200)}" for _ in range(12))))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i, round(s, 9)) for d, t in docs for i, s in brute_matches(t, items).items()}
+    whole = decontaminate.with_matches(df, bench).collect()
+    assert {(r.doc_id, m.item_id, round(m.similarity, 9)) for r in whole for m in r.matches} == want
+    for n in (9, 3):
+        assert sorted(decontaminate.with_matches(df, bench, block_items=n).collect()) == sorted(whole)
