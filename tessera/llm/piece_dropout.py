@@ -2,12 +2,13 @@
 
 Encoding works off an agenda of merges: of the adjacent pairs whose union is a
 piece the one with the best score (then the leftmost) is merged, and again.
-With dropout each candidate merge, known by its unit and the places where its
+With dropout each candidate merge, known by its occurrence and the places where its
 two parts begin and end, is skipped if a keyed hash of it falls below `alpha`.
-The hash takes a seed and a variant that is drawn by keyed hash for each
-occurrence from `variants`, so the same word is segmented in several ways in a
-corpus, each run gives the same ids, and what a task has computed for a unit can be used
-again. With `alpha` 0 the ids are those of the library's encoder.
+The hash takes a seed, the document and the unit's number in it, so each
+occurrence has its own draws and each run gives the same ids. A skip matters only to
+merges that are carried out: a task remembers a unit's merges and ids without a skip, and those with
+one merge skipped, and uses them for the occurrences whose draws skip no other of these merges.
+The rest is worked off for each occurrence. With `alpha` 0 the ids are those of the library's encoder.
 
 A unit is a run of spaces with the word behind it. No piece of the model may
 hold a space mark behind another character, so no merge crosses units. Units of
@@ -49,6 +50,8 @@ WIDE = 48
 REMEMBERED, TOGETHER = 200_000, 100_000
 #: Units that a worker keeps from one task to the next, those met most often.
 KEPT = 30_000
+#: How often a unit is met before its ids with one merge skipped are remembered.
+OFTEN = 16
 NO = np.int32(2**31 - 1)
 
 
@@ -111,48 +114,57 @@ def skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray
     return (draw >> np.uint64(11)).astype(np.float64) * 2.0**-53 < alpha
 
 
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of *n* numbers for each of *first*, one after another."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
 class Encoder:
-    """Encodes units; for tasks, which keep one for each model and setting."""
+    """Encodes units; for tasks, which keep one for each model and setting. *variants* limits nothing: it is taken for older callers."""
 
-    def __init__(self, model: bytes, alpha: float, seed: int, variants: int):
+    def __init__(self, model: bytes, alpha: float, seed: int, variants: int = 0):
         self.v = vocabulary(model)
-        self.alpha, self.seed, self.variants = alpha, seed, max(1, variants if alpha > 0 else 1)
+        self.alpha, self.seed = alpha, seed
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.keys: list[int] = []
+        self.met: set[str] = set()  # units met once, which are not remembered yet
         self.units: list[str] = []
-        self.first = np.full(1024 * self.variants, -1, np.int64)  # by unit and variant: where its ids begin
-        self.count = np.zeros(1024 * self.variants, np.int32)
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
         self.hits = np.zeros(1024, np.int64)  # by unit
+        self.base = np.zeros(1024, np.int64)  # by unit: its slot without a skip; that with its merge j skipped is 1 + j behind
+        self.slots = 0
+        self.first = np.full(4096, -1, np.int64)  # by slot: where its ids begin, and its merges
+        self.count, self.merge_first, self.merge_count = (np.zeros(4096, np.int64) for _ in range(3))
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.merge_pool, self.merge_used = np.zeros(1 << 16, np.int64), 0
 
     def make_room(self, most: int = REMEMBERED // 2) -> None:
         """Forget all but the *most* units met most often."""
-        n, v = len(self.units), self.variants
-        often = np.argsort(-self.hits[:n], kind="stable")[:most]
+        often = np.argsort(-self.hits[: len(self.units)], kind="stable")[:most]
         kept = np.sort(often[self.hits[often] > 1])
-        old = (self.place, self.keys, self.units, self.first, self.count, self.pool, self.hits)
+        units, hits, base, first, count, pool = self.units, self.hits, self.base, self.first, self.count, self.pool
+        merge_first, merge_count, merge_pool = self.merge_first, self.merge_count, self.merge_pool
         self.forget()
-        self.units = [old[2][i] for i in kept.tolist()]
-        self.keys = [old[1][i] for i in kept.tolist()]
+        self.units = [units[i] for i in kept.tolist()]
         self.place = {u: i for i, u in enumerate(self.units)}
-        self.reserve()
-        self.hits[: len(kept)] = old[6][kept] // 2  # what was met long ago counts less
-        slots = (kept[:, None] * v + np.arange(v)).ravel()
-        known = np.flatnonzero(old[3][slots] >= 0)
-        first, count = old[3][slots[known]], old[4][slots[known]].astype(np.int64)
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        self.store(known, count, old[5][at])
-
-    def reserve(self) -> None:
-        """Places for all units."""
-        while len(self.units) * self.variants > len(self.first):
+        n = 1 + merge_count[base[kept]]
+        self.allot(0, n)
+        self.hits[: len(kept)] = hits[kept] // 2  # what was met long ago counts less
+        slots = ranges(base[kept], n)
+        known = np.flatnonzero(first[slots] >= 0)
+        old = slots[known]
+        self.store(known, count[old], pool[ranges(first[old], count[old])], merge_count[old], merge_pool[ranges(merge_first[old], merge_count[old])])
+
+    def allot(self, start: int, n: np.ndarray) -> None:
+        """*n* slots for each of the units from *start* on."""
+        while len(self.units) > len(self.base):
+            self.base, self.hits = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.base, self.hits))
+        self.base[start : start + len(n)] = self.slots + np.cumsum(n) - n
+        self.slots += int(n.sum())
+        while self.slots > len(self.first):
             self.first = np.r_[self.first, np.full(len(self.first), -1, np.int64)]
-            self.count = np.r_[self.count, np.zeros(len(self.count), np.int32)]
-            self.hits = np.r_[self.hits, np.zeros(len(self.hits), np.int64)]
+            self.count, self.merge_first, self.merge_count = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.count, self.merge_first, self.merge_count))
 
     def symbols(self, unit: str) -> list[int]:
         return list(map(self.v.char_id.__getitem__, unit))
@@ -198,8 +210,18 @@ class Encoder:
             push(before[i], i)
         return self.flat([x for x, a in zip(ids, alive, strict=True) if a])
 
-    def encode_matrix(self, units: list[str], keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Units of at most WIDE symbols, all at once: places in *units*, how many ids each has, and these."""
+    def encode_matrix(
+        self, units: list[str], keys: np.ndarray | None, banned: np.ndarray | None = None, trace: list[tuple[np.ndarray, np.ndarray]] | None = None
+    ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Units of at most WIDE symbols, all at once: places in *units*, how many ids each has, and these.
+
+        Skipped are the merges that *keys* draw, or the one of *banned* for each unit. *trace* gets the merges in order.
+        """
+
+        def drops(r: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+            return skipped(keys[r], a, b, c, self.alpha) if banned is None else (a << 42 | b << 21 | c) == banned[r]
+
+        draws = banned is not None or keys is not None and self.alpha > 0
         rows = [self.symbols(u) for u in units]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         width = int(sizes.max())
@@ -209,9 +231,9 @@ class Encoder:
         np.minimum(start, sizes[:, None], out=start)
         who = np.arange(len(rows))
         rank, new = self.merges(ids[:, :-1], ids[:, 1:])
-        if self.alpha > 0:
+        if draws:
             r, c = np.nonzero(rank != NO)
-            drop = skipped(keys[r], start[r, c], start[r, c + 1], start[r, c + 2], self.alpha)
+            drop = drops(r, start[r, c], start[r, c + 1], start[r, c + 2])
             rank[r[drop], c[drop]] = NO
         while True:
             best = rank.argmin(axis=1) if width else np.zeros(len(who), np.int64)
@@ -228,6 +250,8 @@ class Encoder:
             go = ~done
             who, ids, start, rank, new, sizes, best = who[go], ids[go], start[go], rank[go], new[go], sizes[go], best[go]
             at = np.arange(len(who))
+            if trace is not None:
+                trace.append((who, start[at, best] << 42 | start[at, best + 1] << 21 | start[at, best + 2]))
             ids[at, best] = new[at, best]
             gone = np.arange(width) > best[:, None]  # what lies right of the merged pair moves one place to the left
             ids[:, :-1] = np.where(gone, ids[:, 1:], ids[:, :-1])
@@ -240,57 +264,112 @@ class Encoder:
             for c, ok in ((best, np.ones(len(at), bool)), (best - 1, best > 0)):
                 r, c = at[ok], c[ok]
                 k, i = self.merges(ids[r, c], ids[r, c + 1])
-                if self.alpha > 0:
-                    k = np.where((k != NO) & skipped(keys[who[r]], start[r, c], start[r, c + 1], start[r, c + 2], self.alpha), NO, k)
+                if draws:
+                    k = np.where((k != NO) & drops(who[r], start[r, c], start[r, c + 1], start[r, c + 2]), NO, k)
                 rank[r, c], new[r, c] = k, i
 
-    def learn(self, wanted: np.ndarray) -> None:
-        """Encode units by unit * variants + variant, and remember them."""
-        units = [self.units[w] for w in (wanted // self.variants).tolist()]
-        base = np.fromiter((self.keys[w] for w in (wanted // self.variants).tolist()), np.uint64, len(wanted))
-        with np.errstate(over="ignore"):
-            keys = base + (wanted % self.variants).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    def in_matrices(self, units: list[str], keys: np.ndarray | None = None, banned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids each unit has, all ids, and the same of the merges (none where *keys* are given)."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
+        n, n_merges = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        who_of, ids_of, merging, merges = ([np.zeros(0, np.int64)] for _ in range(4))
         low = 0
         for width in (6, 10, 16, 24, WIDE):
             pick = np.flatnonzero((sizes > low) & (sizes <= width))
             low = width
-            for at in range(0, len(pick), 20_000):
-                part = pick[at : at + 20_000]
-                for who, n, ids in self.encode_matrix([units[i] for i in part.tolist()], keys[part]):
-                    self.store(wanted[part[who]], n, ids)
+            for a in range(0, len(pick), 20_000):
+                part = pick[a : a + 20_000]
+                trace: list | None = [] if keys is None else None
+                for who, count, ids in self.encode_matrix([units[i] for i in part.tolist()], None if keys is None else keys[part], None if banned is None else banned[part], trace):
+                    n[part[who]] = count
+                    who_of.append(np.repeat(part[who], count))
+                    ids_of.append(ids)
+                for who, place in trace or ():
+                    merging.append(part[who])
+                    merges.append(place)
         for i in np.flatnonzero(sizes > WIDE).tolist():
-            ids = np.array(self.encode_long(units[i], int(keys[i])), np.int32)
-            self.store(wanted[i : i + 1], np.array([len(ids)]), ids)
+            ids = np.array(self.encode_long(units[i], int(keys[i]) if keys is not None else 0), np.int64)
+            n[i] = len(ids)
+            who_of.append(np.full(len(ids), i))
+            ids_of.append(ids)
+        who, merged = np.concatenate(who_of), np.concatenate(merging)
+        n_merges += np.bincount(merged, minlength=len(units))
+        return n, np.concatenate(ids_of)[np.argsort(who, kind="stable")].astype(np.int32), n_merges, np.concatenate(merges)[np.argsort(merged, kind="stable")]
+
+    def store(self, at: np.ndarray, n: np.ndarray, ids: np.ndarray, n_merges: np.ndarray, merges: np.ndarray) -> None:
+        self.write(ids)
+        while self.merge_used + len(merges) > len(self.merge_pool):
+            self.merge_pool = np.r_[self.merge_pool, np.zeros(len(self.merge_pool), np.int64)]
+        self.merge_pool[self.merge_used : self.merge_used + len(merges)] = merges
+        self.first[at], self.count[at] = self.used + np.cumsum(n) - n, n
+        self.merge_first[at], self.merge_count[at] = self.merge_used + np.cumsum(n_merges) - n_merges, n_merges
+        self.used += len(ids)
+        self.merge_used += len(merges)
 
-    def store(self, at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+    def write(self, ids: np.ndarray) -> None:
+        """Put *ids* behind the pool's end."""
         while self.used + len(ids) > len(self.pool):
             self.pool = np.r_[self.pool, np.zeros(len(self.pool), np.int32)]
         self.pool[self.used : self.used + len(ids)] = ids
-        self.first[at], self.count[at] = self.used + np.cumsum(n) - n, n
-        self.used += len(ids)
 
-    def together(self, units: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of *units* one after another, and how many each has; *draws* chooses the variants."""
-        if len(self.place) > REMEMBERED or self.used > 8 * REMEMBERED * self.variants:
+    def first_skips(self, slot: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which occurrences skip a merge of their slot, and the number of the first one."""
+        n = self.merge_count[slot]
+        place = self.merge_pool[ranges(self.merge_first[slot], n)]
+        low = (1 << 21) - 1
+        hit = np.flatnonzero(skipped(np.repeat(keys, n), place >> 42, place >> 21 & low, place & low, self.alpha))
+        who = np.repeat(np.arange(len(slot)), n)[hit]
+        lead = np.flatnonzero(np.r_[True, who[1:] != who[:-1]][: len(who)])
+        return who[lead], hit[lead] - (np.cumsum(n) - n)[who[lead]]
+
+    def together(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of *units* one after another, and how many each has; *keys* are those of the occurrences' draws."""
+        if len(self.place) > REMEMBERED or len(self.met) > REMEMBERED or self.used > 32 * REMEMBERED or self.merge_used > 32 * REMEMBERED:
             self.make_room()
         index = np.fromiter(map(self.place.get, units, itertools.repeat(-1)), np.int64, len(units))
+        known = len(self.units)
         for i in np.flatnonzero(index < 0).tolist():
             u = units[i]
+            if len(u) > WIDE:
+                continue
             if u not in self.place:
+                if u not in self.met:
+                    self.met.add(u)
+                    continue
+                self.met.discard(u)
                 self.place[u] = len(self.units)
                 self.units.append(u)
-                self.keys.append(xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), self.seed & (2**64 - 1)))
             index[i] = self.place[u]
-        self.reserve()
-        self.hits += np.bincount(index, minlength=len(self.hits))
-        slot = index * self.variants + (draws % np.uint64(self.variants)).astype(np.int64)
-        missing = np.unique(slot[self.first[slot] < 0])
-        if len(missing):
-            self.learn(missing)
-        first, count = self.first[slot], self.count[slot].astype(np.int64)
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        return self.pool[at], count
+        if len(self.units) > known:
+            n, ids, n_merges, merges = self.in_matrices(self.units[known:])
+            self.allot(known, 1 + n_merges)
+            self.store(self.base[known : len(self.units)], n, ids, n_merges, merges)
+        short = np.flatnonzero(index >= 0)
+        self.hits += np.bincount(index[short], minlength=len(self.hits))
+        slot = np.full(len(units), -1, np.int64)
+        slot[short] = self.base[index[short]]
+        if self.alpha > 0:
+            who, j = self.first_skips(slot[short], keys[short])
+            once = short[who]
+            often = self.hits[index[once]] >= OFTEN
+            slot[once[~often]] = -1
+            once, j = once[often], j[often]
+            skip = self.merge_pool[self.merge_first[slot[once]] + j]
+            slot[once] += 1 + j
+            missing, lead = np.unique(slot[once], return_index=True)
+            lead = lead[self.first[missing] < 0]
+            missing = missing[self.first[missing] < 0]
+            if len(missing):
+                self.store(missing, *self.in_matrices([units[i] for i in once[lead].tolist()], None, skip[lead]))
+            more, _ = self.first_skips(slot[once], keys[once])
+            slot[once[more]] = -1
+        own = np.flatnonzero(slot < 0)
+        first, count = self.first[slot], self.count[slot]
+        if len(own):  # for these occurrences alone: behind the pool's end
+            n, ids, _, _ = self.in_matrices([units[i] for i in own.tolist()], keys[own])
+            self.write(ids)
+            first[own], count[own] = self.used + np.cumsum(n) - n, n
+        return self.pool[ranges(first, count)], count
 
     def encode(self, texts: list[str | None], docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of *texts* one after another, and how many each text has."""
@@ -304,8 +383,9 @@ class Encoder:
             n = np.array([s[1] for s in spans])
             ordinal = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat([s[2] for s in spans], n)
             with np.errstate(over="ignore"):
-                draws = _mix(_mix(np.repeat(doc, n) ^ np.uint64(self.seed & (2**64 - 1))) + ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            got, count = self.together(units, draws)
+                seed = _mix(np.array([self.seed & (2**64 - 1)], np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+                keys = _mix(_mix(np.repeat(_mix(doc + seed), n)) + ordinal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            got, count = self.together(units, keys)
             np.add.at(sizes, np.repeat([s[0] for s in spans], n), count)
             ids.append(got)
             units.clear()
@@ -342,11 +422,11 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(model: bytes, alpha: float, seed: int, variants: int) -> Encoder:
-    key = (xxhash.xxh3_64_intdigest(model), alpha, seed, variants)
+def encoder(model: bytes, alpha: float, seed: int) -> Encoder:
+    key = (xxhash.xxh3_64_intdigest(model), alpha, seed)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(model, alpha, seed, variants)
+        _ENCODERS[key] = Encoder(model, alpha, seed)
     return _ENCODERS[key]
 
 
@@ -367,7 +447,7 @@ def read_model(df: DataFrame, path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model_path: str, alpha: float = 0.1, seed: int = 1, variants: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """*docs* with `ids` and `lossless` (whether they decode to the text) added."""
+    """*docs* with `ids` and `lossless` (whether they decode to the text) added; *variants* limits nothing: it is taken for older callers."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(docs, model_path))
 
     def batch(own: Encoder, keys: pa.Array, texts: pa.Array) -> pa.Array:
@@ -386,7 +466,7 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 0.1, seed: int = 1,
         return pa.StructArray.from_arrays([lists, pa.array(good, pa.bool_())], ["ids", "lossless"])
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        own = encoder(model.value, alpha, seed, variants)
+        own = encoder(model.value, alpha, seed)
         try:
             for keys, texts in batches:
                 yield batch(own, keys, texts)
@@ -403,7 +483,7 @@ def decoded(ids: Column, df: DataFrame, model_path: str) -> Column:
     model = df.sparkSession.sparkContext.broadcast(read_model(df, model_path))
 
     def run(lists: pa.Array) -> pa.Array:
-        own = encoder(model.value, 0.0, 0, 1)
+        own = encoder(model.value, 0.0, 0)
         rows = [np.asarray(x.as_py() or [], np.int32) for x in lists]
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         return pa.array(own.decode(flat, np.array([len(r) for r in rows], np.int64)), pa.binary()).cast(pa.string())

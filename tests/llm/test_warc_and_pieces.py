@@ -110,3 +110,32 @@ def test_query_columns(spark):
     assert all(r.lossless and r.back == (r.text or "") for r in rows)
     assert len({tuple(r.ids) for r in rows if r.doc_id == 3}) == 1
     assert piece_dropout.encode(df.limit(0), MODEL).count() == 0
+
+
+@pieces
+@pytest.mark.parametrize("alpha", [0.1, 0.5, 1.0])
+def test_each_occurrence_has_its_own_draws(alpha, monkeypatch):
+    model = open(MODEL, "rb").read()
+    own = piece_dropout.Encoder(model, alpha, 1, 4)
+    seen = []
+    together = own.together
+
+    def spy(units, keys):
+        seen.append((list(units), keys.copy(), *together(units, keys)))
+        return seen[-1][2:]
+
+    own.together = spy
+    monkeypatch.setattr(piece_dropout, "REMEMBERED", 5)
+    texts = ["the segmentation of thousands " * 300, *TEXTS]
+    own.encode(texts, list(range(len(texts))))
+    own.make_room(3)
+    own.encode(texts, [7] * len(texts))
+    for units, keys, ids, count in seen:
+        parts = [p.tolist() for p in np.split(ids, np.cumsum(count)[:-1])]
+        assert parts == [own.encode_long(u, int(k)) for u, k in zip(units, keys, strict=True)]
+    ways = {tuple(p) for u, p in zip(seen[0][0], parts_of(seen[0]), strict=True) if u == " segmentation"}
+    assert len(ways) == 1 if alpha == 1.0 else len(ways) > 4
+
+
+def parts_of(call):
+    return [p.tolist() for p in np.split(call[2], np.cumsum(call[3])[:-1])]
