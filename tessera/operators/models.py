@@ -42,8 +42,8 @@ def context_perplexity(contexts: list[str], targets: list[str]) -> list[float]:
     return [bigram_perplexities([c or "", t or ""])[1] for c, t in zip(contexts, targets, strict=True)]
 
 
-def with_embedding(df: DataFrame, text: str, embedder: Embedder | None = None, clip: int = 2000, name: str = "embedding") -> DataFrame:
-    """*df* with the vectors of a text column; models see at most *clip* characters, as their inputs are bounded."""
+def with_embedding(df: DataFrame, text: str, embedder: Embedder | None = None, clip: int | None = None, name: str = "embedding") -> DataFrame:
+    """*df* with the vectors of a text column; a model of bounded input can be given the first *clip* characters only."""
     embed = embedder or hashing_embedder()
 
     def run(texts: pa.Array) -> pa.Array:

@@ -104,3 +104,13 @@ def test_streams(spark, tmp_path, sf_dir):
     live.writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     batch = {(r.event_type, r.start): r.n for r in incremental.tumbling(events).collect()}
     assert {(r.event_type, r.start): r.n for r in spark.table("live").collect()} == batch
+
+
+def test_embeddings_are_of_whole_texts(spark):
+    from tessera.operators import models
+
+    df = spark.createDataFrame([(0, "same " * 1000 + "one"), (1, "same " * 1000 + "other"), (2, None)], "doc_id long, text string")
+    by = {r.doc_id: r.embedding for r in models.with_embedding(df, "text").collect()}
+    assert by[0] != by[1] and len(by[2]) == len(by[0])
+    clipped = {r.doc_id: r.embedding for r in models.with_embedding(df, "text", clip=2000).collect()}
+    assert clipped[0] == clipped[1]
