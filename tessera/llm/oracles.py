@@ -13,7 +13,7 @@ def low(x: str) -> str:
     return f"translate({x}, '{UPPER}', '{LOWER}')"
 
 
-def op1(rules, z: float = 1.645, tolerance: float = 0.5) -> str:
+def op1(rules, z: float = 1.0, factor: float = 1.0) -> str:
     fits = " ".join(
         f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '/{p}') THEN '{{{k}}}'"
         for k, (_, h, p) in enumerate(sorted(rules, key=lambda r: -len(r[1]) - len(r[2])))
@@ -46,7 +46,7 @@ d0 AS (SELECT domain, suffix, sum(h.n) n, sum(h.k) k, any_value(m) m FROM h JOIN
 d AS (SELECT domain, suffix, (k + kappa * m) / (n + kappa) m FROM (SELECT *, {kappa('d0')} kappa FROM d0)),
 v0 AS (SELECT host, n, k, m FROM h JOIN d USING (domain, suffix)),
 v1 AS (SELECT host, k + kappa * m a, n - k + kappa * (1 - m) b FROM (SELECT *, {kappa('v0')} kappa FROM v0)),
-v AS (SELECT host, CASE WHEN a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {tolerance} THEN 'block' ELSE 'allow' END by_host FROM v1)
+v AS (SELECT host, CASE WHEN round(a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 9) > round({factor} * (SELECT (sum(k) + 0.5) / (sum(n) + 1) FROM h), 9) THEN 'block' ELSE 'allow' END by_host FROM v1)
 SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {action} END, by_host) AS verdict FROM p LEFT JOIN v USING (host)
 """
 

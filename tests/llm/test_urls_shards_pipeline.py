@@ -54,6 +54,43 @@ def test_posterior_is_shrunk(spark):
     assert found["tiny.two.org"].mean < 1 and found["new.one.org"].bound < found["new.one.org"].mean
 
 
+def test_suffix_table(spark, tmp_path):
+    (tmp_path / "rules.dat").write_text("// comment\n\ncom\nuk\nco.uk // two\n*.ck\n!www.ck\nblogs.example\n")
+    rules = url_reputation.public_suffixes(spark, str(tmp_path / "rules.dat"))
+    want = {
+        "a.b.com": ("b.com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"), "y.uk": ("y.uk", "uk"), "a.b.c.ck": ("b.c.ck", "c.ck"), "a.www.ck": ("www.ck", "ck"),
+        "me.blogs.example": ("me.blogs.example", "blogs.example"), "a.unknown": ("a.unknown", "unknown"), "com": ("com", ""), "": ("", ""), "1.2.3.4:80": ("1.2.3.4", ""),
+    }
+    rows = url_reputation.with_domain(spark.createDataFrame([(h,) for h in want], "host string"), suffixes=rules).collect()
+    assert {r.host: (r.domain, r.suffix) for r in rows} == want
+    plain = url_reputation.with_domain(spark.createDataFrame([("x.y.co.uk",), ("a.b.com",)], "host string")).collect()
+    assert {(r.domain, r.suffix) for r in plain} == {("y.co.uk", "co.uk"), ("b.com", "com")}
+
+
+def test_method_blocks_and_allows_hosts_of_the_driver_tables(spark):
+    d = "/root/testdata/sf0.01"
+    rows = queries.op1_url_reputation(spark, d).filter("rule IS NULL").collect()
+    assert {r.verdict for r in rows} == {"allow", "block"}
+    by_host = {}
+    for r in rows:
+        by_host.setdefault(r.host, set()).add(r.verdict)
+    assert all(len(v) == 1 for v in by_host.values())
+    # a host whose pages are all labelled bad is blocked, whatever the other pages' rate
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", "toxic")
+    worse = spark.createDataFrame([(10_000 + i, f"https://junk.example.org/{i}") for i in range(30)], pages.schema)
+    marks = spark.createDataFrame([(10_000 + i, 0, 0) for i in range(30)], labels.schema)
+    seen = url_reputation.judge(pages.unionByName(worse), labels.unionByName(marks), []).filter("host = 'junk.example.org'").collect()
+    assert {r.verdict for r in seen} == {"block"}
+
+
+def test_allowed_pages_keep_clashing_columns(spark):
+    pages = spark.createDataFrame([(i, "http://bad.site/" if i % 2 else "http://good.site/", 1, 2, 3, 4) for i in range(80)], "page_id long, url string, host int, _host int, _blocked int, row int")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    kept = url_reputation.keep_allowed(pages, labels)
+    assert kept.columns == pages.columns and sorted(kept.collect()) == sorted(r for r in pages.collect() if "good" in r.url)
+
+
 def test_ranks_are_gapless(spark):
     df = spark.range(1000).selectExpr("id % 7 AS k", "id")
     got = sorted((r.k, r.id, r.idx) for r in indexed(df, ["k", "id"]).collect())
