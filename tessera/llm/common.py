@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,24 +31,29 @@ def bounded(df: DataFrame, size: str = "4m") -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a temporary folder and any other
-    master one beside the warehouse, which executors share as well.
-    """
+    """The shared folder of spark.checkpoint.dir; where it is unset, one beside the warehouse, which executors share as well."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        master = spark.sparkContext.master
-        if master.startswith("local") and not master.startswith("local-cluster"):
-            root = tempfile.mkdtemp(prefix="tessera-")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+#: Scratch paths of this process that are still there, each with what deletes it.
+_LEFT: dict[str, Callable[[], None]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is still there when the process ends is deleted then."""
+    path = f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+
+    def delete() -> None:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+    _LEFT[path] = delete
+    return path
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -63,14 +70,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that no later plan reads."""
-    path = getattr(df, "_tessera_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        target.getFileSystem(conf).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads; others are let be."""
+    for df in tables:
+        if delete := _LEFT.pop(getattr(df, "_tessera_path", ""), None):
+            delete()
+
+
+@atexit.register
+def _discard_all() -> None:
+    while _LEFT:
+        with contextlib.suppress(Exception):  # the session, or its JVM, may be gone: then the folder's owner cleans up
+            _LEFT.popitem()[1]()
 
 
 def ascii_lower(column: Column) -> Column:
@@ -101,12 +112,40 @@ def indexed(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
     return out.withColumn(name, F.col("_start") + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", mid)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def running(df: DataFrame, keys: list[str], amount: str, name: str = "before") -> DataFrame:
+    """*df* with the sum of *amount* over the rows before each one, in the order of *keys* over the whole table.
+
+    Like indexed(): range partitions, a sum within each, and what the partitions before hold, a row for each.
+    """
+    part = F.spark_partition_id().alias("_part")
+    ranked = materialize(df.repartitionByRange(*[F.col(k) for k in keys]).select("*", part), "running")
+    sizes = ranked.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    own = F.coalesce(F.sum(amount).over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each partition of the range exchange: its size is bounded by that count
+    return ranked.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_start", "_own")
+
+
+#: A node with more than this part of all edges is dealt to SALTS tasks.
+HOT_PART, SALTS = 1000, 64
+
+
+def _with_hot(both: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """*both* (u, v) joined with *least* (u, m, n): the rows of a node with many of all edges are dealt to many tasks."""
+    hot = F.col("n") > n_edges / HOT_PART
+    # at most 2 * HOT_PART nodes, as the edges have 2 * n_edges ends
+    marked = both.join(F.broadcast(least.filter(hot).select("u", F.lit(True).alias("hot"))), "u", "left")
+    salted = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    salts = F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    return salted.join(least.select("u", "m", salts), ["u", "salt"]).drop("salt")
+
+
+def connected_components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Components of the undirected edges (a, b): one row (node, root) for each node.
 
     Alternating large-star and small-star rounds until the edges no longer
-    change. Minima are pre-aggregated before each exchange; the joins back are
-    plain equi-joins, which adaptive execution splits at hot nodes.
+    change; with *max_rounds*, RuntimeError if they still do then. Minima are
+    pre-aggregated before each exchange; in the joins back, the rows of hot nodes are dealt to many tasks.
     """
     e = materialize(
         edges.filter(F.col("a") != F.col("b"))
@@ -118,20 +157,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     def mark(df):
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
-    before = mark(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    before, rounds = mark(e), 0
+    while before[0]:
+        if max_rounds is not None and rounds == max_rounds:
+            raise RuntimeError(f"components not finished after {rounds} rounds")
+        rounds += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least2, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least2.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        after_e = materialize(small, "edges")
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = _with_hot(both, least, before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_hot(large, least2, before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after_e = materialize(small.unionByName(least2.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = mark(after_e)
         discard(e)
         e, changed, before = after_e, after != before, after

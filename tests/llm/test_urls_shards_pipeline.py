@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -117,11 +118,69 @@ def test_shards_are_even_and_keep_groups(spark, texts, shards):
 
 
 def test_admission_never_exceeds_room():
-    wishes = {(0, 1): 10, (1, 0): 4, (2, 1): 7, (0, 2): 3}
-    may = shard_balance.admitted(wishes, [0, 5, 1])
-    load = [sum(n for (a, b), n in may.items() if b == s) - sum(n for (a, b), n in may.items() if a == s) for s in range(3)]
-    assert all(may[k] <= wishes[k] for k in may)
-    assert load[0] <= 0 and load[1] <= 5 and load[2] <= 1
+    rnd = random.Random(8)
+    for shards in (1, 2, 5, 40):
+        for _ in range(20):
+            wishes = {(a, b): rnd.randrange(9) for a in range(shards) for b in range(shards) if a != b and rnd.random() < 0.4}
+            room = [rnd.choice([0, 0, rnd.randrange(6)]) for _ in range(shards)]
+            may = shard_balance.admitted(wishes, room)
+            assert all(0 < n <= wishes[p] for p, n in may.items())
+            for s in range(shards):
+                assert sum(n for (_, b), n in may.items() if b == s) - sum(n for (a, _), n in may.items() if a == s) <= room[s]
+    assert shard_balance.admitted({(0, 1): 4, (1, 2): 3, (2, 0): 5}, [0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}  # a circle without room
+
+
+def slow_propagation(sizes, quota, least):
+    """The rounds, with documents in place of tables: the shard of each linked document, by group."""
+    shards, firsts = len(quota), [sum(sizes[:i]) for i in range(len(sizes))]
+    homes = {g: [(g + j) % shards for j in range(n)] for g, n in zip(firsts, sizes, strict=True)}
+    cut = lambda: sum(x != y for h in homes.values() for i, x in enumerate(h) for y in h[:i])
+    before = cut()
+    number = idle = 0
+    while idle < shard_balance.PATIENCE:
+        load = Counter(s for h in homes.values() for s in h)
+        assert all(load[s] <= q for s, q in enumerate(quota))
+        open_ = {s for s, q in enumerate(quota) if 50 * (q - load[s]) > q}
+        moves = []
+        factor = shard_balance.tie_factor(number)
+        for g, h in homes.items():
+            n = Counter(h)
+            b = max(n, key=lambda s: (s in open_, n[s], (g % shard_balance.PRIME + s) * factor % shard_balance.PRIME))
+            moves += [(s, b, -(n[b] - n[s] + 1).bit_length(), g) for s in n if s != b and n[b] >= n[s] for _ in range(n[s])]
+        may = shard_balance.admitted(dict(Counter((s, b) for s, b, _, _ in moves)), [q - load[s] for s, q in enumerate(quota)])
+        for pair, n in may.items():
+            for s, b, _, g in [m for m in sorted(moves) if m[:2] == pair][:n]:
+                homes[g][homes[g].index(s)] = b
+        number, idle = number + 1, idle + 1 if sum(may.values()) <= least * sum(sizes) else 0
+    return {(g, s): n for g, h in homes.items() for s, n in Counter(h).items()}, before, cut(), number
+
+
+@pytest.mark.parametrize(("unlinked", "shards"), [(0, 40), (20, 40), (60, 40), (150, 40), (0, 3)])
+def test_quotas_hold_and_links_are_kept(spark, unlinked, shards):
+    rnd = random.Random(unlinked)
+    sizes = [90, 200] if shards == 3 else []
+    while sum(sizes) < 1200:
+        sizes.append(rnd.choice([2, 2, 3, 4, 5]))
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"alone {i}" for i in range(unlinked)]
+    rnd.shuffle(texts)
+    rows = shard_balance.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards, least=0.01).collect()
+    counts = Counter(r.shard for r in rows)
+    assert sum(counts.values()) == len(texts) and set(counts) <= set(range(shards))
+    assert max(counts.values()) - min(counts.get(s, 0) for s in range(shards)) <= 1
+    for s, n in counts.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    # where each group's documents are, against plain Python
+    found = {}
+    for r in rows:
+        found.setdefault((r.h1, r.h2), Counter())[r.shard] += 1
+    groups = [found[h] for h in sorted(found) if found[h].total() > 1]
+    sizes = [n.total() for n in groups]
+    want, before, after, _ = slow_propagation(sizes, shard_balance.quotas(len(texts), shards), 0.01)
+    firsts = [sum(sizes[:i]) for i in range(len(sizes))]
+    assert {(g, s): k for g, n in zip(firsts, groups, strict=True) for s, k in n.items()} == want
+    assert after < 0.75 * before, (before, after)
+    cohorts = spark.createDataFrame([(g, s, n) for (g, s), n in want.items()], "g long, s int, n long")
+    assert shard_balance.cut_links(cohorts) == after
 
 
 def test_pipeline_stages(spark, sf_dir):
