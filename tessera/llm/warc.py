@@ -16,8 +16,10 @@ magic lie in several fragments; these alone are read again and put together.
 Defined results: a null html is an empty payload; a null page_id is written
 without a number and read back as null, and ranks below all others; pages that
 repeat the largest page_id of a payload are all responses; control characters
-and spaces in a url are written as %20; a chain that breaks (a damaged archive) ends its file's
-records there. Other columns are not read.
+and spaces in a url are written as %20, and urls may be of any length. A file whose chain doesn't end
+at the file's own end is damaged: reading raises ValueError, or, with `resume`, goes on at the next
+candidate whose successor is a candidate or the file's end, and leaves out records whose own end is none of these.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import bounded, materialize, scratch_path
+from tessera.llm.common import bounded, discard, materialize, scratch_path
 
 MAGIC = "WARC/1."
 SEPARATOR = "\r\n\r\n" + MAGIC
@@ -66,12 +68,11 @@ def write_warc(pages: DataFrame, path: str, least: int = 1000, date: str = "2024
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
     record = F.concat(
         F.lit(f"{MAGIC}1{end}WARC-Type: "), F.when(again, "revisit").otherwise("response"),
+        F.lit(f"{end}Content-Length: "), F.octet_length(block).cast("string"), F.lit(f"{end}Content-Type: application/http;msgtype=response"),
         F.lit(f"{end}WARC-Record-ID: <{URN}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
-        F.lit(f">{end}WARC-Date: {date}{end}WARC-Target-URI: "), uri,
-        F.lit(f"{end}WARC-Payload-Digest: sha1:"), F.col("_digest"),
+        F.lit(f">{end}WARC-Date: {date}{end}WARC-Payload-Digest: sha1:"), F.col("_digest"),
         F.when(again, F.concat(F.lit(f"{end}WARC-Profile: {PROFILE}{end}WARC-Refers-To: <{URN}"), F.col("response_id").cast("string"), F.lit(">"))).otherwise(""),
-        F.lit(f"{end}Content-Type: application/http;msgtype=response{end}Content-Length: "), F.octet_length(block).cast("string"),
-        F.lit(end * 2), block, F.lit(end + "\r"),
+        F.lit(f"{end}WARC-Target-URI: "), uri, F.lit(end * 2), block, F.lit(end + "\r"),
     )
     rows.select(record.alias("value")).write.option("lineSep", "\n").text(path)
 
@@ -162,27 +163,29 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
     return bounded(lines).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("value"))
 
 
-def entries(placed: DataFrame) -> DataFrame:
-    """(file, start): where the chain from a file's start enters its blocks, by pointer jumping.
+def entries(placed: DataFrame, begun: DataFrame) -> DataFrame:
+    """(file, start): where the chains from *begun* (file, start) enter blocks, these places among them, by pointer jumping.
 
     *placed* has `file`, `start` and `exit`: the place beyond its block where a candidate's chain goes on.
     """
     step = placed.select("file", "start", "exit")
-    goals = step.select("file", F.col("exit").alias("start")).distinct()
-    jump = materialize(
-        step.join(goals, ["file", "start"], "left_semi").filter("start <> 0").unionByName(step.filter("start = 0")), "jump"
-    )
-    reached = materialize(jump.filter("start = 0").select("file", "start"), "reached")
+    goals = step.select("file", F.col("exit").alias("start")).unionByName(begun).distinct()
+    jump = materialize(step.join(goals, ["file", "start"], "left_semi"), "jump")
+    reached = materialize(jump.join(begun, ["file", "start"], "left_semi").select("file", "start"), "reached")
     n = reached.count()
     while True:
         ahead = reached.join(jump, ["file", "start"]).select("file", F.col("exit").alias("start"))
         more = ahead.join(jump.select("file", "start"), ["file", "start"], "left_semi")
-        reached = materialize(reached.unionByName(more).distinct(), "reached")
-        if (now := reached.count()) == n:
+        before, reached = reached, materialize(reached.unionByName(more).distinct(), "reached")
+        now = reached.count()
+        discard(before)
+        if now == n:
+            discard(jump)
             return reached
         n = now
         onward = jump.select("file", F.col("start").alias("exit"), F.col("exit").alias("beyond"))
-        jump = materialize(jump.join(onward, ["file", "exit"], "left").select("file", "start", F.coalesce("beyond", "exit").alias("exit")), "jump")
+        before, jump = jump, materialize(jump.join(onward, ["file", "exit"], "left").select("file", "start", F.coalesce("beyond", "exit").alias("exit")), "jump")
+        discard(before)
 
 
 def _follow(table: pa.Table) -> pa.Table:
@@ -193,10 +196,10 @@ def _follow(table: pa.Table) -> pa.Table:
     total = table.column("total").to_pylist()
     place = {int(s): i for i, s in enumerate(start)}
     reached = np.zeros(len(start), bool)
-    i = next((i for i, e in enumerate(table.column("entry").to_pylist()) if e), None)
-    while i is not None:
-        reached[i] = True
-        i = place.get(int(start[i]) + total[i]) if total[i] is not None else None
+    for i in [i for i, e in enumerate(table.column("entry").to_pylist()) if e]:
+        while i is not None and not reached[i]:
+            reached[i] = True
+            i = place.get(int(start[i]) + total[i]) if total[i] is not None else None
     at = np.cumsum(reached)
     own = np.r_[-1, start[reached]][at]
     return table.append_column("reached", pa.array(reached)).append_column("owner", pa.array(own, mask=at == 0))
@@ -221,7 +224,7 @@ def _joined(pieces: pa.Array, total: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("http_bytes", pa.int64())]))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, resume: bool = False) -> DataFrame:
     """One row for each true record of the archives in *path*.
 
     (file, start, type, page_id, refers_to, uri, digest, http_bytes, payload_bytes, payload_digest);
@@ -229,14 +232,44 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
     found = materialize(_raw(spark, path).mapInArrow(_candidates, CANDIDATE), "candidates")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = found.groupBy("file", "block").agg(F.max("upto").alias("size")).select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    placed = found.join(bases, ["file", "block"]).withColumns({"start": F.col("base") + F.col("rel"), "exit": F.col("base") + F.col("exit")})
-    begun = entries(placed).withColumn("entry", F.lit(True))
+    blocks = found.groupBy("file", "block").agg(F.max("upto").alias("size"))
+    bases = materialize(blocks.select("file", "block", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "bases")
+    ends = bases.groupBy("file").agg((F.max(F.col("base") + F.col("size")) - len(SEPARATOR)).alias("end"))
+    placed = found.join(bases.drop("size"), ["file", "block"]).withColumns({"start": F.col("base") + F.col("rel"), "exit": F.col("base") + F.col("exit")})
     kept = CANDIDATE.replace("upto long, exit long, ", "") + ", start long, entry boolean"
-    flagged = placed.join(begun, ["file", "start"], "left").select([x.split(" ")[0] for x in kept.split(", ")])
-    chained = materialize(flagged.groupBy("file", "block").applyInArrow(_follow, kept + ", reached boolean, owner long"), "chained")
-    fields = ["file", "start", "type", "page_id", "refers_to", "uri", "digest", "http_bytes", "payload_bytes", "payload_digest"]
+
+    def chain(begun: DataFrame) -> DataFrame:
+        entered = entries(placed, begun).withColumn("entry", F.lit(True))
+        flagged = placed.join(entered, ["file", "start"], "left").select([x.split(" ")[0] for x in kept.split(", ")])
+        return materialize(flagged.groupBy("file", "block").applyInArrow(_follow, kept + ", reached boolean, owner long"), "chained")
+
+    begun = ends.select("file", F.lit(0).cast("long").alias("start"))
+    chained = chain(begun)
+    after = F.col("start") + F.col("total")
+
+    def damaged() -> DataFrame:
+        whole = chained.filter("reached").select("file", after.alias("end"))
+        return ends.join(whole, ["file", "end"], "left_anti")
+
     records = chained.filter("reached AND total IS NOT NULL")  # a chain can end at what has no length
+    if not damaged().isEmpty():
+        if not resume:
+            raise ValueError(f"{damaged().count()} of {ends.count()} files are damaged, {damaged().first()['file']} among them")
+        bounds = materialize(chained.select("file", "start").unionByName(ends.select("file", F.col("end").alias("start"))).distinct(), "bounds")
+        sure = materialize(
+            chained.filter("total IS NOT NULL").select("file", F.col("start").alias("from"), after.alias("start")).join(bounds, ["file", "start"], "left_semi").select("file", F.col("from").alias("start")),
+            "sure",
+        )
+        while True:
+            last = chained.filter("reached").groupBy("file").agg(F.max("start").alias("last"))
+            rest = sure.join(damaged().select("file"), "file").join(last, "file", "left").filter(F.col("start") > F.coalesce("last", F.lit(-len(MAGIC) - 1)))
+            more = materialize(rest.groupBy("file").agg(F.min("start").alias("start")), "begun")  # one row for each damaged file
+            if more.isEmpty():
+                break
+            begun = begun.unionByName(more)
+            chained = chain(begun)
+        records = chained.filter("reached AND total IS NOT NULL").join(sure, ["file", "start"], "left_semi")
+    fields = ["file", "start", "type", "page_id", "refers_to", "uri", "digest", "http_bytes", "payload_bytes", "payload_digest"]
     split = materialize(records.filter("NOT complete").select("file", "start", "total"), "split")
     if split.isEmpty():
         return records.select(fields)
