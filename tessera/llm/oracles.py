@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.license_scan import PHRASES, TEMPLATES
-from tessera.llm.quality_risk import RULES
+from tessera.llm.quality_risk import LEVELS, RULES
 from tessera.llm.url_reputation import LEAST_STRENGTH, MOST_STRENGTH, TWO_LABEL_SUFFIXES, URL
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,16 +74,15 @@ FROM p LEFT JOIN r USING (digest)
 
 def op9(alpha: float = 0.05, delta: float = 0.05) -> str:
     space = r"\x20\x09-\x0D"
-    counts = ", ".join(f"count(*) FILTER (({e}) > {c}) AS {r}_{j}" for r, (e, cs) in RULES.items() for j, c in enumerate(cs))
-    a = alpha / len(RULES)
-    tests = sum(len(cs) for _, cs in RULES.values())
+    above = [" OR ".join(f"coalesce(({e}) > {cs[j]}, false)" for e, cs in RULES.values()) for j in range(LEVELS)]
+    counts = ", ".join(f"count(*) FILTER ({x}) AS k_{j}" for j, x in enumerate(above))
 
-    def cdf(k: str) -> str:
-        term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a}))"
-        return f"coalesce({k} < {a} * n AND list_sum(list_transform(range(0, {k} + 1), lambda i: {term})) <= {delta} / ({tests} * (SELECT count(*) FROM c)), false)"
+    def passed(k: str) -> str:
+        term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha}))"
+        return f"{k} < {alpha} * n AND list_sum(list_transform(range(0, {k} + 1), lambda i: {term})) <= {delta} / (SELECT count(*) FROM c)"
 
-    cuts = ", ".join("least(" + ", ".join(f"CASE WHEN {cdf(f'{r}_{j}')} THEN {c} END" for j, c in enumerate(cs)) + f") AS max_{r}" for r, (_, cs) in RULES.items())
-    over = " OR ".join(f"coalesce(({e}) > max_{r}, false)" for r, (e, _) in RULES.items())
+    best = "greatest(" + ", ".join(f"CASE WHEN {passed(f'k_{j}')} THEN {j} END" for j in range(LEVELS)) + ")"
+    over = "CASE level " + " ".join(f"WHEN {j} THEN {x}" for j, x in enumerate(above)) + " ELSE false END"
     return f"""
 WITH d AS (SELECT row_number() OVER () rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^{space}]+') AS w FROM d),
@@ -98,9 +97,9 @@ f AS (SELECT doc_id, coalesce('=' || lang, 'null') stratum, len(w)::bigint n_wor
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 q AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1),
 c AS (SELECT stratum, count(*) n, {counts} FROM b JOIN q USING (doc_id) WHERE NOT base_failed GROUP BY 1),
-k AS (SELECT stratum, {cuts} FROM c)
+k AS (SELECT stratum, {best} AS level FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed,
-       NOT base_failed AND NOT coalesce({over}, false) AS kept
+       NOT base_failed AND NOT ({over}) AS kept
 FROM b LEFT JOIN k USING (stratum)
 """
 

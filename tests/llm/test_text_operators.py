@@ -101,6 +101,46 @@ def test_thresholds_limit_false_rejections(spark):
     assert quality_risk.judge(df, lab.limit(0)).filter("kept").count() == len(rows) - 2
 
 
+def test_rules_reject_on_the_driver_tables(spark):
+    from tessera.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    rows = queries.op9_quality_risk(spark, d).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    by_method = [r.doc_id for r in rows if not r.kept and not r.base_failed]
+    assert len(by_method) > 10
+    marked = [labels[i] for i in by_method if i in labels]
+    assert marked.count(0) > 0.9 * len(marked) > 0
+
+
+def test_levels_against_brute_force(spark):
+    from math import comb
+
+    rnd = random.Random(12)
+    rows, labels = [], []
+    for i in range(900):
+        lang = ("a", "b", "few", None)[min(3, i // 280)]
+        marks = rnd.choice([0, 0, 0, 0, 4, 9, 16, 30, 80]) if lang == "a" else rnd.choice([0, 0, 9])
+        rows.append((i, " ".join(f"w{rnd.randrange(10**4)}" for _ in range(60)) + "#" * marks, lang))
+        labels.append((i, int(rnd.random() < 0.9 or marks < 9)))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality_risk.judge(df, lab, 0.1, 0.05).collect()}
+    f = {i: dict(zip(quality_risk.FEATURES, quality_risk.features(t), strict=True)) for i, t, _ in rows}
+    reject = lambda i, j: any(eval(e, {}, f[i]) > cs[j] for e, cs in quality_risk.RULES.values())  # noqa: E731, S307
+    strata = {}
+    for (i, _, lang), (_, q) in zip(rows, labels, strict=True):
+        strata.setdefault(lang, [[], []])[q].append(i)
+    for lang, (bad, good) in strata.items():
+        level = None
+        for j in range(quality_risk.LEVELS):
+            n, k = len(good), sum(reject(i, j) for i in good)
+            if sum(comb(n, x) * 0.1**x * 0.9 ** (n - x) for x in range(k + 1)) > 0.05 / len(strata):
+                break
+            level = j
+        for i in good + bad:
+            assert got[i] == (level is None or not reject(i, level)), (lang, level)
+
+
 def slow_scan(text):
     low = (text or "").translate({c: c + 32 for c in range(65, 91)})
     words = re.findall(license_scan.WORD, low)
