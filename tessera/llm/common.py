@@ -84,6 +84,17 @@ def _discard_all() -> None:
             _LEFT.popitem()[1]()
 
 
+def packed(df: DataFrame) -> Column:
+    """The whole row as one column `row`, so that no name of the caller's clashes with an operator's own."""
+    return F.struct(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns]).alias("row")
+
+
+def unpacked(df: DataFrame, columns: list[str], added: dict[str, Column]) -> DataFrame:
+    """The columns of `row`, those in *added* in place of columns of the same name or else behind them."""
+    stay = [added.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+    return df.select(*stay, *[v.alias(c) for c, v in added.items() if c not in columns])
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
