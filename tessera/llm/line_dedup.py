@@ -14,8 +14,8 @@ documents is an equi-join that adaptive execution splits at such lines.
 
 Defined results: a null or empty text is one empty line (kept text: ''); rows
 without a doc_id neither count nor lose lines; rows that repeat a doc_id count
-as one document and lose the same lines; columns other than doc_id and text
-are handed on.
+as one document and lose the same lines; all columns are handed on, but that dedup_lines
+replaces those named `n_lines`, `n_dropped` or `kept`.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, materialize
+from tessera.llm.common import bounded, discard, materialize, packed, unpacked
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -76,8 +76,9 @@ def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> D
     common = materialize(
         lines.groupBy("h").agg(F.min("doc_id").alias("first"), many.alias("many")).filter("many").select("h", "first"), "common"
     )
-    lost = lines.join(common, "h").filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("h").alias("lost"))
-    return materialize(lost, "lost")
+    lost = materialize(lines.join(common, "h").filter("doc_id <> first").groupBy("doc_id").agg(F.collect_set("h").alias("lost")), "lost")
+    discard(lines, common)
+    return lost
 
 
 KEPT = "struct<n_lines: long, n_dropped: long, kept: string>"
@@ -105,9 +106,22 @@ def _reassemble(least: int):
     return kept
 
 
+def _reassembled(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
+    """(row, result): each row of *docs* and the struct KEPT of its text."""
+    lost = repeated_lines(docs, min_docs, min_chars).withColumnRenamed("doc_id", "d")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("binary").alias("data"))
+    joined = rows.join(lost, F.col("key") == F.col("d"), "left")
+    return joined.select("row", _reassemble(min_chars)(F.col("data"), F.col("lost")).alias("result"))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
     """*docs* with `n_lines`, `n_dropped` and `kept` (the remaining text) added."""
-    lost = repeated_lines(docs, min_docs, min_chars).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(lost.withColumnRenamed("lost", "_lost"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    out = joined.withColumn("_kept", _reassemble(min_chars)(F.col("text").cast("binary"), F.col("_lost"))).drop("_lost")
-    return out.withColumns({"n_lines": F.col("_kept.n_lines"), "n_dropped": F.col("_kept.n_dropped"), "kept": F.col("_kept.kept")}).drop("_kept")
+    return unpacked(_reassembled(docs, min_docs, min_chars), docs.columns, {x: F.col("result")[x] for x in ("n_lines", "n_dropped", "kept")})
+
+
+def without_repeats(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
+    """*docs* with the remaining text in place of the text; a column `n_chars` counts its characters, all others stay."""
+    done = _reassembled(docs, min_docs, min_chars)
+    text = {"text": F.col("result")["kept"], "n_chars": F.length(F.col("result")["kept"])}
+    kinds = dict(docs.dtypes)
+    return unpacked(done, docs.columns, {c: x.cast(kinds[c]) for c, x in text.items() if c in kinds})

@@ -19,7 +19,7 @@ Decoding is lossless for every text: characters that are no piece, and the
 space mark itself where a text holds it, are bytes.
 
 Defined results: a null or empty text has no ids and decodes to ''; a null key
-counts as 0; columns other than the key and the text are handed on.
+counts as 0; all columns are handed on, but that those named `ids` and `lossless` are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded
+from tessera.llm.common import bounded, packed, unpacked
 
 MARK = "▁"
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -474,8 +474,8 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 0.1, seed: int = 1,
             own.make_room(KEPT)
             release_memory()
 
-    done = bounded(docs).withColumn("_encoded", F.arrow_udf(run, ENCODED)(F.col(key).cast("long"), F.col(text)))
-    return done.withColumns({"ids": F.col("_encoded.ids"), "lossless": F.col("_encoded.lossless")}).drop("_encoded")
+    done = bounded(docs).select(packed(docs), F.arrow_udf(run, ENCODED)(docs[key].cast("long"), docs[text]).alias("encoded"))
+    return unpacked(done, docs.columns, {"ids": F.col("encoded.ids"), "lossless": F.col("encoded.lossless")})
 
 
 def decoded(ids: Column, df: DataFrame, model_path: str) -> Column:

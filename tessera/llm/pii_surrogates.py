@@ -21,7 +21,7 @@ unless they aren't.
 
 Defined results: a null text stays null; an empty one stays empty; rows that
 repeat a doc_id are treated alike; overlapping finds go to the earlier, then
-the longer one; a secret without a letter or digit (a rule, a blank to fill in) is none; other columns are handed on.
+the longer one; a secret without a letter or digit (a rule, a blank to fill in) is none; other columns are handed on, but that one named `entities` is replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, materialize
+from tessera.llm.common import bounded, discard, materialize, packed, unpacked
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: A quoted secret, or an unquoted one.
@@ -303,11 +303,11 @@ RESULT = "struct<text: string, entities: array<struct<kind: string, start: int,
 
 def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """*docs* with the text's entities replaced, and `entities` (type and place in the old text) added."""
-    found = materialize(mentions(docs.select("doc_id", F.col(text).alias("text"))), "mentions")
+    rows = docs.select(packed(docs), F.col("doc_id").cast("long").alias("key"), docs[f"`{text}`"].alias("data"))
+    found = materialize(mentions(rows.select(F.col("key").alias("doc_id"), F.col("data").alias("text"))), "mentions")
     tried = materialize(attempts(found, key), "attempts")
-    own = materialize(
-        found.join(tried, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("_tried")).withColumnRenamed("doc_id", "_doc"), "own"
-    )
+    own = materialize(found.join(tried, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("tried")), "own")
+    discard(found, tried)
 
     def run(texts: pa.Array, tries: pa.Array) -> pa.Array:
         out = []
@@ -319,6 +319,6 @@ def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
             out.append({"text": new, "entities": [{"kind": e.kind, "start": e.start, "end": e.end} for e in finds]})
         return pa.array(out, pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))]))
 
-    joined = docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    done = joined.withColumn("_new", F.arrow_udf(run, RESULT)(F.col(text), F.col("_tried"))).drop("_tried")
-    return done.withColumns({text: F.col("_new.text"), "entities": F.col("_new.entities")}).drop("_new")
+    joined = rows.join(own, F.col("key").eqNullSafe(F.col("doc_id")), "left")
+    done = joined.select("row", F.arrow_udf(run, RESULT)("data", "tried").alias("result"))
+    return unpacked(done, docs.columns, {text: F.col("result.text"), "entities": F.col("result.entities")})

@@ -136,3 +136,9 @@ def test_lines_match_brute_force(spark, min_docs):
     order = lambda r: (r[0] is None, r[0] or 0, r[3])
     assert sorted([tuple(r)[:4] for r in got], key=order) == sorted(brute_lines(rows, min_docs), key=order)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    named = df.withColumnsRenamed({"fp": "_doc"}).selectExpr("*", "1 AS _lost", "2 AS _kept", "3 AS kept", "4 AS row", "5 AS key", "6 AS n_lines")
+    done = line_dedup.dedup_lines(named, min_docs)
+    assert done.columns == [*named.columns, "n_dropped"] and sorted(r.kept for r in done.collect()) == sorted(r.kept for r in got)
+    rest = line_dedup.without_repeats(named, min_docs)
+    assert rest.columns == named.columns and rest.select("_lost", "_kept", "kept", "n_lines").distinct().collect() == [(1, 2, 3, 6)]
+    assert sorted(r.text for r in rest.collect()) == sorted(r.kept for r in got)

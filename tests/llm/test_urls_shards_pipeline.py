@@ -206,6 +206,104 @@ def test_pipeline_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(rows)
 
 
+CLASH = ("row", "result", "kept", "matches", "ids", "lossless", "key", "th", "fp", "lost", "level", "stratum", "n_words", "entities", "d", "_doc", "_lost", "_kept", "_new", "_tried", "_f", "_key", "_host")
+
+
+def pipeline_fixture(spark, folder):
+    rnd = random.Random(31)
+    sentence = lambda n=12: " ".join(f"w{rnd.randrange(900)}" for _ in range(n))
+    items = [(i, sentence(30)) for i in range(6)] + [(6, None), (7, ""), (8, "too short")]
+    shared = [sentence() for _ in range(4)]
+    texts = []
+    for i in range(90):
+        lines = [sentence() for _ in range(rnd.randrange(5, 9))] + rnd.sample(shared, rnd.randrange(3))
+        if i % 9 == 0:
+            passage = items[rnd.randrange(6)][1].split()
+            passage[-1] = "other"
+            lines.insert(1, " ".join(passage))
+        if i % 10 == 3:
+            lines = [" ".join(w + "#|" for w in x.split()) for x in lines]
+        texts.append("\n".join(lines))
+    texts += [texts[5], texts[5].upper(), texts[6] + " tail", None, None, "", "short text", sentence(40_000)]
+    rows = [(i, t, rnd.choice(["en", "en", None]), "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[7], (7, "another text under a used id " + sentence(60), "en", "s", 0), (None, sentence(70), "en", None, None), (None, texts[8], "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, *range(len(CLASH))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASH))
+    spark.createDataFrame([(i, int(i % 10 != 3), 0) for i in range(90)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs, items
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from math import comb
+
+    from test_near_and_lines import brute_components, brute_lines, slow_fingerprint
+    from test_text_operators import brute_matches, slow_features
+
+    docs, items = pipeline_fixture(spark, tmp_path)
+    stages = dict(corpus_pipeline.STAGES)
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    def step(name):
+        nonlocal docs
+        before, out = docs.collect(), stages[name](spark, docs, str(tmp_path))
+        assert out.schema == docs.schema, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert all([r[c] for c in CLASH] == list(range(len(CLASH))) for r in docs.collect())
+        return before
+
+    from tessera.llm import quality_risk
+
+    before = step("quality")
+    f = [dict(zip(quality_risk.FEATURES, slow_features(r.text), strict=True)) for r in before]
+    failed = [x["n_words"] < 50 or 100 * x["n_repeat_words"] > 50 * x["n_words"] for x in f]
+    reject = lambda i, j: any(eval(e, {}, f[i]) > cs[j] for e, cs in quality_risk.RULES.values())  # noqa: E731, S307
+    want = []
+    held = {}
+    for i, r in enumerate(before):
+        if not failed[i] and r.doc_id is not None and r.doc_id < 90 and r.doc_id % 10 != 3:
+            held.setdefault(r.lang, []).append(i)
+    for i, r in enumerate(before):
+        own, level = held.get(r.lang, []), None
+        for j in range(quality_risk.LEVELS):
+            n, k = len(own), sum(reject(x, j) for x in own)
+            if sum(comb(n, x) * 0.05**x * 0.95 ** (n - x) for x in range(k + 1)) > 0.05 / len(held):
+                break
+            level = j
+        if not failed[i] and (level is None or not reject(i, level)):
+            want.append((r.doc_id, r.text))
+    assert plain(docs) == sorted(want, key=repr) and len(want) > 80
+
+    before = step("lines")
+    want = brute_lines([(r.doc_id, r.text) for r in before])
+    assert plain(docs) == sorted(((d, t) for d, _, _, t in want), key=repr) and sum(n for _, _, n, _ in want) > 10
+    assert all(r.n_chars == len(r.text) for r in docs.collect())
+
+    before = step("near_duplicates")
+    groups = brute_components([slow_fingerprint(r.text) for r in before])
+    least = {}
+    for g, r in zip(groups, before, strict=True):
+        if r.doc_id is not None:
+            least[g] = min(r.doc_id, least.get(g, r.doc_id))
+    want = [(r.doc_id, r.text) for g, r in zip(groups, before, strict=True) if r.doc_id == least.get(g)]
+    gone = {r.doc_id for g, r in zip(groups, before, strict=True) if r.doc_id != least.get(g)}
+    assert plain(docs) == sorted([x for x in want if x[0] not in gone], key=repr) and len(want) < len(before)
+
+    before = step("decontamination")
+    assert plain(docs) == sorted(((r.doc_id, r.text) for r in before if not brute_matches(r.text, items)), key=repr)
+    assert 5 <= len(before) - docs.count() <= 10
+
+    done = stages["segmentation"](spark, docs, str(tmp_path))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in done.collect()) == sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
+    assert all(r.lossless and r.n_ids == len(r.ids) for r in done.collect())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs, _ = pipeline_fixture(spark, tmp_path)
+    docs = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
+
+
 def test_queries_and_sql_agree_on_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
