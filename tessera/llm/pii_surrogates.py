@@ -2,8 +2,9 @@
 
 Entities: e-mail addresses, telephone numbers, IPv4 addresses, payment cards
 (Luhn), IBANs (mod 97), US social security numbers, access keys, secrets after
-`password=` and the like, and names behind a title with their other mentions in
-the same text. A secret in quotes goes to the closing one, any other to
+`password=` and the like, and names behind a title, names of two or three words beside a cue (`John Smith wrote to
+Anna Brown`) and given names in salutations, with their other mentions in
+the same text. A name that no title or cue tells, and that no other mention does, is not found. A secret in quotes goes to the closing one, any other to
 white space, a quote, `<`, `>`, or a delimiter that white space, the text's end or another `name=`
 follows; its full stop or bracket at the end stays. A surrogate is drawn
 from a keyed hash of the entity's type and normal form, so an entity gets the same surrogate
@@ -11,7 +12,7 @@ wherever and however it is written (coreference), in the mention's own format:
 length, punctuation, case, check digits, country code, and for names gender and script.
 
 Collision checks: one pass gathers the distinct entities of the corpus. Where a
-surrogate equals that of another entity or is itself an entity of the corpus,
+surrogate equals that of another entity, of whatever type, or is itself an entity of the corpus,
 it is drawn anew, in rounds until all are distinct. After NARROW draws in the
 mention's own length and range, each further draw comes from a larger space (more
 characters or digits, a wider address range), so a free surrogate always exists. Only these few entities
@@ -62,9 +63,28 @@ WORD = r"[^\W\d_](?:[^\W\d_]|(?:-|['’](?!s\b))(?=[^\W\d_]))+(?!\w)"
 #: Behind a title: a word, or an initial.
 PART = re.compile(rf"[ \u00a0]?(?:({WORD})|([^\W\d_]\.|[^\W\d_](?=[ \u00a0][^\W\d_])))")
 MENTION = re.compile(rf"(?<!\w){WORD}")
+#: What stands before a full name, with the gender that it tells, and what stands behind one.
+BEFORE = {
+    "": ("name is", "name:", "Name:", "Author:", "From:", "To:", "Contact:", "Signed,", "signed by", "written by", "wrote to", "spoke to", "spoke with", "talked to", "Regards,", "regards,",
+         "Sincerely,", "sincerely,", "Dear", "ich heiße", "schrieb an", "gezeichnet", "je m'appelle", "Nom:", "Nom :", "signé par", "écrit à", "me llamo", "Nombre:", "firmado por", "escribió a", "меня зовут", "Имя:"),
+    "m": ("Lieber", "Cher", "Querido", "Estimado", "Уважаемый"),
+    "f": ("Liebe", "Chère", "Querida", "Estimada", "Уважаемая"),
+}
+CUES = {cue: g for g, cues in BEFORE.items() for cue in cues}
+CUE = re.compile(r"(?:(?<=\s)|(?<![\s\S]))(" + "|".join(re.escape(c) for c in sorted(CUES, key=len, reverse=True)) + r")[ \u00a0\n]+\Z")
+BEHIND = re.compile(r"[ \u00a0](?:wrote|writes|said|says|asked|asks|told|replied|answered|schrieb|schreibt|sagte|sagt|fragte|antwortete|dit|demanda|répondit|écrivit|dijo|preguntó|respondió|escribió|сказал|написал|спросил|ответил)(а?)(?!\w)")
+CAPITAL = "A-ZÀ-ÖØ-ÞА-ЯЁ"
+REST = r"(?:[^\W\d_]|[-'’](?=[^\W\d_]))+"
+NAME = f"[{CAPITAL}]{REST}"
+#: Begins with a class of characters, which is searched for fast; what stands before it is looked at behind it.
+FULL = re.compile(rf"([{CAPITAL}](?<!\w[{CAPITAL}]){REST})[ \u00a0](?:({NAME}|[{CAPITAL}]\.?)[ \u00a0])?({NAME})(?!\w)")
+SALUTED = ("Dear", "Hi", "Hello", "Lieber", "Liebe", "Hallo", "Cher", "Chère", "Bonjour", "Querido", "Querida", "Estimado", "Estimada", "Hola", "Уважаемый", "Уважаемая")
+SALUTATION = re.compile(rf"(?:(?<=\s)|(?<![\s\S]))({'|'.join(SALUTED)})[ \u00a0]({NAME}),")
+#: Who is greeted without a name.
+NOBODY = frozenset("sir madam all team everyone everybody customer friend friends colleague colleagues world folks kollege kollegen kunde freund freunde tous client ami amis todos equipo cliente amigo amigos señor señora".split())
 SYLLABLES = {
-    "latin": ("ba be bi bo da de di do fa fe fi ga ge go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(), {"m": "n r s l k".split(), "f": "a ia ina ea ela".split(), "s": "man ner son ley ford".split()}),
-    "cyrillic": ("ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ве ви во".split(), {"m": "н р с л к".split(), "f": "а ия ина ея ела".split(), "s": "ко ин ов ев ский".split()}),
+    "latin": ("ba be bi bo da de di do fa fe fi ga ge go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(), {"m": "n r s l k".split(), "f": "a ia ina ea ela".split(), "n": "el ey is on ie".split(), "s": "man ner son ley ford".split()}),
+    "cyrillic": ("ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то ва ве ви во".split(), {"m": "н р с л к".split(), "f": "а ия ина ея ела".split(), "n": "ель ей ис он".split(), "s": "ко ин ов ев ский".split()}),
 }
 
 
@@ -108,9 +128,9 @@ def normal(kind: str, text: str) -> str | None:
 
 
 def names(text: str) -> list[Entity]:
-    """The parts of names behind titles, given names by gender and surnames, and where they stand elsewhere in the text."""
+    """The parts of names by title, cue or salutation, given names by gender and surnames, and where they stand elsewhere in the text."""
     out, kinds = [], {}
-    for m in TITLE.finditer(text):
+    for m in TITLE.finditer(text) if any(t in text for t in TITLES) else ():
         gender, at, parts, words = TITLES[m[1]], m.end(), [], 0
         while words < 3 and (p := PART.match(text, at)) and text[p.start(p.lastindex)].isupper():
             parts.append(p)
@@ -123,6 +143,22 @@ def names(text: str) -> list[Entity]:
             if p.lastindex == 1:
                 for name in (value, *(x for x in value.split("-") if len(x) > 1)):
                     kinds.setdefault(name, kind)
+    for m in FULL.finditer(text):
+        cue, behind = CUE.search(text, max(0, m.start() - 24), m.start()), BEHIND.match(text, m.end())
+        if not cue and not behind:
+            continue
+        gender = cue and CUES[cue[1]] or ("f" if behind and behind[1] else "n")
+        for g in (1, 2, 3):
+            if m[g] and len(m[g].rstrip(".")) > 1:
+                value = m[g].casefold()
+                kind = kinds.setdefault(value, "surname" if g == 3 else f"given_{gender}")
+                out.append(Entity(kind, value, *m.span(g)))
+            elif m[g]:
+                out.append(Entity(f"given_{gender}", m[g].rstrip(".").casefold(), m.start(g), m.start(g) + 1))
+    for m in SALUTATION.finditer(text) if any(w in text for w in SALUTED) else ():
+        if (value := m[2].casefold()) not in NOBODY:
+            kind = kinds.setdefault(value, f"given_{CUES.get(m[1]) or 'n'}")
+            out.append(Entity(kind, value, *m.span(2)))
     for m in MENTION.finditer(text) if kinds else ():
         at = m.start()
         for word in (m[0],) if m[0].casefold() in kinds else m[0].split("-"):
@@ -148,7 +184,7 @@ def find(text: str | None) -> list[Entity]:
                 out.append((start, -end, rank, Entity(kind, value, start, end)))
             else:
                 at = m.start() + 1  # what its check digits rule out may hold a find that begins later
-    if any(t in text for t in TITLES):
+    if not text.islower():
         out += [(e.start, -e.end, 99 + k, e) for k, e in enumerate(names(text))]
     found, upto = [], 0
     for *_, e in sorted(out):
@@ -287,11 +323,11 @@ def attempts(found: DataFrame, key: bytes) -> DataFrame:
         return materialize(df.withColumn("stand_in", draw("kind", "value", "attempt")), "drawn")
 
     now = drawn(found.select("kind", "value").distinct().withColumn("attempt", F.lit(0)))
-    originals = now.select("kind", F.col("value").alias("stand_in"))
+    originals = now.select(F.col("value").alias("stand_in")).distinct()
     while True:
-        first = now.groupBy("kind", "stand_in").agg(F.min(F.struct("attempt", "value")).alias("w"), F.count("*").alias("n")).filter("n > 1")
-        lost = now.join(first, ["kind", "stand_in"]).filter("NOT (attempt = w.attempt AND value = w.value)").select("kind", "value")
-        known = now.join(originals, ["kind", "stand_in"], "left_semi").select("kind", "value")
+        first = now.groupBy("stand_in").agg(F.min(F.struct("attempt", "kind", "value")).alias("w"), F.count("*").alias("n")).filter("n > 1")
+        lost = now.join(first, "stand_in").filter("NOT (attempt = w.attempt AND kind = w.kind AND value = w.value)").select("kind", "value")
+        known = now.join(originals, "stand_in", "left_semi").select("kind", "value")
         again = materialize(lost.unionByName(known).distinct().withColumn("again", F.lit(1)), "again")
         if again.isEmpty():
             return now.filter("attempt > 0").select("kind", "value", "attempt")

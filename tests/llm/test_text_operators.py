@@ -249,6 +249,11 @@ def test_wider_surrogates_keep_the_way_of_writing(attempt):
         ("Mr J. Smith ok. Smith's", ["J.", "Smith"]),
         ("Mr J.R. O'Brien ok. O'Brien left", ["J.", "R.", "Brien"]),
         ("Before, Brown said. Herr Brown ok", ["Brown"]),
+        ("John Smith wrote to Anna Brown. Smith left, Anna ok", ["John", "Smith", "Anna", "Brown"]),
+        ("Author: Jean-Luc O'Neil\nok, O'Neil ok", ["Jean", "Luc", "Neil"]),
+        ("Dear Mary, it is ok. Mary knows.", ["Mary"]),
+        ("Анна Петрова написала: ok. Петрова ушла", ["Анна", "Петрова"]),
+        ("Regards,\nPeter J. Miller ok", ["Peter", "J.", "Miller"]),
     ],
 )
 def test_nothing_of_an_entity_stays(text, gone):
@@ -256,6 +261,41 @@ def test_nothing_of_an_entity_stays(text, gone):
     assert not [x for x in gone if x in new] and " ok" in new
 
 
+def test_what_is_no_name_stays():
+    for text in ("Dear Sir, hello. Hello World, all. The Apache License and the GNU General Public License stay. Green Tea is fine.", "from New York to Old Town", ""):
+        assert pii_surrogates.find(text) == []
+
+
+def test_surrogates_of_a_whole_table(spark):
+    """Of all entities of a table, by plain dictionaries: one surrogate each, no two alike, none an entity of the table."""
+    rnd = random.Random(77)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    people = [(f"{rnd.choice('ABCDEFGH')}{rnd.choice(['nna', 'ohn', 'eter', 'ilo'])}", f"{rnd.choice('KLMNPRST')}{rnd.choice(['aner', 'olson', 'ebman', 'ibley', 'oford'])}") for _ in range(60)]
+    for k, (given, last) in enumerate(people):
+        texts.append(f"{rnd.choice(['Mr', 'Mrs'])} {given} {last} rang +1 (555) 010-{k:04d}. {last} uses password: pass{k % 40}word and {given}.{last}@example.com; {last.upper()} sits at 192.168.0.{k % 50}")
+        texts.append(f"{given} {last} wrote nothing, {last} neither, but {given.lower()}.{last.lower()}@example.com did at 192.168.0.{k % 50}")
+    rows = list(enumerate(texts))
+    out = {r.doc_id: r for r in pii_surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    stands, originals = {}, set()
+    for i, text in rows:
+        at, new = 0, out[i].text
+        found = pii_surrogates.find(text)
+        assert [(e.kind, e.start, e.end) for e in found] == [(e.kind, e.start, e.end) for e in out[i].entities]
+        for n, e in enumerate(found):
+            gap = text[found[n - 1].end if n else 0 : e.start]
+            assert new.startswith(gap, at)
+            at += len(gap)
+            tail = text[e.end : found[n + 1].start if n + 1 < len(found) else len(text)]
+            upto = new.index(tail, at) if n + 1 < len(found) else len(new) - len(tail)
+            stands.setdefault((e.kind, e.value), set()).add(pii_surrogates.normal(e.kind, new[at:upto]) or new[at:upto])
+            originals.add(e.value)
+            at = upto
+    folded = {k: {x.casefold() for x in v} if k[0] == "surname" or k[0].startswith("given") else v for k, v in stands.items()}
+    assert len(folded) > 200 and all(len(v) == 1 for v in folded.values())  # coreference
+    every = [x for v in folded.values() for x in v]
+    assert len(set(every)) == len(every) and not set(every) & originals  # distinctness
+
+
 def test_where_entities_end():
     url = "https://a.example/?token=abcd12345&user=bob, api_key=wxyz98765;mode=fast password: ---- secret: no 'pwd: abcdefg'"
     assert [e.value for e in pii_surrogates.find(url)] == ["abcd12345", "wxyz98765"]
