@@ -12,6 +12,14 @@ anchors of the other, so comparing homes with all that came to an anchor finds
 every link. Distinct fingerprints alone are replicated, so exact copies add
 nothing, and each anchor emits a spanning forest of its links, not all pairs.
 
+Scale: replication is dealt by fingerprint over as many tasks as its 312 rows each need. Comparing tasks
+get their rows in order, an anchor's homes first, and hold the homes of one anchor and a
+chunk of rows. Homes of an anchor that has very many are dealt to several parts, to each of which all rows of
+the anchor go; such anchors are HOT_ANCHORS at most.
+
+Near copies: a link is 4 bits or fewer of the 64, as the contract fixes it. Texts with a shingle similarity of 0.8
+differ in some 9 bits on average, so about half of all near copies are linked; the README states the measured part.
+
 Defined results: a null or empty text has fingerprint 0 and links like any
 other; a null doc_id is never a component's id unless nothing else is in it
 (then null); repeated rows are kept as they are; columns other than doc_id and
@@ -33,10 +41,12 @@ from tessera.llm.common import bounded, connected_components, materialize
 BITS = 31
 MASK = (1 << BITS) - 1
 REPLICAS = 156
-#: Rows of (anchor, fingerprint) that a comparing task should hold.
-ROWS_PER_TASK = 2_000_000
+#: Rows of (slot, fingerprint) that a comparing task should get, and that it holds at once.
+ROWS_PER_TASK, ROWS_AT_ONCE = 2_000_000, 1_000_000
 #: Pairs that a comparing task holds at once.
 PAIRS_AT_ONCE = 2_000_000
+#: An anchor with more homes than this, and than one in HOT_ANCHORS of all, is dealt to several parts.
+HOT_HOMES, HOT_ANCHORS = 20_000, 10_000
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -113,16 +123,39 @@ def _half(fps: np.ndarray, half: int) -> np.ndarray:
     return ((fps.view(np.uint64) >> np.uint64(32 * half)) & np.uint64(MASK)).astype(np.int64)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    patterns = error_patterns()
+def _homes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        every = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(every), 1024):
-            fps = np.ascontiguousarray(every[at : at + 1024])
-            for half in (0, 1):
-                words = _half(fps, half)
-                anchors = (words[:, None] ^ patterns[syndrome(words)]) | half << 32
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel()), pa.array(np.repeat(fps, REPLICAS))], ["anchor", "fp"])
+        fps = batch.column(0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([homes(_half(fps, h)) | h << BITS for h in (0, 1)]))], ["anchor"])
+
+
+def _replicate(hot: dict[int, int]):
+    """A fingerprint's rows (slot, fp). A slot is part * 2^33 + anchor * 2, and 1 more but at the fingerprint's home; *hot* has anchors by number of parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = error_patterns()
+        many = np.array(sorted(hot), np.int64)
+        n_parts = np.array([hot[a] for a in sorted(hot)], np.int64)
+        for batch in batches:
+            every = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(every), 1024):
+                fps = np.ascontiguousarray(every[at : at + 1024])
+                for half in (0, 1):
+                    words = _half(fps, half)
+                    anchors = words[:, None] ^ patterns[syndrome(words)]
+                    far = (anchors != homes(words)[:, None]).ravel()
+                    anchors, who = anchors.ravel() | half << BITS, np.repeat(fps, REPLICAS)
+                    slot = anchors << 1 | far
+                    if len(many):
+                        place = np.minimum(np.searchsorted(many, anchors), len(many) - 1)
+                        parts = np.where(many[place] == anchors, n_parts[place], 1)
+                        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                        slot, who, far, parts = (np.repeat(x, parts) for x in (slot, who, far, parts))
+                        own = (who.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+                        slot = (slot | (far | (part != own))) + (part << (BITS + 2))
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(who)], ["slot", "fp"])
+
+    return run
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,47 +175,80 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def _pairs(slot: np.ndarray, fp: np.ndarray, carried: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of homes with the rows of the same anchor and part. Slots are in order; the first *carried* rows are homes that met one another before."""
+    key = slot >> 1
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[start[1:], len(key)]
+    group = np.repeat(np.arange(len(start)), ends - start)
+    first = np.maximum(start, carried)  # homes of a later group are compared with all of its rows
+    size = np.maximum(ends - first, 0)
+    left = np.flatnonzero((slot & 1 == 0) & (ends[group] - start[group] > 1) & (size[group] > 0))
+    work = size[group[left]]
+    cuts = np.cumsum(work)
+    lo = 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(cuts, (cuts[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
+        mine, n = left[lo:hi], work[lo:hi]
+        lo = hi
+        i = np.repeat(mine, n)
+        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[group[mine]], n)
+        x, y = fp[i], fp[j]
+        near = (np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= radius) & (x != y)
+        if near.any():
+            a, b = forest(x[near], y[near])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if not parts:
-            return
-        anchor, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(anchor, kind="stable")
-        anchor, fp = anchor[order], fp[order]
-        start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        size = np.diff(np.r_[start, len(anchor)])
-        group = np.repeat(np.arange(len(start)), size)
-        half = anchor >> 32
-        at_home = np.where(half == 0, homes(_half(fp, 0)), homes(_half(fp, 1))) == (anchor & MASK)
-        left = np.flatnonzero(at_home & (size[group] > 1))
-        work = size[group[left]]
-        cuts = np.cumsum(work)
-        lo = 0
-        while lo < len(left):
-            hi = max(lo + 1, int(np.searchsorted(cuts, (cuts[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
-            mine, n = left[lo:hi], work[lo:hi]
-            lo = hi
-            i = np.repeat(mine, n)
-            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[mine]], n)
-            x, y = fp[i], fp[j]
-            near = (np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= radius) & (x != y)
-            if near.any():
-                a, b = forest(x[near], y[near])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        none = np.zeros(0, np.int64)
+        held_slot, held_fp = none, none  # homes of the anchor that the last chunk ended in
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            nonlocal held_slot, held_fp
+            slot, fp = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            if len(held_slot) and held_slot[0] >> 1 != slot[0] >> 1:
+                held_slot, held_fp = none, none
+            carried = len(held_slot)
+            slot, fp = np.r_[held_slot, slot], np.r_[held_fp, fp]
+            yield from _pairs(slot, fp, carried, radius)
+            last = (slot >> 1 == slot[-1] >> 1) & (slot & 1 == 0)
+            held_slot, held_fp = slot[last], fp[last]
+
+        rows = 0
+        for b in batches:
+            if b.num_rows:
+                waiting.append((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)))
+                rows += b.num_rows
+            if rows >= ROWS_AT_ONCE:
+                yield from chunk()
+                rows = 0
+        if waiting:
+            yield from chunk()
 
     return run
 
 
+def hot_anchors(fps: DataFrame, n: int) -> dict[int, int]:
+    """Anchors with many homes, by the number of parts that these are dealt to: HOT_ANCHORS at most."""
+    most = max(HOT_HOMES, -(-2 * n // HOT_ANCHORS))
+    counted = fps.select("fp").mapInArrow(_homes_of, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    return {r.anchor: -(-r.n // most) for r in counted.collect()}
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) that join the distinct fingerprints *fps* as links of *radius* do."""
     if not 0 <= radius <= 5:
         raise ValueError("the anchors guarantee all links up to 5 bits")
     spark = fps.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * 2 * REPLICAS // ROWS_PER_TASK))
-    sent = fps.select("fp").mapInArrow(_replicate, "anchor long, fp long").repartition(tasks, "anchor")
-    return sent.mapInArrow(_compare(radius), "a long, b long")
+    n = fps.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * 2 * REPLICAS // ROWS_PER_TASK))
+    sent = fps.select("fp").repartition(tasks, "fp").mapInArrow(_replicate(hot_anchors(fps, n)), "slot long, fp long")
+    dealt = sent.repartition(tasks, F.shiftright("slot", 1)).sortWithinPartitions("slot")
+    return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:

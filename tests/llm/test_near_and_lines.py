@@ -75,9 +75,14 @@ def test_components_match_brute_force(spark):
     assert {i: v[1] for i, v in got.items()} == {i: least[g] for i, g in zip(ids, groups, strict=True)}
 
 
-def test_random_fingerprints_lose_no_link(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_random_fingerprints_lose_no_link(spark, hot, monkeypatch):
     rnd = random.Random(9)
     fps = []
+    if hot:  # one half in common, so an anchor has most homes: dealt to parts, compared in small chunks
+        monkeypatch.setattr(simhash_anchor, "HOT_HOMES", 20)
+        monkeypatch.setattr(simhash_anchor, "HOT_ANCHORS", 100)
+        fps = [rnd.getrandbits(32) << 32 | 0x12345678 for _ in range(150)] + [0x12345678 ^ (rnd.getrandbits(10) << 34) ^ (1 << rnd.randrange(32)) for _ in range(150)]
     for _ in range(150):
         x = rnd.getrandbits(64)
         fps.append(x)
@@ -92,9 +97,39 @@ def test_random_fingerprints_lose_no_link(spark):
     roots = {r.node: r.root for r in connected_components(edges).collect()}
     want = brute_components(fps)
     mine = [roots.get(s, s) for s in signed]
+    parts = simhash_anchor.hot_anchors(spark.createDataFrame([(x,) for x in signed], "fp long"), len(fps))
+    assert bool(parts) == hot and all(n > 1 for n in parts.values())
     assert len({(a, b) for a, b in zip(mine, want, strict=True)}) == len(set(mine)) == len(set(want))
 
 
+def test_chunks_and_parts_find_the_same_links(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(10)
+    base = [rnd.getrandbits(64) for _ in range(6)]
+    fps = np.array(sorted({b ^ sum(1 << j for j in rnd.sample(range(64), rnd.randrange(5))) for b in base for _ in range(60)}), np.uint64).view(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(fps)], ["fp"])
+    home = np.concatenate([simhash_anchor.homes(simhash_anchor._half(fps, h)) | h << simhash_anchor.BITS for h in (0, 1)])
+
+    def components(hot, step):
+        monkeypatch.setattr(simhash_anchor, "ROWS_AT_ONCE", step)
+        sent = list(simhash_anchor._replicate(hot)([batch]))
+        slot, fp = (np.concatenate([b.column(c).to_numpy() for b in sent]) for c in (0, 1))
+        order = np.argsort(slot, kind="stable")
+        pieces = [pa.RecordBatch.from_arrays([pa.array(slot[p]), pa.array(fp[p])], ["slot", "fp"]) for p in np.array_split(order, max(1, len(order) // min(step, 5000)))]
+        label = {x: x for x in fps.tolist()}
+        for b in simhash_anchor._compare(4)(iter(pieces)):
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, c = label[x], label[y]
+                label = {k: min(a, c) if v in (a, c) else v for k, v in label.items()}
+        return label
+
+    groups = brute_components(fps.view(np.uint64).tolist())
+    for hot, step in (({}, 10**6), ({}, 37), ({int(a): 3 for a in home}, 10**6), ({int(a): 2 for a in home}, 11)):
+        found = components(hot, step)
+        assert len({(found[x], g) for x, g in zip(fps.tolist(), groups, strict=True)}) == len(set(groups)) == len(set(found.values())), step
+
+
 def test_keep_one_and_empty_table(spark):
     df = spark.createDataFrame([(3, "a b c d e", "x", 1), (1, "A b c d e", "x", 1), (2, "other words are here now", "x", 1), (None, "a b c d e", "x", 1), (4, None, "x", 1), (5, "", "x", 1)], DOCS)
     kept = simhash_anchor.keep_one(df)
