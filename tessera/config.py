@@ -28,8 +28,9 @@ class EngineConfig:
     mad_k: float = 3.5
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
-    #: Query vectors that one pass over the corpus compares; larger sets go in blocks.
+    #: Query vectors that are sent to all tasks; larger sets are dealt in blocks, against blocks of rows.
     query_block: int = 2048
+    row_block: int = 65536
 
 
 DEFAULT = EngineConfig()

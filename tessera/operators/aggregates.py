@@ -52,14 +52,6 @@ def jaccard_pairs(tags: DataFrame) -> DataFrame:
     return joined.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
 
 
-def index_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """The values at places floor(n * share) of the sorted column, with counts of equal values summed first."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row for each distinct value
-    placed = counts.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy()))
-    return placed.agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("n") * s), F.col("v"))).alias(name) for name, s in shares.items()])
-
-
 def borda(rankings: DataFrame) -> DataFrame:
     """Global ranking of (query_id, method, rank): sum of n - rank + 1, wins, average rank, competition rank."""
     n = rankings.agg(F.count_distinct("method")).scalar()

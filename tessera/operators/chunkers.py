@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,21 +105,28 @@ def dynamic_combination(text: str, target: int = 300) -> list[str]:
     return pack(split_sentences(text), target, " ")
 
 
-def bigram_perplexities(sentences: list[str]) -> list[float]:
-    """Each sentence under an add-one character-bigram model of the text."""
-    pairs: Counter[str] = Counter()
-    firsts: Counter[str] = Counter()
-    for s in sentences:
-        for i in range(len(s) - 1):
-            pairs[s[i : i + 2]] += 1
-            firsts[s[i]] += 1
-    kinds = len(set("".join(sentences))) or 1
-
-    def one(s: str) -> float:
-        n = len(s) - 1
-        return math.exp(-sum(math.log((pairs[s[i : i + 2]] + 1) / (firsts[s[i]] + kinds)) for i in range(n)) / n) if n > 0 else 1.0
-
-    return [one(s) for s in sentences]
+def bigram_perplexities(sentences: list[str], kinds: int | None = None) -> list[float]:
+    """Each sentence under an add-one character-bigram model of all of them; *kinds* characters are possible, or those that occur."""
+    data = np.frombuffer("".join(sentences).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(data):
+        return [1.0] * len(sentences)
+    sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
+    ends = np.cumsum(sizes)
+    values, code = np.unique(data, return_inverse=True)
+    kinds = kinds or len(values)
+    inside = np.ones(len(data), bool)
+    inside[ends[sizes > 0] - 1] = False  # a pair doesn't go from one sentence to the next
+    first = np.flatnonzero(inside)
+    pairs = code[first].astype(np.int64) * len(values) + code[first + 1]
+    _, which, n_pair = np.unique(pairs, return_inverse=True, return_counts=True)
+    n_first = np.bincount(code[first], minlength=len(values))
+    loss = np.zeros(len(data) + 1)
+    loss[first + 1] = np.log((n_first[code[first]] + kinds) / (n_pair[which] + 1))
+    total = np.cumsum(loss)
+    out = []
+    for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+        out.append(math.exp((total[end] - total[end - n]) / (n - 1)) if n > 1 else 1.0)
+    return out
 
 
 def char_cosine(a: str, b: str) -> float:
@@ -202,24 +210,3 @@ def rouge_l(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
 
     done = df.withColumn("_r", F.arrow_udf(run, "struct<p: double, r: double, f: double>")(F.col(reference), F.col(hypothesis)))
     return done.withColumns({f"rouge_{k}": F.col(f"_r.{k}") for k in "prf"}).drop("_r")
-
-
-def path_entropy(weights: list[tuple[int, int, float]], n: int) -> float:
-    """Entropy of the running-mean path lengths from the first node: each relaxation keeps the smaller mean weight along a path."""
-    best: dict[int, tuple[float, int]] = {0: (0.0, 0)}
-    by: dict[int, list[tuple[int, float]]] = {}
-    for i, j, w in weights:
-        by.setdefault(i, []).append((j, w))
-    queue = [0]
-    while queue:
-        i = queue.pop(0)
-        mean, steps = best[i]
-        for j, w in by.get(i, []):
-            new = (mean * steps + w) / (steps + 1)
-            if j not in best or new < best[j][0] - 1e-12:
-                best[j] = (new, steps + 1)
-                if steps + 1 < n:
-                    queue.append(j)
-    values = [m for m, _ in best.values() if m > 0]
-    total = sum(values)
-    return -sum(v / total * math.log2(v / total) for v in values) if total else 0.0

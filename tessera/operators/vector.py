@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,15 +33,22 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _partial(block, k: int, metric: str, digits: int, exclude_self: bool, same_group: bool, least: float | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, groups = block.value
+def _partial(k: int, metric: str, digits: int, exclude_self: bool, same_group: bool, least: float | None):
+    """The best *k* of some rows for each of a block of queries: (id, vec, grp) tables to (query_id, chunk_id, score)."""
+
+    def best(queries: pa.Table, batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
+        batches = iter(batches)
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None or not queries.num_rows:
+            return None
+        ids, groups = (queries.column(c).to_numpy() for c in ("id", "grp"))
+        width = len(first.column("vec")[0])
+        vectors = _matrix(queries.column("vec").combine_chunks(), width)
         best_score = np.full((len(ids), k), -np.inf)
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = _matrix(batch.column(1), vectors.shape[1])
-            label = batch.column(2).to_numpy(zero_copy_only=False)
+        for batch in itertools.chain([first], batches):
+            own, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "grp"))
+            rows = _matrix(batch.column("vec"), width)
             for at in range(0, len(own), 512):
                 part = slice(at, at + 512)
                 scores = np.round(similarities(metric, vectors, rows[part]), digits)
@@ -53,75 +63,111 @@ def _partial(block, k: int, metric: str, digits: int, exclude_self: bool, same_g
                 order = np.lexsort((every, -scores))[:, :k]
                 best_score, best_id = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
         q, j = np.nonzero(np.isfinite(best_score))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_id[q, j]), pa.array(best_score[q, j])], ["query_id", "chunk_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_id[q, j]), pa.array(best_score[q, j])], ["query_id", "chunk_id", "score"])
+
+    return best
+
+
+def _every(keys: list[str], digits: int, least: float | None):
+    """Every row of a block with each of a block of queries: (id, vec) and (keys, vec) tables to (query_id, keys, score)."""
+
+    def score(queries: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows or not queries.num_rows:
+                continue
+            width = len(whole.column("vec")[0])
+            ids, vectors = queries.column("id").to_numpy(), _matrix(queries.column("vec").combine_chunks(), width)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                found = np.round(similarities("cosine", vectors, _matrix(batch.column("vec"), width)), digits)
+                q, j = np.nonzero(found >= (-np.inf if least is None else least))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), *[batch.column(c).take(pa.array(j)) for c in keys], pa.array(found[q, j])], ["query_id", *keys, "score"])
+
+    return score
 
-    return run
+
+def _blocks(rows: DataFrame, n_rows: int, queries: DataFrame, n_queries: int, block: int, row_block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (_q, _r): each block of queries meets each block of rows. Blocks are dealt by hash, about *block* and *row_block* rows each."""
+    nq, nr = max(1, -(-n_queries // block)), max(1, -(-n_rows // row_block))
+    name = rows.columns[0]
+    left = queries.withColumns({"_q": F.pmod(F.xxhash64("id"), F.lit(nq)), "_r": F.explode(F.sequence(F.lit(0), F.lit(nr - 1)).cast("array<bigint>"))})
+    right = rows.withColumns({"_r": F.pmod(F.xxhash64(name, F.xxhash64("vec")), F.lit(nr)), "_q": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>"))})
+    return left, right
 
 
 def topk(
     corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int = 6, exclude_self: bool = True,
-    same_group: bool = False, least: float | None = None, block: int = DEFAULT.query_block,
+    same_group: bool = False, least: float | None = None, block: int = DEFAULT.query_block, row_block: int = DEFAULT.row_block,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): the *k* nearest rows of *corpus* for each row of *queries*.
 
-    Both have (id, vec, grp). Queries go to the tasks in blocks of about *block*; each task keeps
-    the best k of its rows, so the final exchange holds k rows for each task and query.
+    Both have (id, vec, grp). Up to *block* queries are sent to all tasks, each of which keeps
+    the best k of its rows. More are dealt in blocks, as are the rows, and each pair of blocks is a task's;
+    neither side goes to the driver. The final exchange holds k rows for each query and task.
     Scores are rounded to *digits*; equal ones go by id. With *same_group* a filter on grp
     comes before the ranking, so it costs no recall.
     """
     if metric not in METRICS:
         raise ValueError(f"metric: {metric}")
     spark = corpus.sparkSession
-    wanted = queries.filter("vec IS NOT NULL AND id IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec"), F.coalesce("grp", F.lit(-1)).cast("long").alias("grp"))
-    rows = corpus.filter("vec IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long"), F.col("vec").cast("array<double>").alias("vec"), F.coalesce("grp", F.lit(-2)).cast("long").alias("grp"))
-    n = max(1, -(-wanted.count() // block))
-    parts = []
-    for b in range(n):
-        some = wanted if n == 1 else wanted.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
-        own = some.collect()  # one block of the stated query set
-        if own:
-            data = spark.sparkContext.broadcast((np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], np.float64), np.array([r[2] for r in own], np.int64)))
-            parts.append(rows.mapInArrow(_partial(data, k, metric, digits, exclude_self, same_group, least), "query_id long, chunk_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    wanted = queries.filter("vec IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.coalesce("grp", F.lit(-1)).cast("long").alias("grp"))
+    rows = corpus.filter("vec IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.coalesce("grp", F.lit(-2)).cast("long").alias("grp"))
+    best = _partial(k, metric, digits, exclude_self, same_group, least)
+    kinds = "query_id long, chunk_id long, score double"
+    n = wanted.count()
+    if n <= block:
+        data = spark.sparkContext.broadcast(wanted.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = best(data.value, batches)
+            if found is not None:
+                yield found
+
+        found = rows.mapInArrow(run, kinds)
+    else:
+
+        def pair(own: pa.Table, others: pa.Table) -> pa.Table:
+            found = best(own, others.to_batches())
+            return pa.Table.from_batches([] if found is None else [found], schema=TOPK)
+
+        left, right = _blocks(rows, rows.count(), wanted, n, block, row_block)
+        found = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(pair, kinds)
     return ranked(found).filter(F.col("rank") <= k)
 
 
-def scores(corpus: DataFrame, queries: DataFrame, *keys: str, digits: int = 6, least: float | None = None, block: int = DEFAULT.query_block) -> DataFrame:
+TOPK = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+
+
+def scores(
+    corpus: DataFrame, queries: DataFrame, *keys: str, digits: int = 6, least: float | None = None, block: int = DEFAULT.query_block, row_block: int = DEFAULT.row_block
+) -> DataFrame:
     """(query_id, keys, score): the cosine of every query with every row of *corpus* (keys, vec), or of those from *least*.
 
-    Meant for rows whose number doesn't follow the corpus, like tags or centres. Queries go in blocks, as in topk().
+    Meant for rows whose number doesn't follow the corpus, like tags or centres: up to *block* of them are sent to
+    all tasks, which go over the queries; beyond that both sides are dealt in blocks, as in topk().
     """
     spark = corpus.sparkSession
-    wanted = queries.filter("vec IS NOT NULL AND id IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec"))
-    rows = corpus.filter("vec IS NOT NULL").select(*keys, F.col("vec").cast("array<double>").alias("_vec"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    n = max(1, -(-wanted.count() // block))
-    out = None
-    for b in range(n):
-        some = wanted if n == 1 else wanted.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
-        if own := some.collect():
-            data = spark.sparkContext.broadcast((np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], np.float64)))
-            part = rows.mapInArrow(_every(data, digits, least), f"query_id long, {kinds}, score double")
-            out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], f"query_id long, {kinds}, score double") if out is None else out
-
-
-def _every(block, digits: int, least: float | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = block.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                found = np.round(similarities("cosine", vectors, _matrix(batch.column(batch.num_columns - 1), vectors.shape[1])), digits)
-                q, j = np.nonzero(found >= (-np.inf if least is None else least))
-                kept = [batch.column(c).take(pa.array(j)) for c in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), *kept, pa.array(found[q, j])], ["query_id", *batch.schema.names[:-1], "score"])
+    wanted = queries.filter("vec IS NOT NULL AND id IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    rows = corpus.filter("vec IS NOT NULL").select(*keys, F.col("vec").cast("array<double>").alias("vec"))
+    kinds = ", ".join(["query_id long", *[f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema], "score double"])
+    every = _every([*keys], digits, least)
+    few = rows.limit(block + 1).toArrow()  # bounded: decides, and is what is sent
+    if few.num_rows <= block:
+        data = spark.sparkContext.broadcast(few)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = data.value.combine_chunks().to_batches()
+            for batch in batches:
+                yield from every(pa.Table.from_batches([batch]), held)
+
+        return wanted.mapInArrow(run, kinds)
+    schema = pa.schema([("query_id", pa.int64()), *[few.schema.field(c) for c in keys], ("score", pa.float64())])
+
+    def pair(own: pa.Table, others: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(every(own, others.combine_chunks().to_batches())), schema=schema)
 
-    return run
+    left, right = _blocks(rows, rows.count(), wanted, wanted.count(), block, row_block)
+    return left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(pair, kinds)
 
 
 def ranked(found: DataFrame, *by: str) -> DataFrame:
@@ -131,6 +177,6 @@ def ranked(found: DataFrame, *by: str) -> DataFrame:
 
 
 def centroids(members: DataFrame, *keys: str) -> DataFrame:
-    """(keys, vec): the element-wise mean of the vectors `vec` of each key."""
-    cells = members.select(*keys, F.posexplode(F.col("vec").cast("array<double>")).alias("j", "x")).groupBy(*keys, "j").agg(F.avg("x").alias("x"))
-    return cells.groupBy(*keys).agg(F.expr("transform(sort_array(collect_list(struct(j, x))), c -> c.x)").alias("vec"))
+    """(keys, vec): the element-wise mean of the vectors `vec` of each key; summed as vectors before the exchange."""
+    held = members.filter("vec IS NOT NULL").select(*keys, array_to_vector(F.col("vec").cast("array<double>")).alias("vec"))
+    return held.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("vec"))).alias("vec"))

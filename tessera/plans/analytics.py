@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tessera.operators import aggregates as agg
 from tessera.plans import frames as f
 from tessera.plans.registry import query
+from tessera.scratch import indexed, quantiles
 
 T = f"WITH {f.TAGS}"
 N_DOCS = "(SELECT count(*) FROM documents)"
@@ -84,9 +85,10 @@ def dim_redundancy(spark, d):
 SELECT count(*) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, round(stddev_samp(v), 4) AS sd, min(v) AS low, max(v) AS high, min(v) FILTER (i = n // 4) AS p25, min(v) FILTER (i = 3 * n // 4) AS p75 FROM s""")
 def length_stats(spark, d):
     docs = f.t(spark, d, "documents")
-    q = agg.index_quantiles(docs, "n_chars", {"p25": 0.25, "p75": 0.75})
-    plain = docs.agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.median("n_chars"), 6).alias("median"), F.round(F.stddev_samp("n_chars"), 4).alias("sd"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
-    return plain.withColumns({"p25": q.select("p25").scalar(), "p75": q.select("p75").scalar()})
+    q = quantiles(docs, "n_chars", {"p25": 0.25, "p75": 0.75}, interpolate=False)
+    middle = quantiles(docs, "n_chars", {"median": 0.5}).select(F.round("median", 6)).scalar()
+    plain = docs.agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 4).alias("sd"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    return plain.withColumns({"median": middle, "p25": q.select("p25").scalar(), "p75": q.select("p75").scalar()})
 
 
 def _hist(name, edges, sql_extra=""):
@@ -112,15 +114,17 @@ SELECT count(*) FILTER (v < 100) AS lt100, count(*) FILTER (v >= 100 AND v < 300
 def length_hist2(spark, d):
     docs, v = f.t(spark, d, "documents").filter("n_chars IS NOT NULL"), F.col("n_chars")
     bins = {"lt100": v < 100, "lt300": (v >= 100) & (v < 300), "lt500": (v >= 300) & (v < 500), "upto800": (v >= 500) & (v <= 800), "over800": v > 800}
-    return docs.agg(*[F.count_if(c).alias(n) for n, c in bins.items()]).withColumn("p90", agg.index_quantiles(docs, "n_chars", {"p90": 0.9}).scalar())
+    return docs.agg(*[F.count_if(c).alias(n) for n, c in bins.items()]).withColumn("p90", quantiles(docs, "n_chars", {"p90": 0.9}, interpolate=False).scalar())
 
 
 @query("SELECT round(min(l_extendedprice), 4) AS low, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(max(l_extendedprice), 4) AS high, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS sd FROM lineitem")
 def score_quantiles(spark, d):
     v = "l_extendedprice"
-    p = {f"p{k}": F.percentile(v, F.lit(k / 100)) for k in (25, 75, 90, 95)}
-    cols = {"low": F.min(v), "p25": p["p25"], "median": F.median(v), "p75": p["p75"], "p90": p["p90"], "p95": p["p95"], "high": F.max(v), "mean": F.avg(v), "sd": F.stddev_pop(v)}
-    return f.t(spark, d, "lineitem").agg(*[F.round(c, 4).alias(n) for n, c in cols.items()])
+    li = f.t(spark, d, "lineitem").select(v)
+    places = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+    plain = li.agg(*[F.round(c(v), 4).alias(n) for n, c in (("low", F.min), ("high", F.max), ("mean", F.avg), ("sd", F.stddev_pop))])
+    q = quantiles(li, v, places)
+    return plain.withColumns({n: q.select(F.round(n, 4)).scalar() for n in places})
 
 
 @query("SELECT event_type AS metric, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY 1")
@@ -575,8 +579,8 @@ def convergence_trace(spark, d):
 SELECT doc_id, n_chars FROM documents JOIN a USING (source) WHERE n_chars > med + 3.5 * 1.4826 * mad""")
 def mad_filter(spark, d):
     docs = f.t(spark, d, "documents").select("doc_id", "source", "n_chars")
-    med = docs.join(docs.groupBy("source").agg(F.median("n_chars").alias("med")), "source")
-    mad = med.groupBy("source").agg(F.median(F.abs(F.col("n_chars") - F.col("med"))).alias("mad"))
+    med = docs.join(quantiles(docs, "n_chars", {"med": 0.5}, ["source"]), "source")
+    mad = quantiles(med.withColumn("off", F.abs(F.col("n_chars") - F.col("med"))), "off", {"mad": 0.5}, ["source"])
     return med.join(mad, "source").filter("n_chars > med + 3.5D * 1.4826D * mad").select("doc_id", "n_chars")
 
 
@@ -590,7 +594,8 @@ def sigma_filter(spark, d):
 @query("WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 i, count(*) OVER (PARTITION BY p_brand) n FROM part), k AS (SELECT p_brand, any_value(n) n FROM r GROUP BY 1), w AS (SELECT DISTINCT p_brand, CASE WHEN n <= 10 THEN j ELSE round_even(j * (n - 1) / 9, 0)::bigint END i FROM k, range(10) u(j) WHERE n > 10 OR j < n) SELECT p_brand, p_partkey FROM r JOIN w USING (p_brand, i)")
 def spread_sample(spark, d):
     """Ten rows of each brand at even distances, places rounded half to even."""
-    w = Window.partitionBy("p_brand")
-    r = f.t(spark, d, "part").select("p_brand", "p_partkey", (F.row_number().over(w.orderBy("p_partkey")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
+    by = indexed(f.t(spark, d, "part").select("p_brand", "p_partkey"), ["p_brand", "p_partkey"], "at")
+    bounds = by.groupBy("p_brand").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row for each brand
+    r = by.join(bounds, "p_brand").withColumn("i", F.col("at") - F.col("first"))
     places = F.when(F.col("n") <= 10, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.bround(j * (F.col("n") - 1) / 9, 0).cast("long")))
     return r.filter(F.array_contains(places, F.col("i"))).select("p_brand", "p_partkey")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tessera.operators import fusion, recall, vector
 from tessera.plans import frames as f
 from tessera.plans.registry import query
+from tessera.scratch import materialize
 
 HEAD = f"WITH {f.EMB}, {f.Q}, {f.PAIRS}"
 
@@ -107,13 +108,14 @@ def dim_recall_payload(spark, d):
 
 
 @query(f"""{TAGGED}, best AS (SELECT * FROM simt QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dim, tag) <= 3),
-x AS (SELECT chunk_id, max(score) s, string_agg(query_id || '/' || dim || ':' || tag, ',' ORDER BY query_id, dim, tag) hits FROM best JOIN tags USING (dim, tag) GROUP BY chunk_id)
-SELECT chunk_id, round(s, 6) AS score, hits FROM x""")
+h AS (SELECT dim, tag, max(score) s, count(*) n FROM best GROUP BY ALL)
+SELECT chunk_id, round(max(s), 6) AS score, sum(n)::bigint AS n_queries, string_agg(dim || ':' || tag || '=' || n, ',' ORDER BY dim, tag) AS hits FROM h JOIN tags USING (dim, tag) GROUP BY chunk_id""")
 def tag_expand(spark, d):
-    best = recall.best_tags(f.similar(spark, d), 3)
-    hit = F.struct("query_id", "dim", "tag")
-    joined = best.join(f.tags(spark, d), ["dim", "tag"]).groupBy("chunk_id").agg(F.round(F.max("score"), 6).alias("score"), F.sort_array(F.collect_list(hit)).alias("h"))
-    return joined.select("chunk_id", "score", F.expr("array_join(transform(h, x -> concat(string(x.query_id), '/', x.dim, ':', x.tag)), ',')").alias("hits"))
+    """Chunks of the tags that queries hit, with the best score. Queries are counted by tag first, so a chunk holds a row for each of its tags, not for each query."""
+    best = recall.best_tags(f.similar(spark, d), 3).groupBy("dim", "tag").agg(F.max("score").alias("s"), F.count("*").alias("n"))
+    hit = F.sort_array(F.collect_list(F.struct("dim", "tag", "n")))
+    joined = best.join(f.tags(spark, d), ["dim", "tag"]).groupBy("chunk_id").agg(F.round(F.max("s"), 6).alias("score"), F.sum("n").alias("n_queries"), hit.alias("h"))
+    return joined.select("chunk_id", "score", "n_queries", F.expr("array_join(transform(h, x -> concat(x.dim, ':', x.tag, '=', string(x.n))), ',')").alias("hits"))
 
 
 @query(f"WITH {f.sem_sql()} SELECT query_id, chunk_id, score, rank, lang, source, length(text)::bigint AS n FROM sem JOIN documents ON doc_id = chunk_id")
@@ -153,10 +155,13 @@ has AS (SELECT DISTINCT query_id FROM ok WHERE chunk_id <> query_id AND chunk_id
 p AS (SELECT sims.* FROM sims SEMI JOIN ok USING (query_id, chunk_id) UNION ALL SELECT * FROM sims WHERE query_id NOT IN (SELECT query_id FROM has)) {f.rank('p', 10)}""")
 def hybrid_prefilter(spark, d):
     """Facet filter, then vectors; queries with nothing to filter for, or nothing left, are pure vector searches."""
-    ask = f.constraints(spark, d)
-    need = ask.groupBy("query_id").agg(F.count_distinct("dim").alias("need"))
-    held = ask.join(f.chunk_tags(spark, d), ["dim", "tag"]).groupBy("query_id", "chunk_id").agg(F.count_distinct("dim").alias("got"))
-    allowed = held.join(need, "query_id").filter("got = need AND chunk_id <> query_id").select("query_id", "chunk_id")
+    ask = f.constraints(spark, d).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("dim", "tag"))).alias("sign"))
+    combos = [r.dims for r in ask.select(F.col("sign.dim").alias("dims")).distinct().collect()]  # of dims: some, whatever the corpus
+    asked = F.explode(F.array(*[F.array(*map(F.lit, c)) for c in combos])).alias("dims") if combos else F.lit(None).cast("array<string>").alias("dims")
+    held = f.chunk_tags(spark, d).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("dim", "tag"))).alias("own"))
+    # a chunk's tags of the dims asked for, whole: only chunks that meet all constraints are joined to a query
+    signed = held.select("chunk_id", "own", asked).select("chunk_id", F.expr("filter(own, x -> array_contains(dims, x.dim))").alias("sign"))
+    allowed = materialize(ask.join(signed, "sign").filter("chunk_id <> query_id").select("query_id", "chunk_id").distinct(), "allowed")
     vecs, q = f.emb(spark, d), f.queries(spark, d)
     pairs = allowed.join(vecs.select(F.col("id").alias("chunk_id"), "vec"), "chunk_id").join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
     from tessera.functions.vectors import cosine
@@ -220,9 +225,12 @@ BONUS = "bonus AS (SELECT query_id, chunk_id, count(*) FILTER (dim = 'source') e
 
 @query(f.fused("0.5 * coalesce(ds, 0) + 0.5 * coalesce(ss, 0) + 0.12 * coalesce(e, 0) + 0.08 * coalesce(c, 0)", 8, f"{f.both_sql()}, {f.ASK}, {BONUS}, {RANKED.format('dim')}, {RANKED.format('sem')}", MERGED_N.replace("m AS (", "m0 AS (") + ", m AS (SELECT m0.*, e, c FROM m0 LEFT JOIN bonus USING (query_id, chunk_id))"))
 def rerank_score(spark, d):
-    hits = f.constraints(spark, d).join(f.tags(spark, d), ["dim", "tag"]).groupBy("query_id", "chunk_id")
+    dim, sem = materialize(f.dim(spark, d), "dim"), materialize(f.sem(spark, d), "sem")
+    # only the candidates' tags meet the constraints, not those of all chunks
+    pool = dim.select("query_id", "chunk_id").unionByName(sem.select("query_id", "chunk_id")).distinct()
+    hits = pool.join(f.tags(spark, d), "chunk_id").join(f.constraints(spark, d), ["query_id", "dim", "tag"]).groupBy("query_id", "chunk_id")
     bonus = hits.agg(F.count_if(F.col("dim") == "source").cast("double").alias("entity"), (F.count("*") / 2).alias("coverage"))
-    return fusion.rerank_score(f.dim(spark, d), f.sem(spark, d), bonus)
+    return fusion.rerank_score(dim, sem, bonus)
 
 
 @query(f"WITH {f.both_sql()}, {f.MERGED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY least(2 * dr, 2 * sr + 1)) AS rank FROM m QUALIFY rank <= 8")
@@ -253,21 +261,24 @@ def ensemble_rrf(spark, d):
     return fusion.ensemble([f.dim(spark, d), f.sem(spark, d)], [0.5, 0.5])
 
 
-PPL = "p AS (SELECT query_id, chunk_id, sem.rank, row_number() OVER (PARTITION BY query_id ORDER BY length(text), chunk_id) pr FROM sem JOIN documents ON doc_id = chunk_id)"
+PAIR = "c AS (SELECT doc_id, i, substr(text, i, 1) a, substr(text, i + 1, 1) b FROM documents, unnest(range(1, length(text))) u(i)), n2 AS (SELECT a, b, count(*) n FROM c GROUP BY ALL), n1 AS (SELECT a, sum(n) n FROM n2 GROUP BY a), pp AS (SELECT doc_id, round(exp(-sum(ln((n2.n + 1) / (n1.n + 65536))) / count(*)), 4) ppl FROM c JOIN n2 USING (a, b) JOIN n1 ON n1.a = c.a GROUP BY doc_id)"
+PPL = PAIR + ", p AS (SELECT query_id, chunk_id, sem.rank, row_number() OVER (PARTITION BY query_id ORDER BY ppl, chunk_id) pr FROM sem JOIN pp ON doc_id = chunk_id)"
 
 
 @query(f"WITH {f.sem_sql()}, {PPL}, g AS (SELECT query_id, chunk_id, round(1.0 / (60 + rank) + 1.0 / (60 + pr), 6) score FROM p) {f.rank('g', 8)}")
 def ppl_rrf(spark, d):
-    """Place in the list and place by a given difficulty score (the text's length stands for a model's perplexity)."""
-    ppl = f.t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.length("text").alias("ppl"))
+    """Place in the list and place by perplexity, which a hook can give; here by character pairs counted over all documents."""
+    from tessera.plans.texts import char_ppl
+
+    ppl = char_ppl(f.t(spark, d, "documents"), "doc_id").withColumnRenamed("doc_id", "chunk_id")
     w = Window.partitionBy("query_id").orderBy("ppl", "chunk_id")
     both = f.sem(spark, d).join(ppl, "chunk_id").withColumn("pr", F.row_number().over(w))
     return vector.ranked(both.select("query_id", "chunk_id", F.round(1.0 / (60 + F.col("rank")) + 1.0 / (60 + F.col("pr")), 6).alias("score"))).filter("rank <= 8")
 
 
-def _evidence(spark, d):
+def _evidence(spark, d, dim):
     ask = f.constraints(spark, d)
-    hits = f.dim(spark, d).join(f.tags(spark, d), "chunk_id").join(ask, ["query_id", "dim", "tag"]).groupBy("query_id", "dim").agg(F.max("score").alias("s"))
+    hits = dim.join(f.tags(spark, d), "chunk_id").join(ask, ["query_id", "dim", "tag"]).groupBy("query_id", "dim").agg(F.max("score").alias("s"))
     n = ask.groupBy("query_id").agg(F.count_distinct("dim").alias("n_dims")).withColumn("n_bound", F.col("n_dims"))
     return n.join(hits.groupBy("query_id").agg(F.sum("s").alias("e")), "query_id", "left")
 
@@ -282,14 +293,15 @@ aw AS (SELECT query_id, round((p + t + cd) / ((p + t + cd) + (1 - p) + (1 - t) +
 
 @query(f"WITH {ADAPT} SELECT query_id, alpha_dim, round(1 - alpha_dim, 6) AS alpha_sem FROM aw")
 def adaptive_weights(spark, d):
-    found = fusion.adaptive_weights(f.dim(spark, d), f.sem(spark, d), _evidence(spark, d))
+    dim, sem = materialize(f.dim(spark, d), "dim"), materialize(f.sem(spark, d), "sem")
+    found = fusion.adaptive_weights(dim, sem, _evidence(spark, d, dim))
     return found.withColumn("alpha_sem", F.round(1 - F.col("alpha_dim"), 6))
 
 
 @query(f"WITH {ADAPT}, {f.MERGED.replace('m AS (', 'm0 AS (')}, m AS (SELECT m0.*, alpha_dim a FROM m0 JOIN aw USING (query_id)), g AS (SELECT query_id, chunk_id, round(a * {rr('dr', 1)} + (1 - a) * {rr('sr', 1)}, 6) score, {f.SOURCE} FROM m) {f.rank('g', 8, columns='query_id, chunk_id, score, source')}")
 def adaptive_fuse(spark, d):
-    dim, sem = f.dim(spark, d), f.sem(spark, d)
-    weights = fusion.adaptive_weights(dim, sem, _evidence(spark, d))
+    dim, sem = materialize(f.dim(spark, d), "dim"), materialize(f.sem(spark, d), "sem")
+    weights = fusion.adaptive_weights(dim, sem, _evidence(spark, d, dim))
     m = fusion.merge(dim, sem).join(weights, "query_id")
     a = F.col("alpha_dim")
     return fusion.scored(m, a * fusion.reciprocal("dim_rank", 60, 1) + (1 - a) * fusion.reciprocal("sem_rank", 60, 1), 8)
@@ -320,10 +332,10 @@ BEST = "best AS (SELECT * FROM simt QUALIFY row_number() OVER (PARTITION BY quer
 
 def _rerank(spark, d):
     """The first 50 of the dim recall with their hit tags, exact ones scored 1."""
-    best = recall.best_tags(f.similar(spark, d), 20).select("query_id", "dim", "tag", "score")
+    best = materialize(recall.best_tags(f.similar(spark, d), 20).select("query_id", "dim", "tag", "score"), "best")
     exact = f.constraints(spark, d).withColumn("exact", F.lit(1.0))
     tag_score = best.join(exact, ["query_id", "dim", "tag"], "left").select("query_id", "dim", "tag", F.coalesce("exact", "score").alias("s"))
-    pool = f.dim(spark, d).filter("rank <= 50").select("query_id", "chunk_id", "rank")
+    pool = recall.expand(best, f.chunk_tags(spark, d), 100).filter("rank <= 50").select("query_id", "chunk_id", "rank")
     return pool, pool.join(f.tags(spark, d), "chunk_id").join(tag_score, ["query_id", "dim", "tag"])
 
 
@@ -357,11 +369,18 @@ def evidence_list(spark, d):
     return hits.groupBy("query_id", "chunk_id").agg(first.alias("h")).select("query_id", "chunk_id", F.expr("array_join(transform(h, x -> concat(x.dim, ':', x.tag)), ',')").alias("evidence"))
 
 
-@query(f"WITH {f.EMB}, {f.Q}, {f.TAGS}, {f.ASK}, n AS (SELECT query_id, count(*) n FROM ask GROUP BY 1) SELECT query_id, chunk_id, round(count(*) / any_value(n), 6) AS coverage FROM ask JOIN tags USING (dim, tag) JOIN n USING (query_id) GROUP BY ALL")
+@query(f"""WITH {f.EMB}, {f.Q}, {f.TAGS}, {f.ASK}, n AS (SELECT query_id, count(*) n FROM ask GROUP BY 1), k AS (SELECT chunk_id, string_agg(dim || '=' || tag, ';' ORDER BY dim, tag) facets FROM tags WHERE dim IN ('lang', 'source') GROUP BY 1),
+c AS (SELECT facets, count(*) chunks, min(chunk_id) one FROM k GROUP BY 1)
+SELECT query_id, facets, any_value(chunks) AS n_chunks, round(count(*) / any_value(n), 6) AS coverage FROM c JOIN tags ON chunk_id = one JOIN ask USING (dim, tag) JOIN n USING (query_id) GROUP BY query_id, facets""")
 def dim_coverage(spark, d):
+    """Which part of a query's constraints chunks meet: by the combinations of facets that chunks have, each with its number of chunks, not by pairs of query and chunk."""
     ask = f.constraints(spark, d)
     n = ask.groupBy("query_id").agg(F.count("*").alias("n"))
-    return ask.join(f.tags(spark, d), ["dim", "tag"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("k")).join(n, "query_id").select("query_id", "chunk_id", F.round(F.col("k") / F.col("n"), 6).alias("coverage"))
+    own = f.tags(spark, d).filter(F.col("dim").isin("lang", "source")).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("dim", "tag"))).alias("own"))
+    kinds = materialize(own.groupBy("own").agg(F.count("*").alias("n_chunks")), "kinds")
+    named = kinds.select("n_chunks", F.expr("array_join(transform(own, x -> concat(x.dim, '=', x.tag)), ';')").alias("facets"), F.inline("own"))
+    hits = named.join(ask, ["dim", "tag"]).groupBy("query_id", "facets").agg(F.first("n_chunks").alias("n_chunks"), F.count("*").alias("k"))
+    return hits.join(n, "query_id").select("query_id", "facets", "n_chunks", F.round(F.col("k") / F.col("n"), 6).alias("coverage"))
 
 
 # --- retrieval metrics; relevant is what has the query's label

@@ -7,9 +7,10 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as x
 from tessera.functions.vectors import cosine, norm
-from tessera.operators import vector
+from tessera.operators import graphs, overlaps, vector
 from tessera.plans import frames as f
 from tessera.plans.registry import query
+from tessera.scratch import discard, indexed, materialize, quantiles, running
 
 TOKEN = "[\\x{4E00}-\\x{9FFF}]|[A-Za-z0-9]+"
 
@@ -169,15 +170,31 @@ def structure_split(spark, d):
     return g.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.min("i").cast("long").alias("first_line"))
 
 
-PPL = "s AS (SELECT conv_id, turn, length(text)::double v, lag(length(text)) OVER w p, lead(length(text)) OVER w n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+#: Perplexity of each turn by character pairs counted over all turns, with add-one smoothing.
+TURN_PPL = """tc AS (SELECT conv_id, turn, i, substr(text, i, 1) a, substr(text, i + 1, 1) b FROM conversations, unnest(range(1, length(text))) u(i)), t2 AS (SELECT a, b, count(*) n FROM tc GROUP BY ALL), t1 AS (SELECT a, sum(n) n FROM t2 GROUP BY a),
+tp AS (SELECT conv_id, turn, round(exp(-sum(ln((t2.n + 1) / (t1.n + 65536))) / count(*)), 4) v FROM tc JOIN t2 USING (a, b) JOIN t1 ON t1.a = tc.a GROUP BY ALL)"""
+
+
+def char_ppl(df, *keys):
+    """(keys, n, ppl) of rows (keys, text) with two characters or more: by character pairs counted over all rows, with add-one smoothing."""
+    c = materialize(df.select(*keys, F.explode(x.runs(F.col("text"))).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("k")), "pairs")
+    n2 = c.groupBy("g").agg(F.sum("k").alias("n2"))
+    n1 = n2.groupBy(F.left("g", F.lit(1)).alias("a")).agg(F.sum("n2").alias("n1"))
+    p = n2.join(n1, F.left("g", F.lit(1)) == F.col("a")).select("g", F.ln((F.col("n2") + 1) / (F.col("n1") + 65536)).alias("lp"))
+    s = c.join(p, "g").groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("lp")).alias("s"))
+    return s.select(*keys, "n", F.round(F.exp(-F.col("s") / F.col("n")), 4).alias("ppl"))
+
+
+PPL = TURN_PPL + ", s AS (SELECT c.conv_id, c.turn, v, lag(v) OVER w p, lead(v) OVER w n FROM conversations c LEFT JOIN tp USING (conv_id, turn) WINDOW w AS (PARTITION BY c.conv_id ORDER BY c.turn))"
 
 
 @query(f"WITH {PPL}, c AS (SELECT conv_id, turn, sum(CASE WHEN v < p AND v < n THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) g FROM s) SELECT conv_id, g::bigint AS chunk, min(turn) AS first_turn, count(*) AS n FROM c GROUP BY ALL")
 def ppl_minima_chunk(spark, d):
-    """Cut where a given difficulty score has a local minimum (the length stands for a model's perplexity)."""
+    """Cut where the turns' perplexity has a local minimum."""
+    c = f.t(spark, d, "conversations")
+    both = c.select("conv_id", "turn").join(char_ppl(c, "conv_id", "turn"), ["conv_id", "turn"], "left")
     w = Window.partitionBy("conv_id").orderBy("turn")
-    v = F.length("text")
-    s = f.t(spark, d, "conversations").withColumn("cut", F.when((v < F.lag(v).over(w)) & (v < F.lead(v).over(w)), 1).otherwise(0))
+    s = both.withColumn("cut", F.when((F.col("ppl") < F.lag("ppl").over(w)) & (F.col("ppl") < F.lead("ppl").over(w)), 1).otherwise(0))
     return s.withColumn("chunk", F.sum("cut").over(w)).groupBy("conv_id", "chunk").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
 
 
@@ -186,39 +203,49 @@ def ppl_minima_chunk(spark, d):
 ADJ = f"WITH {f.EMB}, s AS (SELECT vec_id, label, v, lead(v) OVER (PARTITION BY label ORDER BY vec_id) nv FROM emb), a AS (SELECT vec_id, label, {f.cos('v', 'nv')} sim FROM s WHERE nv IS NOT NULL)"
 
 
-def _adjacent(spark, d):
-    w = Window.partitionBy("label").orderBy("vec_id")
+def _in_order(spark, d):
+    """The vectors in the order of label and id with their places: dealt by range, so no label meets in one task."""
     e = f.emb(spark, d).select(F.col("id").alias("vec_id"), F.col("grp").alias("label"), "vec")
-    s = e.withColumn("next", F.lead("vec").over(w)).filter("next IS NOT NULL")
-    return s.select("vec_id", "label", F.round(cosine(F.col("vec"), F.col("next")), 6).alias("sim"))
+    return indexed(e, ["label", "vec_id"], "place")
+
+
+def _adjacent(spark, d):
+    e = _in_order(spark, d)
+    after = e.select((F.col("place") - 1).alias("place"), "label", F.col("vec").alias("next"))
+    return e.join(after, ["place", "label"]).select("vec_id", "label", "place", F.round(cosine(F.col("vec"), F.col("next")), 6).alias("sim"))
 
 
 @query(f"{ADJ} SELECT vec_id, label, sim FROM a")
 def adjacent_similarity(spark, d):
-    return _adjacent(spark, d)
+    return _adjacent(spark, d).drop("place")
 
 
 @query(f"{ADJ} SELECT count(*) AS n, round(avg(1 - sim), 6) AS mean, round(median(1 - sim), 6) AS median, round(quantile_cont(1 - sim, 0.9), 6) AS p90, round(stddev_pop(1 - sim), 6) AS sd FROM a")
 def boundary_clarity(spark, d):
-    c = _adjacent(spark, d).select((1 - F.col("sim")).alias("c"))
-    return c.agg(F.count("*").alias("n"), *[F.round(g, 6).alias(n) for n, g in (("mean", F.avg("c")), ("median", F.median("c")), ("p90", F.percentile("c", F.lit(0.9))), ("sd", F.stddev_pop("c")))])
+    c = materialize(_adjacent(spark, d).select((1 - F.col("sim")).alias("c")), "sims")
+    q = quantiles(c, "c", {"median": 0.5, "p90": 0.9})
+    plain = c.agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev_pop("c"), 6).alias("sd"))
+    return plain.withColumns({n: q.select(F.round(n, 6)).scalar() for n in ("median", "p90")})
 
 
 @query(f"{ADJ}, b AS (SELECT vec_id, label, sim, lag(sim) OVER (PARTITION BY label ORDER BY vec_id) prev, emb.vec_id v FROM emb LEFT JOIN a USING (vec_id, label)) SELECT vec_id, round(1 - (coalesce(sim, 0) + coalesce(prev, 0)) / nullif((sim IS NOT NULL)::int + (prev IS NOT NULL)::int, 0), 8) AS novelty FROM b")
 def neighbor_novelty(spark, d):
-    a = _adjacent(spark, d)
-    e = f.emb(spark, d).select(F.col("id").alias("vec_id"), F.col("grp").alias("label")).join(a, ["vec_id", "label"], "left")
-    b = e.withColumn("prev", F.lag("sim").over(Window.partitionBy("label").orderBy("vec_id")))
+    e = materialize(_in_order(spark, d), "ordered")
+    after = e.select((F.col("place") - 1).alias("place"), "label", F.col("vec").alias("next"))
+    a = materialize(e.join(after, ["place", "label"]).select("label", "place", F.round(cosine(F.col("vec"), F.col("next")), 6).alias("sim")), "sims")
+    before = a.select((F.col("place") + 1).alias("place"), "label", F.col("sim").alias("prev"))
+    b = e.select("vec_id", "label", "place").join(a, ["label", "place"], "left").join(before, ["label", "place"], "left")
     n = F.col("sim").isNotNull().cast("int") + F.col("prev").isNotNull().cast("int")
     return b.select("vec_id", F.round(1 - F.try_divide(F.coalesce("sim", F.lit(0.0)) + F.coalesce("prev", F.lit(0.0)), n), 8).alias("novelty"))
 
 
 @query(f"{ADJ}, q AS (SELECT quantile_cont(1 - sim, 0.74) t FROM a), g AS (SELECT vec_id, label, sum(CASE WHEN 1 - sim > (SELECT t FROM q) THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id) g FROM a) SELECT label, g::bigint AS chunk, count(*) AS n, min(vec_id) AS first_id FROM g GROUP BY ALL")
 def semantic_split(spark, d):
-    a = _adjacent(spark, d)
-    t = a.agg(F.percentile(1 - F.col("sim"), F.lit(0.74))).scalar()
-    cut = a.withColumn("cut", F.when(1 - F.col("sim") > t, 1).otherwise(0))
-    g = cut.withColumn("chunk", F.sum("cut").over(Window.partitionBy("label").orderBy("vec_id")))
+    a = materialize(_adjacent(spark, d).withColumn("off", 1 - F.col("sim")), "sims")
+    t = quantiles(a, "off", {"t": 0.74}).scalar()
+    cuts = running(a.withColumn("cut", F.when(F.col("off") > t, 1).otherwise(0)).drop("off", "sim"), ["label", "vec_id"], "cut", "upto")
+    first = cuts.groupBy("label").agg(F.min("upto").alias("first"))  # a row for each label
+    g = cuts.join(first, "label").withColumn("chunk", F.col("upto") - F.col("first") + F.col("cut"))
     return g.groupBy("label", "chunk").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
 
 
@@ -248,9 +275,12 @@ def topic_contrast(spark, d):
 
 @query(f"{CENTRE} SELECT vec_id, label, sim, near <= 5 AS core FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) near, row_number() OVER (PARTITION BY label ORDER BY sim, vec_id) far FROM s) WHERE near <= 5 OR far <= 5")
 def core_boundary_sample(spark, d):
+    s = materialize(_to_centre(spark, d), "centred")
     w = Window.partitionBy("label")
-    r = _to_centre(spark, d).withColumns({"near": F.row_number().over(w.orderBy(F.desc("sim"), "vec_id")), "far": F.row_number().over(w.orderBy("sim", "vec_id"))})
-    return r.filter("near <= 5 OR far <= 5").select("vec_id", "label", "sim", (F.col("near") <= 5).alias("core"))
+    # each branch keeps five rows of a label before the exchange
+    near = s.withColumn("n", F.row_number().over(w.orderBy(F.desc("sim"), "vec_id"))).filter("n <= 5").drop("n").withColumn("core", F.lit(True))
+    far = s.withColumn("n", F.row_number().over(w.orderBy("sim", "vec_id"))).filter("n <= 5").drop("n").withColumn("core", F.lit(False))
+    return near.unionByName(far).groupBy("vec_id", "label", "sim").agg(F.bool_or("core").alias("core"))
 
 
 # --- text metrics: an assistant's turn against the user's turn before it
@@ -269,14 +299,13 @@ def _qa(spark, d):
 
 
 def _overlap(spark, d, tokens=x.tokens):
-    """Multiset and set overlaps of the two token lists, by joining counts."""
-    qa = _qa(spark, d)
-    bag = lambda c: qa.select("id", F.explode(tokens(F.col(c))).alias("t")).groupBy("id", "t").agg(F.count("*").alias(f"n_{c}"))
-    both = bag("a").join(bag("q"), ["id", "t"], "full").groupBy("id").agg(
-        F.sum(F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_q", F.lit(0)))).alias("k"), F.sum("n_a").alias("na"), F.sum("n_q").alias("nq"),
-        F.count_if(F.col("n_a").isNotNull() & F.col("n_q").isNotNull()).alias("md"), F.count("n_a").alias("da"), F.count("n_q").alias("dq"),
+    """Multiset and set overlaps of the two token lists, row by row."""
+    qa = _qa(spark, d).select("id", tokens(F.col("a")).alias("ta"), tokens(F.col("q")).alias("tq"))
+    sa, sq = F.array_distinct("ta"), F.array_distinct("tq")
+    return qa.select(
+        "id", overlaps.clipped("ta", "tq", 1)[0].alias("k"), F.size("ta").alias("na"), F.size("tq").alias("nq"),
+        F.size(F.array_intersect(sa, sq)).alias("md"), F.size(sa).alias("da"), F.size(sq).alias("dq"),
     )
-    return qa.select("id").join(both, "id", "left").fillna(0)
 
 
 def _f1(k, a, b):
@@ -295,15 +324,12 @@ def set_prf(spark, d):
 
 
 def _bleu(spark, d):
+    """Precisions and the length penalty, counted row by row: nothing is exchanged but to pair the turns."""
     qa = _qa(spark, d).select("id", x.tokens(F.col("q")).alias("ref"), x.tokens(F.col("a")).alias("hyp"))
-    out = qa.select("id", F.size("hyp").alias("h"), F.size("ref").alias("r"))
-    for n in range(1, 5):
-        bag = lambda c: qa.select("id", F.explode(x.word_ngrams(F.col(c), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias(f"n_{c}"))  # noqa: B023, E731
-        m = bag("hyp").join(bag("ref"), ["id", "g"]).groupBy("id").agg(F.sum(F.least("n_hyp", "n_ref")).alias("k"))
-        p = F.coalesce(F.col("k"), F.lit(0)) / F.greatest(F.col("h") - (n - 1), F.lit(1))
-        out = out.join(m, "id", "left").withColumn(f"p{n}", p).drop("k")
+    k = qa.select("id", F.size("hyp").alias("h"), F.size("ref").alias("r"), overlaps.clipped("hyp", "ref", 4).alias("k"))
+    ps = [(F.col("k")[n] / F.greatest(F.col("h") - n, F.lit(1))).alias(f"p{n + 1}") for n in range(4)]
     bp = F.when(F.col("h") == 0, 0.0).when(F.col("h") < F.col("r"), F.exp(1 - F.col("r") / F.col("h"))).otherwise(1.0)
-    return out.withColumn("bp", bp)
+    return k.select("id", *ps, bp.alias("bp"))
 
 
 def _bleu_sql():
@@ -325,11 +351,12 @@ def bleu_arith(spark, d):
     return b.select("id", *[F.round(F.col("bp") * F.col(f"p{n}"), 6).alias(f"bleu_{n}") for n in range(1, 5)], F.round(mean, 6).alias("bleu_avg"))
 
 
-@query(f"{_bleu_sql()} SELECT id, round(CASE WHEN p1 > 0 AND p2 > 0 THEN exp((ln(p1) + ln(p2)) / 2) ELSE 0 END, 6) AS bleu FROM b")
+@query(f"{_bleu_sql()} SELECT id, round(CASE WHEN least(p1, p2, p3, p4) > 0 THEN exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) ELSE 0 END, 6) AS bleu, " + ", ".join(f"round(p{n}, 6) AS p{n}" for n in range(1, 5)) + " FROM b")
 def bleu_geo(spark, d):
-    """Geometric mean of the first two precisions, without the length penalty."""
-    g = F.when((F.col("p1") > 0) & (F.col("p2") > 0), F.exp((F.ln("p1") + F.ln("p2")) / 2)).otherwise(0.0)
-    return _bleu(spark, d).select("id", F.round(g, 6).alias("bleu"))
+    """Geometric mean of the four precisions, without the length penalty, and these."""
+    ps = [F.col(f"p{n}") for n in range(1, 5)]
+    g = F.when(F.least(*ps) > 0, F.exp(sum((F.ln(p) for p in ps), F.lit(0.0)) / 4)).otherwise(0.0)
+    return _bleu(spark, d).select("id", F.round(g, 6).alias("bleu"), *[F.round(p, 6).alias(f"p{n}") for n, p in enumerate(ps, 1)])
 
 
 @query(f"WITH {QA}, g AS (SELECT id, q, a, (SELECT list_distinct(list_transform(range(1, greatest(length(t), 1)), lambda i: substr(t, i, 2))) FROM (SELECT regexp_replace(q, '{SP}', '', 'g') t)) gq, (SELECT list_distinct(list_transform(range(1, greatest(length(t), 1)), lambda i: substr(t, i, 2))) FROM (SELECT regexp_replace(a, '{SP}', '', 'g') t)) ga FROM qa) SELECT id, round(CASE WHEN len(gq) > 0 THEN len(list_intersect(gq, ga)) / len(gq) ELSE 0 END, 6) AS coverage, contains(a, q) AS whole FROM g")
@@ -373,23 +400,44 @@ def class_score(spark, d):
     return c.select("p_partkey", F.round(F.when(F.array_contains("m", F.col("p_brand")), 1.0 / F.size("m")).otherwise(0.0), 6).alias("score"))
 
 
-@query(f"WITH {f.EMB}, p AS (SELECT a.vec_id i, b.vec_id j, a.label, {f.cos('a.v', 'b.v')} w FROM emb a JOIN emb b ON a.label = b.label AND b.vec_id = a.vec_id + 10), d AS (SELECT label, i n FROM p WHERE w > 0 UNION ALL SELECT label, j FROM p WHERE w > 0), k AS (SELECT label, n, count(*) k FROM d GROUP BY ALL), s AS (SELECT label, k / sum(k) OVER (PARTITION BY label) p FROM k) SELECT label, round(-sum(p * log2(p)), 6) AS entropy FROM s GROUP BY label")
-def structural_entropy(spark, d):
-    """Entropy of the degrees in a graph of given edges over the threshold."""
-    e = f.emb(spark, d).select("id", F.col("grp").alias("label"), "vec")
-    b = e.select((F.col("id") - 10).alias("id"), "label", F.col("vec").alias("other"))
-    edges = e.join(b, ["id", "label"]).filter(F.round(cosine(F.col("vec"), F.col("other")), 6) > 0)
-    ends = edges.select("label", F.explode(F.array("id", F.col("id") + 10)).alias("n")).groupBy("label", "n").agg(F.count("*").alias("k"))
-    p = ends.withColumn("p", F.col("k") / F.sum("k").over(Window.partitionBy("label")))
-    return p.groupBy("label").agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
+#: The turns of a conversation as a graph: an edge for each pair, weighted by the words that both share.
+GRAPH = f"""w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '{TOKEN}')) w, len(regexp_extract_all(lower(text), '{TOKEN}')) n FROM conversations),
+g0 AS (SELECT a.conv_id, a.turn i, b.turn j, len(list_intersect(a.w, b.w))::double g, b.n tokens, len(b.w)::double own, count(*) OVER (PARTITION BY a.conv_id, a.turn) n FROM w a JOIN w b USING (conv_id)),
+g AS (SELECT conv_id, i, j, CASE WHEN i = j THEN 1.0 ELSE exp(greatest(-50, least(50, (g - own) / greatest(1, tokens)))) + 0.1 * abs(i - j) / greatest(1, n - 1) END weight FROM g0)"""
+
 
+def _graph(spark, d):
+    """(conv_id, i, j, weight) of all ordered pairs of a conversation's turns; conversations are short."""
+    c = f.t(spark, d, "conversations").select("conv_id", "turn", x.tokens(F.col("text")).alias("t"))
+    w = c.select("conv_id", "turn", F.array_distinct("t").alias("w"), F.size("t").alias("n"))
+    a = w.select("conv_id", F.col("turn").alias("i"), F.col("w").alias("wi"))
+    b = w.select("conv_id", F.col("turn").alias("j"), F.col("w").alias("wj"), "n")
+    sizes = w.groupBy("conv_id").agg(F.count("*").alias("nodes"))
+    pairs = a.join(b, "conv_id").join(sizes, "conv_id")
+    return graphs.normalized(pairs.select("conv_id", "i", "j", F.size(F.array_intersect("wi", "wj")).cast("double").alias("g"), F.size("wj").cast("double").alias("own"), F.col("n").alias("tokens"), "nodes"), 0.1)
 
-@query("SELECT l_orderkey AS doc, l_linenumber AS i, l_suppkey AS j, count(*) AS n, round(sum(exp(greatest(-50, least(50, (l_discount - l_tax) / greatest(l_quantity, 1)))) + 0.1 * abs(l_linenumber - 4) / 6), 6) AS weight FROM lineitem GROUP BY ALL")
+
+@query(f"WITH {GRAPH} SELECT conv_id, i, j, round(weight, 6) AS weight FROM g")
 def graph_weights(spark, d):
-    """Given edge scores and token counts of the target, as weights."""
-    e = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), (F.col("l_discount") - F.col("l_tax")) / F.greatest("l_quantity", F.lit(1.0))))
-    w = F.exp(e) + 0.1 * F.abs(F.col("l_linenumber") - 4) / 6
-    return f.t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("i"), F.col("l_suppkey").alias("j")).agg(F.count("*").alias("n"), F.round(F.sum(w), 6).alias("weight"))
+    """Edge scores against the target's own, by its number of tokens, and a part for the distance."""
+    return _graph(spark, d).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {GRAPH} SELECT conv_id, i, j, round(weight, 6) AS weight FROM g WHERE j >= i")
+def triangular_half(spark, d):
+    return _graph(spark, d).filter("j >= i").withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {GRAPH}, e AS (SELECT conv_id, unnest([i, j]) n FROM g WHERE i <> j AND round(weight, 9) > 0.5), k AS (SELECT conv_id, n, count(*) k FROM e GROUP BY ALL), s AS (SELECT conv_id, k / sum(k) OVER (PARTITION BY conv_id) p FROM k) SELECT conv_id, round(-sum(p * log2(p)), 6) AS entropy FROM s GROUP BY conv_id")
+def structural_entropy(spark, d):
+    """Entropy of the degrees in the graph of edges over a threshold."""
+    return graphs.degree_entropy(_graph(spark, d).filter("i <> j AND round(weight, 9) > 0.5"))
+
+
+@query()
+def path_entropy(spark, d):
+    """Entropy of the degrees in the union of all paths of least running-mean weight over the upper half of the graph."""
+    return graphs.path_entropies(_graph(spark, d).withColumn("weight", F.when(F.col("j") >= F.col("i"), F.col("weight")).otherwise(0.0)))
 
 
 # --- term statistics over all documents
@@ -404,7 +452,7 @@ def _terms(spark, d):
 @query(f"{TERMS}, w AS (SELECT doc_id, t, (1 + ln(n)) * (ln((1 + {'(SELECT count(*) FROM documents)'}) / (1 + df)) + 1) w FROM tf JOIN df USING (t) WHERE df >= 2), s AS (SELECT doc_id, sqrt(sum(w * w)) s FROM w GROUP BY 1) SELECT doc_id, count(*) AS n_terms, round(max(w / s), 6) AS top_weight, round(sum(w / s), 4) AS total FROM w JOIN s USING (doc_id) GROUP BY doc_id")
 def tfidf(spark, d):
     """Sublinear tf-idf with unit length; here each document's sum and largest weight."""
-    tf = _terms(spark, d)
+    tf = materialize(_terms(spark, d), "terms")
     n = f.t(spark, d, "documents").agg(F.count("*")).scalar()
     df = tf.groupBy("t").agg(F.count("*").alias("df")).filter("df >= 2")
     w = tf.join(df, "t").withColumn("w", (1 + F.ln("n")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
@@ -419,23 +467,26 @@ s AS (SELECT query_id, doc_id chunk_id, round(sum(ln(1 + ((SELECT count(*) FROM
 @query(f"{BM25} {f.rank('s', 10)}")
 def bm25_topk(spark, d):
     """BM25 of the benchmark's texts over all documents, by joining query terms to posting rows; pre-aggregated by query and document."""
-    tf = _terms(spark, d)
-    n = f.t(spark, d, "documents").agg(F.count("*")).scalar()
-    length = tf.groupBy("doc_id").agg(F.sum("n").alias("len"))
-    mean = length.agg(F.avg("len")).scalar()
+    tokens = docs(spark, d, x.tokens(F.col("text")).alias("tokens"))
+    sizes = materialize(tokens.agg(F.count("*").alias("n"), F.avg(F.when(F.size("tokens") > 0, F.size("tokens"))).alias("mean")), "sizes")
+    n, mean = sizes.select("n").scalar(), sizes.select("mean").scalar()
     q = f.t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(x.tokens(F.col("text")))).alias("t"))
+    # only the queries' terms are counted; a document's length comes with its row
+    each = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("t")).join(q.select("t").distinct(), "t", "left_semi")
+    tf = materialize(each.groupBy("doc_id", "len", "t").agg(F.count("*").alias("n")), "postings")
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    hit = tf.join(q.join(df, "t"), "t").join(length, "doc_id")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = hit.withColumn("s", idf * F.col("n") * 2.2 / (F.col("n") + 1.2 * (0.25 + 0.75 * F.col("len") / mean)))
+    s = tf.join(q.join(df, "t"), "t").withColumn("s", idf * F.col("n") * 2.2 / (F.col("n") + 1.2 * (0.25 + 0.75 * F.col("len") / mean)))
     return vector.ranked(s.groupBy("query_id", F.col("doc_id").alias("chunk_id")).agg(F.round(F.sum("s"), 6).alias("score"))).filter("rank <= 10")
 
 
-@query("WITH w AS (SELECT doc_id, string_split(text, ' ') w, source FROM documents), g AS (SELECT DISTINCT source, lower(w[i] || ' ' || w[i + 1]) gram FROM w, unnest(range(1, len(w))) u(i)) SELECT source, count(*) AS n_grams FROM g GROUP BY source")
+@query("WITH w AS (SELECT doc_id, string_split(lower(text), ' ') w, source FROM documents), g AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] gram, source FROM w, unnest(range(1, len(w))) u(i)) SELECT gram, count(*) AS n_sources, min(source) AS first_source, count(*) = 1 AS telling FROM g GROUP BY gram")
 def ngram_index(spark, d):
-    """Which sources hold a word pair: here each source's number of distinct pairs."""
-    w = f.t(spark, d, "documents").select("source", F.explode(x.word_ngrams(F.split("text", " "), 2)).alias("gram"))
-    return w.select("source", F.lower("gram").alias("gram")).distinct().groupBy("source").agg(F.count("*").alias("n_grams"))
+    """The index of word pairs: the sources that hold each, and whether it tells one from all others."""
+    split = f.t(spark, d, "documents").select("source", F.split(F.lower("text"), " ").alias("words"))
+    w = split.select("source", F.explode(F.array_distinct(x.word_ngrams(F.col("words"), 2))).alias("gram"))
+    by = w.groupBy("gram", "source").agg(F.lit(1).alias("one")).groupBy("gram")
+    return by.agg(F.count("source").alias("n"), F.count("*").alias("n_sources"), F.min("source").alias("first_source")).select("gram", "n_sources", "first_source", (F.col("n_sources") == 1).alias("telling"))
 
 
 PAIR = "WITH c AS (SELECT doc_id, i, substr(text, i, 1) a, substr(text, i + 1, 1) b FROM documents, unnest(range(1, length(text))) u(i)), n2 AS (SELECT a, b, count(*) n FROM c GROUP BY ALL), n1 AS (SELECT a, sum(n) n FROM n2 GROUP BY a), p AS (SELECT doc_id, count(*) k, sum(ln((n2.n + 1) / (n1.n + 65536))) s FROM c JOIN n2 USING (a, b) JOIN n1 ON n1.a = c.a GROUP BY doc_id)"
@@ -444,19 +495,7 @@ PAIR = "WITH c AS (SELECT doc_id, i, substr(text, i, 1) a, substr(text, i + 1, 1
 @query(f"{PAIR} SELECT doc_id, k AS n, round(exp(-s / k), 4) AS ppl FROM p")
 def bigram_ppl(spark, d):
     """Perplexity by character pairs counted over all documents, with add-one smoothing."""
-    c = f.t(spark, d, "documents").select("doc_id", F.explode(x.runs(F.col("text"))).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("k"))
-    n2 = c.groupBy("g").agg(F.sum("k").alias("n2"))
-    n1 = n2.groupBy(F.left("g", F.lit(1)).alias("a")).agg(F.sum("n2").alias("n1"))
-    p = n2.join(n1, F.left("g", F.lit(1)) == F.col("a")).select("g", F.ln((F.col("n2") + 1) / (F.col("n1") + 65536)).alias("lp"))
-    s = c.join(p, "g").groupBy("doc_id").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("lp")).alias("s"))
-    return s.select("doc_id", "n", F.round(F.exp(-F.col("s") / F.col("n")), 4).alias("ppl"))
-
-
-@query("SELECT role AS pronoun, count(DISTINCT turn) AS antecedents, conv_id FROM conversations GROUP BY ALL HAVING count(DISTINCT turn) > 1")
-def coref_consistency(spark, d):
-    """Names resolved to more than one antecedent in a document."""
-    g = f.t(spark, d, "conversations").groupBy("conv_id", F.col("role").alias("pronoun")).agg(F.count_distinct("turn").alias("antecedents"))
-    return g.filter("antecedents > 1")
+    return char_ppl(f.t(spark, d, "documents"), "doc_id")
 
 
 @query("SELECT l_returnflag AS metric, count(*) FILTER (l_tax < l_discount) AS wins, count(*) FILTER (l_tax > l_discount) AS losses, count(*) FILTER (l_tax = l_discount) AS ties FROM lineitem GROUP BY 1")
@@ -465,28 +504,26 @@ def sign_counts(spark, d):
     return f.t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("metric")).agg(F.count_if(t < c).alias("wins"), F.count_if(t > c).alias("losses"), F.count_if(t == c).alias("ties"))
 
 
-@query("WITH c AS (SELECT l_suppkey AS metric, count(*) FILTER (l_linenumber = 1 AND l_tax < l_discount)::int w, count(*) FILTER (l_linenumber = 1 AND l_tax > l_discount)::int l FROM lineitem WHERE l_quantity > 46 GROUP BY 1) SELECT metric, w AS wins, l AS losses, round(least(1, 2 * list_sum(list_transform(range(0, least(w, l) + 1), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) - (w + l) * ln(2))))), 6) AS p FROM c WHERE w + l BETWEEN 1 AND 20")
+@query("WITH c AS (SELECT l_suppkey AS metric, count(*) FILTER (l_tax < l_discount) w, count(*) FILTER (l_tax > l_discount) l FROM lineitem GROUP BY 1) SELECT metric, w AS wins, l AS losses, round(least(1, 2 * list_sum(list_transform(range(0, least(w, l) + 1), lambda k: exp(lgamma(w + l + 1) - lgamma(k + 1) - lgamma(w + l - k + 1) - (w + l) * ln(2))))), 6) AS p FROM c")
 def sign_test(spark, d):
-    """Exact two-sided sign test of few pairs, by factorials."""
-    t, c, one = F.col("l_tax"), F.col("l_discount"), F.col("l_linenumber") == 1
-    g = f.t(spark, d, "lineitem").filter("l_quantity > 46").groupBy(F.col("l_suppkey").alias("metric")).agg(F.count_if(one & (t < c)).cast("int").alias("wins"), F.count_if(one & (t > c)).cast("int").alias("losses"))
-    g = g.withColumn("n", F.col("wins") + F.col("losses")).filter("n BETWEEN 1 AND 20")
-    fact = lambda k: F.factorial(k).cast("double")
-    term = lambda k: fact(F.col("n")) / (fact(k) * fact(F.col("n") - k)) / F.pow(F.lit(2.0), F.col("n"))
-    tail = F.aggregate(F.transform(F.sequence(F.lit(0), F.least("wins", "losses")), term), F.lit(0.0), lambda s, v: s + v)
-    return g.select("metric", "wins", "losses", F.round(F.least(F.lit(1.0), 2 * tail), 6).alias("p"))
+    """Exact two-sided sign test; metrics without a difference have p = 1."""
+    t, c = F.col("l_tax"), F.col("l_discount")
+    g = f.t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("metric")).agg(F.count_if(t < c).alias("wins"), F.count_if(t > c).alias("losses"))
+    return g.withColumn("p", F.round(overlaps.sign_p("wins", "losses"), 6))
 
 
 @query("WITH RECURSIVE p AS (SELECT c_custkey id, c_custkey // 3 parent FROM customer), up AS (SELECT id, parent, 1 depth FROM p WHERE parent > 0 UNION ALL SELECT up.id, p.parent, depth + 1 FROM up JOIN p ON p.id = up.parent WHERE p.parent > 0) SELECT id, max(depth) AS depth, min(parent) AS root FROM up GROUP BY id")
 def prompt_lineage(spark, d):
-    """Ancestors of versions, by joining parents until none is left."""
-    p = f.t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"))
-    p.createOrReplaceTempView("tessera_versions")
-    return spark.sql("""
-        WITH RECURSIVE up(id, parent, depth) MAX RECURSION LEVEL 100 AS (
-          SELECT id, parent, 1 FROM tessera_versions WHERE parent > 0
-          UNION ALL SELECT up.id, p.parent, up.depth + 1 FROM up JOIN tessera_versions p ON p.id = up.parent WHERE p.parent > 0)
-        SELECT id, max(depth) AS depth, min(parent) AS root FROM up GROUP BY id""")
+    """Ancestors of versions by pointer jumping: as many rounds as the logarithm of the longest line."""
+    p = f.t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 3).cast("long").alias("up"))
+    now = materialize(p.filter("up > 0").withColumns({"depth": F.lit(1).cast("long"), "root": F.col("up")}), "lineage")
+    while not now.filter("up IS NOT NULL").isEmpty():
+        ahead = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("root").alias("end"))
+        on = now.join(ahead, "up", "left")
+        far = on.select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("end", "root").alias("root"))
+        before, now = now, materialize(far, "lineage")
+        discard(before)
+    return now.select("id", "depth", "root")
 
 
 @query(f"WITH {f.sem_sql(1)} SELECT query_id, left(text, 200) || '...' AS answer FROM sem JOIN documents ON doc_id = chunk_id")

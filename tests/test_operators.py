@@ -1,8 +1,13 @@
 import math
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import chunkers, coref, fusion, models, vector
+from tessera import scratch
+from tessera.operators import chunkers, coref, fusion, graphs, models, overlaps, vector
 from tessera.sources import files
 from tessera.streaming import incremental
 
@@ -57,7 +62,60 @@ def test_chunk_of_null_and_blank(spark):
 def test_lcs_and_perplexity():
     assert chunkers.lcs("a b c d".split(), "b x d".split()) == 2 and chunkers.lcs([], ["a"]) == 0
     assert all(math.isfinite(p) and p >= 1 for p in chunkers.bigram_perplexities(["abab", "zzzz", "q", ""]))
-    assert chunkers.path_entropy([(0, 1, 1.0), (0, 2, 1.0)], 3) == pytest.approx(1.0)
+    rnd = random.Random(2)
+    for _ in range(20):
+        sentences = ["".join(rnd.choice("abcé🎉 ") for _ in range(rnd.randrange(9))) for _ in range(rnd.randrange(1, 7))]
+        pairs = Counter(s[i : i + 2] for s in sentences for i in range(len(s) - 1))
+        firsts = Counter(s[i] for s in sentences for i in range(len(s) - 1))
+        kinds = len(set("".join(sentences))) or 1
+        want = [math.prod((firsts[s[i]] + kinds) / (pairs[s[i : i + 2]] + 1) for i in range(len(s) - 1)) ** (1 / (len(s) - 1)) if len(s) > 1 else 1.0 for s in sentences]
+        assert chunkers.bigram_perplexities(sentences) == pytest.approx(want)
+
+
+def test_path_entropy_of_small_graphs():
+    # a line 0 -> 1 -> 2 with cheap steps: the direct edge 0 -> 2 isn't used
+    line = {0: {1: 1.0, 2: 9.0}, 1: {2: 1.0}, 2: {}}
+    assert graphs.mean_paths(line, 0) == {1: 0, 2: 1}
+    assert graphs.path_entropy(line) == pytest.approx(1.5)  # degrees 1, 2, 1
+    assert graphs.path_entropy({0: {1: 1.0, 2: 1.0}, 1: {}, 2: {}}) == pytest.approx(1.5) and graphs.path_entropy({0: {}}) == 0.0
+
+
+def test_overlaps_and_sign_test():
+    assert overlaps.clipped_matches("a b a c".split(), "a a a b".split(), 2) == [3, 1] and overlaps.clipped_matches([], ["x"], 3) == [0, 0, 0]
+    for w, n in ((0, 0), (3, 1), (10, 30), (700, 640)):
+        exact = min(1, 2 * sum(math.comb(w + n, k) for k in range(min(w, n) + 1)) / 2 ** (w + n))
+        assert overlaps.sign_probability(w, n) == pytest.approx(exact)
+    assert overlaps.code_similarity("\n# no\n```py\nx = 1\ny", "x = 1") == 1.0 and overlaps.code_similarity("", "x") == 0.0
+
+
+def test_exact_quantiles_and_running_sums(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([5.0] * 3 + [rnd.random() * 9, None])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in scratch.quantiles(df, "v", {"q": 0.3, "m": 0.5, "top": 1.0}, ["k"]).collect()}
+    for k in ("a", "b", None):
+        own = [v for x, v in rows if x == k and v is not None]
+        assert (got[k].q, got[k].m, got[k].top) == pytest.approx((np.quantile(own, 0.3), np.quantile(own, 0.5), max(own)))
+    own = sorted(v for _, v in rows if v is not None)
+    assert scratch.quantiles(df, "v", {"q": 0.3}, interpolate=False).first().q == own[int(len(own) * 0.3)]
+    assert scratch.quantiles(df.limit(0), "v", {"q": 0.5}, ["k"]).count() == 0
+    sums = scratch.running(spark.range(500).selectExpr("id % 3 AS k", "id", "id % 5 AS n"), ["k", "id"], "n").orderBy("k", "id").collect()
+    total = 0
+    for r in sums:
+        assert r.before == total
+        total += r.n
+
+
+def test_searches_in_blocks(spark):
+    rnd = np.random.default_rng(1)
+    rows = [(i, rnd.normal(size=4).tolist(), i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, grp long")
+    q = df.filter("id % 4 = 0")
+    order = lambda d: sorted(map(tuple, d.collect()))
+    for options in ({}, {"metric": "euclid"}, {"same_group": True}, {"least": 0.3}):
+        assert order(vector.topk(df, q, 5, block=7, row_block=20, **options)) == order(vector.topk(df, q, 5, **options))
+    tags = df.select(F.concat(F.lit("t"), "id").alias("tag"), "grp", "vec")
+    assert order(vector.scores(tags, q, "tag", "grp", block=7, row_block=20)) == order(vector.scores(tags, q, "tag", "grp")) and vector.scores(tags.limit(0), q, "tag").count() == 0
 
 
 def test_coreference(spark):
