@@ -1,15 +1,14 @@
-"""Helpers shared by the corpus operators: scratch tables, row ranks, components."""
+"""Helpers shared by the corpus operators: whole rows, bounded batches, components; scratch tables are those of the package."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.scratch import discard, indexed, materialize, running, scratch_path, scratch_root
+
+__all__ = ["discard", "indexed", "materialize", "running", "scratch_path", "scratch_root"]
+
 #: Characters that the contracts call white space: space and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,60 +29,6 @@ def bounded(df: DataFrame, size: str = "4m") -> DataFrame:
     return df
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset, one beside the warehouse, which executors share as well."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-#: Scratch paths of this process that are still there, each with what deletes it.
-_LEFT: dict[str, Callable[[], None]] = {}
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is still there when the process ends is deleted then."""
-    path = f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    sc = spark.sparkContext
-
-    def delete() -> None:
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
-    _LEFT[path] = delete
-    return path
-
-
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write *df* to the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors, and gives the planner the
-    true size, so that it broadcasts a side only when that side is small.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that no later plan reads; others are let be."""
-    for df in tables:
-        if delete := _LEFT.pop(getattr(df, "_tessera_path", ""), None):
-            delete()
-
-
-@atexit.register
-def _discard_all() -> None:
-    while _LEFT:
-        with contextlib.suppress(Exception):  # the session, or its JVM, may be gone: then the folder's owner cleans up
-            _LEFT.popitem()[1]()
-
-
 def packed(df: DataFrame) -> Column:
     """The whole row as one column `row`, so that no name of the caller's clashes with an operator's own."""
     return F.struct(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns]).alias("row")
@@ -99,44 +44,6 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def indexed(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
-    """*df* in the order of *keys* with a gapless global index from 0.
-
-    Rows are range partitioned and sorted, so a key that many rows share is
-    still dealt to many tasks as long as the keys together tell rows apart.
-    The row's place is its place in its partition plus the sizes of the
-    partitions before it, a table with one row for each partition.
-    """
-    mid = "_mid"
-    ranked = materialize(
-        df.repartitionByRange(*[F.col(k) for k in keys])
-        .sortWithinPartitions(*keys)
-        .withColumn(mid, F.monotonically_increasing_id()),
-        "ranked",
-    )
-    part = F.shiftright(F.col(mid), 33)
-    sizes = ranked.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    first = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_start"))
-    # one row for each partition of the range exchange: its size is bounded by that count
-    out = ranked.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return out.withColumn(name, F.col("_start") + F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", mid)
-
-
-def running(df: DataFrame, keys: list[str], amount: str, name: str = "before") -> DataFrame:
-    """*df* with the sum of *amount* over the rows before each one, in the order of *keys* over the whole table.
-
-    Like indexed(): range partitions, a sum within each, and what the partitions before hold, a row for each.
-    """
-    part = F.spark_partition_id().alias("_part")
-    ranked = materialize(df.repartitionByRange(*[F.col(k) for k in keys]).select("*", part), "running")
-    sizes = ranked.groupBy("_part").agg(F.sum(amount).alias("_n"))
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    own = F.coalesce(F.sum(amount).over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # one row for each partition of the range exchange: its size is bounded by that count
-    return ranked.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_start", "_own")
-
-
 #: A node with more than this part of all edges is dealt to SALTS tasks.
 HOT_PART, SALTS = 1000, 64
 
