@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +35,22 @@ def bounded(df: DataFrame, size: str = "4m") -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released[T](results: Iterator[T]) -> Iterator[T]:
+    """*results*, and at their end the memory is handed back: the worker may idle or run other operators next."""
+    try:
+        yield from results
+    finally:
+        release_memory()
+
+
 def packed(df: DataFrame) -> Column:
     """The whole row as one column `row`, so that no name of the caller's clashes with an operator's own."""
     return F.struct(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns]).alias("row")

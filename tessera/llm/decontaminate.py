@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, materialize, packed, unpacked
+from tessera.llm.common import bounded, materialize, packed, released, unpacked
 
 WORD = re.compile(r"\w+")
 #: Weight of a shingle that one item holds, or none.
@@ -306,9 +306,9 @@ TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int64()),
 
 
 def _matcher(index, radius: int, least: float):
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = index.value
-        return pa.array([matches(t.as_py(), own, radius, least) for t in texts], TYPE)
+        return released(pa.array([matches(t.as_py(), own, radius, least) for t in texts], TYPE) for texts in batches)
 
     return F.arrow_udf(run, MATCH)("text")
 

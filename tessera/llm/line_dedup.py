@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, discard, materialize, packed, unpacked
+from tessera.llm.common import bounded, discard, materialize, packed, released, unpacked
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -61,7 +61,7 @@ def _explode(least: int):
                     ids, hashes = [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "h"])
 
-    return run
+    return lambda batches: released(run(batches))
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:

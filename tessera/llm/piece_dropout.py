@@ -24,9 +24,6 @@ counts as 0; all columns are handed on, but that those named `ids` and `lossless
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import heapq
 import itertools
 import re
@@ -40,16 +37,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, packed, unpacked
+from tessera.llm.common import bounded, packed, release_memory, unpacked
 
 MARK = "▁"
 UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Symbols of the longest unit that is worked off in a matrix.
 WIDE = 48
 #: Units that a task remembers, and units it looks at together: they bound its memory.
-REMEMBERED, TOGETHER = 200_000, 100_000
+REMEMBERED, TOGETHER = 100_000, 50_000
 #: Units that a worker keeps from one task to the next, those met most often.
-KEPT = 30_000
+KEPT = 20_000
 #: How often a unit is met before its ids with one merge skipped are remembered.
 OFTEN = 16
 NO = np.int32(2**31 - 1)
@@ -430,14 +427,6 @@ def encoder(model: bytes, alpha: float, seed: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def release_memory() -> None:
-    """Hand freed memory back to the system where the C library can."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 ENCODED = "struct<ids: array<int>, lossless: boolean>"
 
 

@@ -21,6 +21,7 @@ all known ones say so; repeated rows count each; other columns are handed on.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, discard, materialize
+from tessera.llm.common import bounded, discard, materialize, released
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -80,7 +81,11 @@ def features(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _features(texts: pa.Array) -> pa.Array:
+def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return released(map(_of_batch, batches))
+
+
+def _of_batch(texts: pa.Array) -> pa.Array:
     table = np.fromiter(chain.from_iterable(features(t.as_py()) for t in texts), np.int64, len(texts) * len(FEATURES)).reshape(-1, len(FEATURES))
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(FEATURES))], list(FEATURES))
 

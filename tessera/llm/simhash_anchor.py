@@ -36,15 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, connected_components, materialize
+from tessera.llm.common import bounded, connected_components, materialize, released
 
 BITS = 31
 MASK = (1 << BITS) - 1
 REPLICAS = 156
 #: Rows of (slot, fingerprint) that a comparing task should get, and that it holds at once.
-ROWS_PER_TASK, ROWS_AT_ONCE = 2_000_000, 1_000_000
+ROWS_PER_TASK, ROWS_AT_ONCE = 2_000_000, 400_000
 #: Pairs that a comparing task holds at once.
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 1_000_000
 #: An anchor with more homes than this, and than one in HOT_ANCHORS of all, is dealt to several parts.
 HOT_HOMES, HOT_ANCHORS = 20_000, 10_000
 
@@ -82,7 +82,7 @@ def _fingerprints(width: int):
             fps = np.fromiter(values, np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return run
+    return lambda batches: released(run(batches))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -229,7 +229,7 @@ def _compare(radius: int):
         if waiting:
             yield from chunk()
 
-    return run
+    return lambda batches: released(run(batches))
 
 
 def hot_anchors(fps: DataFrame, n: int) -> dict[int, int]:

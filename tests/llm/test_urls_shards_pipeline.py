@@ -163,7 +163,7 @@ def test_quotas_hold_and_links_are_kept(spark, unlinked, shards):
         sizes.append(rnd.choice([2, 2, 3, 4, 5]))
     texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"alone {i}" for i in range(unlinked)]
     rnd.shuffle(texts)
-    rows = shard_balance.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards, least=0.01).collect()
+    rows = shard_balance.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards, least=0.03).collect()
     counts = Counter(r.shard for r in rows)
     assert sum(counts.values()) == len(texts) and set(counts) <= set(range(shards))
     assert max(counts.values()) - min(counts.get(s, 0) for s in range(shards)) <= 1
@@ -175,10 +175,10 @@ def test_quotas_hold_and_links_are_kept(spark, unlinked, shards):
         found.setdefault((r.h1, r.h2), Counter())[r.shard] += 1
     groups = [found[h] for h in sorted(found) if found[h].total() > 1]
     sizes = [n.total() for n in groups]
-    want, before, after, _ = slow_propagation(sizes, shard_balance.quotas(len(texts), shards), 0.01)
+    want, before, after, _ = slow_propagation(sizes, shard_balance.quotas(len(texts), shards), 0.03)
     firsts = [sum(sizes[:i]) for i in range(len(sizes))]
     assert {(g, s): k for g, n in zip(firsts, groups, strict=True) for s, k in n.items()} == want
-    assert after < 0.75 * before, (before, after)
+    assert after < 0.9 * before, (before, after)
     cohorts = spark.createDataFrame([(g, s, n) for (g, s), n in want.items()], "g long, s int, n long")
     assert shard_balance.cut_links(cohorts) == after
 
