@@ -47,7 +47,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_ids, ids, lossless) of every document that is left; a null or empty text has no ids."""
-    done = piece_dropout.encode(docs.select("doc_id", "text"), MODEL)
+    # the workers of the stages before are still there, so a smaller memory of units
+    done = piece_dropout.encode(docs.select("doc_id", "text"), MODEL, remembered=80_000)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "lossless")
 
 

@@ -44,9 +44,9 @@ UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Symbols of the longest unit that is worked off in a matrix.
 WIDE = 48
 #: Units that a task remembers, and units it looks at together: they bound its memory.
-REMEMBERED, TOGETHER = 100_000, 50_000
+REMEMBERED, TOGETHER = 200_000, 50_000
 #: Units that a worker keeps from one task to the next, those met most often.
-KEPT = 20_000
+KEPT = 30_000
 #: How often a unit is met before its ids with one merge skipped are remembered.
 OFTEN = 16
 NO = np.int32(2**31 - 1)
@@ -117,10 +117,14 @@ def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes units; for tasks, which keep one for each model and setting. *variants* limits nothing: it is taken for older callers."""
+    """Encodes units; for tasks, which keep one for each model and setting. *variants* limits nothing: it is taken for older callers.
 
-    def __init__(self, model: bytes, alpha: float, seed: int, variants: int = 0):
+    It remembers *remembered* units, or REMEMBERED: that bounds its memory and changes no result.
+    """
+
+    def __init__(self, model: bytes, alpha: float, seed: int, variants: int = 0, remembered: int | None = None):
         self.v = vocabulary(model)
+        self.remembered = remembered
         self.alpha, self.seed = alpha, seed
         self.forget()
 
@@ -136,8 +140,13 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.merge_pool, self.merge_used = np.zeros(1 << 16, np.int64), 0
 
-    def make_room(self, most: int = REMEMBERED // 2) -> None:
-        """Forget all but the *most* units met most often."""
+    @property
+    def limit(self) -> int:
+        return self.remembered or REMEMBERED
+
+    def make_room(self, most: int | None = None) -> None:
+        """Forget all but the *most* units met most often, or all but half of the limit."""
+        most = self.limit // 2 if most is None else most
         often = np.argsort(-self.hits[: len(self.units)], kind="stable")[:most]
         kept = np.sort(often[self.hits[often] > 1])
         units, hits, base, first, count, pool = self.units, self.hits, self.base, self.first, self.count, self.pool
@@ -321,7 +330,8 @@ class Encoder:
 
     def together(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of *units* one after another, and how many each has; *keys* are those of the occurrences' draws."""
-        if len(self.place) > REMEMBERED or len(self.met) > REMEMBERED or self.used > 32 * REMEMBERED or self.merge_used > 32 * REMEMBERED:
+        limit = self.limit
+        if len(self.place) > limit or len(self.met) > limit or self.used > 32 * limit or self.merge_used > 32 * limit:
             self.make_room()
         index = np.fromiter(map(self.place.get, units, itertools.repeat(-1)), np.int64, len(units))
         known = len(self.units)
@@ -419,11 +429,11 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(model: bytes, alpha: float, seed: int) -> Encoder:
-    key = (xxhash.xxh3_64_intdigest(model), alpha, seed)
+def encoder(model: bytes, alpha: float, seed: int, remembered: int | None = None) -> Encoder:
+    key = (xxhash.xxh3_64_intdigest(model), alpha, seed, remembered)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(model, alpha, seed)
+        _ENCODERS[key] = Encoder(model, alpha, seed, remembered=remembered)
     return _ENCODERS[key]
 
 
@@ -435,8 +445,11 @@ def read_model(df: DataFrame, path: str) -> bytes:
     return bytes(df.sparkSession.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def encode(docs: DataFrame, model_path: str, alpha: float = 0.1, seed: int = 1, variants: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """*docs* with `ids` and `lossless` (whether they decode to the text) added; *variants* limits nothing: it is taken for older callers."""
+def encode(docs: DataFrame, model_path: str, alpha: float = 0.1, seed: int = 1, variants: int = 4, key: str = "doc_id", text: str = "text", remembered: int | None = None) -> DataFrame:
+    """*docs* with `ids` and `lossless` (whether they decode to the text) added; *variants* limits nothing: it is taken for older callers.
+
+    A task remembers *remembered* units (REMEMBERED by default, some 300 MB): fewer take less memory and more time, for equal results.
+    """
     model = docs.sparkSession.sparkContext.broadcast(read_model(docs, model_path))
 
     def batch(own: Encoder, keys: pa.Array, texts: pa.Array) -> pa.Array:
@@ -455,12 +468,12 @@ def encode(docs: DataFrame, model_path: str, alpha: float = 0.1, seed: int = 1,
         return pa.StructArray.from_arrays([lists, pa.array(good, pa.bool_())], ["ids", "lossless"])
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        own = encoder(model.value, alpha, seed)
+        own = encoder(model.value, alpha, seed, remembered)
         try:
             for keys, texts in batches:
                 yield batch(own, keys, texts)
         finally:  # the worker may idle or run other operators next
-            own.make_room(KEPT)
+            own.make_room(min(KEPT, own.limit // 8))
             release_memory()
 
     done = bounded(docs).select(packed(docs), F.arrow_udf(run, ENCODED)(docs[key].cast("long"), docs[text]).alias("encoded"))
