@@ -61,6 +61,7 @@ class Characters(dict):
 
 class Vocabulary(NamedTuple):
     char_id: Characters
+    char_table: np.ndarray  # the same by code point
     pair_key: np.ndarray  # left * 2^32 + right, sorted
     pair_rank: np.ndarray
     pair_id: np.ndarray
@@ -94,7 +95,9 @@ def vocabulary(model: bytes) -> Vocabulary:
     order = np.argsort(keys)
     ranks, ids = (np.array([v[j] for v in pairs.values()], np.int32)[order] for j in (0, 1))
     chars = Characters({" " if p == MARK else p: i for p, i in of.items() if len(p) == 1})
-    return Vocabulary(chars, keys[order], ranks, ids, byte_id, pa.array(raw, pa.binary()), pairs)
+    table = -2 - np.arange(0x110000, dtype=np.int32)
+    table[[ord(c) for c in chars]] = list(chars.values())
+    return Vocabulary(chars, table, keys[order], ranks, ids, byte_id, pa.array(raw, pa.binary()), pairs)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -228,14 +231,13 @@ class Encoder:
             return skipped(keys[r], a, b, c, self.alpha) if banned is None else (a << 42 | b << 21 | c) == banned[r]
 
         draws = banned is not None or keys is not None and self.alpha > 0
-        rows = [self.symbols(u) for u in units]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
         width = int(sizes.max())
-        ids = np.full((len(rows), width + 1), -1, np.int32)
-        ids[np.arange(width + 1) < sizes[:, None]] = np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(sizes.sum()))
-        start = np.broadcast_to(np.arange(width + 2, dtype=np.int64), (len(rows), width + 2)).copy()
+        ids = np.full((len(units), width + 1), -1, np.int32)
+        ids[np.arange(width + 1) < sizes[:, None]] = self.v.char_table[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        start = np.broadcast_to(np.arange(width + 2, dtype=np.int64), (len(units), width + 2)).copy()
         np.minimum(start, sizes[:, None], out=start)
-        who = np.arange(len(rows))
+        who = np.arange(len(units))
         rank, new = self.merges(ids[:, :-1], ids[:, 1:])
         if draws:
             r, c = np.nonzero(rank != NO)

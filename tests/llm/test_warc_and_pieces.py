@@ -119,6 +119,33 @@ def test_matrix_and_agenda_agree():
     assert got == [own.encode_long(u, int(k)) for u, k in zip(units, keys, strict=True)]
 
 
+def slow_agenda(v, unit, key, alpha):
+    """Of all candidate merges that aren't skipped the best, then the leftmost, is carried out, and again."""
+    parts = [(v.char_id[c], i, i + 1) for i, c in enumerate(unit)]
+    while True:
+        best = None
+        for n, ((x, a, b), (y, _, c)) in enumerate(zip(parts, parts[1:], strict=False)):
+            found = v.pairs.get((x, y))
+            if found and not (alpha and piece_dropout.skipped(np.array([key], np.uint64), np.array([a]), np.array([b]), np.array([c]), alpha)[0]):
+                best = min(best or (found[0], n, found[1]), (found[0], n, found[1]))
+        if best is None:
+            break
+        n = best[1]
+        parts[n : n + 2] = [(best[2], parts[n][1], parts[n + 1][2])]
+    return [i for x, _, _ in parts for i in ([x] if x >= 0 else v.byte_id[list(chr(-2 - x).encode())].tolist())]
+
+
+@pieces
+@pytest.mark.parametrize("alpha", [0.0, 0.1, 0.5])
+def test_matrix_and_plain_agenda_agree(alpha):
+    own = piece_dropout.Encoder(open(MODEL, "rb").read(), alpha, 3)
+    units = [u for t in [*TEXTS, " Segmentierung überall, naïve façade déjà vu"] if t for u in piece_dropout.UNIT.findall(" " + t)]
+    keys = np.arange(len(units)).astype(np.uint64) * np.uint64(104729)
+    n, ids, _, _ = own.in_matrices(units, keys)
+    parts = [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])]
+    assert parts == [slow_agenda(own.v, u, int(k), alpha) for u, k in zip(units, keys, strict=True)]
+
+
 @pieces
 def test_skips_follow_alpha():
     model = open(MODEL, "rb").read()
