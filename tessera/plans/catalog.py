@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import analytics, procedures, retrieval, texts  # noqa: F401  each module enters its queries
+from tessera.plans import analytics, judging, procedures, retrieval, texts  # noqa: F401  each module enters its queries
 from tessera.plans.registry import ORACLES, QUERIES, Query
 
 
