@@ -107,7 +107,7 @@ def info_difference(spark, d):
     return e.select("doc_id", F.round("density", 6).alias("density"), F.round("novelty", 6).alias("novelty"), F.round(F.col("density") * F.col("novelty"), 6).alias("information"))
 
 
-# --- search modes; only chunks found by both sides are fused here, so some queries fall back
+# --- search modes; only chunks found by both sides are fused here, and a query without one falls back
 
 _BOTH = "f AS (SELECT query_id, chunk_id, round(0.2 / (60 + dr) + 0.8 / (60 + sr), 6) score FROM m WHERE dr IS NOT NULL AND sr IS NOT NULL)"
 _MODES = {
