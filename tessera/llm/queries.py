@@ -11,14 +11,17 @@ from tessera.llm import (
     decontaminate,
     license_scan,
     line_dedup,
+    nb_svm,
     oracles,
     pii_surrogates,
     piece_dropout,
     quality_risk,
     shard_balance,
     simhash_anchor,
+    token_alignment,
     url_reputation,
     warc,
+    whitening,
 )
 from tessera.llm.common import table
 
@@ -26,6 +29,8 @@ from tessera.llm.common import table
 RULES = [("block", "com", "en/"), ("allow", "example.com", "en/7"), ("allow", "net", "de/"), ("block", "example.net", "de/8"), ("block", "org", "es/")]
 #: The model file of the segmentation: a parameter, any BPE model with byte fallback.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The two tokenizers that are aligned: a byte-level BPE and one with byte fallback; parameters as well.
+ALIGNED = ("/opt/tokenizers/byte_bpe_50k.json", MODEL)
 #: The key of the surrogates. In production it comes from a store of secrets.
 SURROGATE_KEY = b"not a secret: for tests"
 
@@ -75,10 +80,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nb_svm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = token_alignment.cross_align(table(spark, sf_dir, "documents").select("doc_id", "text"), *ALIGNED)
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_url_reputation, op2_line_dedup, op3_warc_chain, op4_piece_dropout, op5_decontaminate, op6_pii_surrogates,
-        op7_shard_balance, op8_simhash_anchor, op9_quality_risk, op10_license_scan,
+        op7_shard_balance, op8_simhash_anchor, op9_quality_risk, op10_license_scan, op11_nb_svm, op12_token_alignment,
+        op13_whitening,
     )
     return {f.__name__: f for f in own}
 
