@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as x
-from tessera.operators import chunkers, coref, models
+from tessera.operators import chunkers, coref, fuzzy, models, vector
 from tessera.plans import frames as f
 from tessera.plans.registry import query
 from tessera.plans.texts import _qa
@@ -93,3 +93,19 @@ def flatten_chunks(spark, d):
 
     lines = F.transform(F.split("text", "\n"), lambda s: F.struct(s.alias("chunk_text"), F.length(s).cast("long").alias("chunk_len")))
     return flatten(f.t(spark, d, "documents").select("doc_id", lines.alias("chunks"))).drop("place")
+
+
+@query()
+def fuzzy_lines(spark, d):
+    """Each document's lines without near copies of earlier lines that stay, by windows of the edit distance."""
+    lines = f.t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    kept = fuzzy.fuzzy_distinct(lines, ["doc_id"], ["line"])
+    return kept.select("doc_id", "line", F.length("text").alias("n_chars"))
+
+
+@query()
+def fuzzy_search(spark, d):
+    """What a vector search finds, without near copies of better hits: the texts of the list of each query."""
+    hits = vector.topk(f.emb(spark, d), f.queries(spark, d), 10).select("query_id", "chunk_id", "rank")
+    texts = f.t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return fuzzy.fuzzy_distinct(hits.join(texts, "chunk_id"), ["query_id"], ["rank"]).select("query_id", "chunk_id", "rank")

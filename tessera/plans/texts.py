@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as x
 from tessera.functions.vectors import cosine, norm
-from tessera.operators import graphs, overlaps, vector
+from tessera.operators import analysis, graphs, overlaps, vector
 from tessera.plans import frames as f
 from tessera.plans.registry import query
 from tessera.scratch import discard, indexed, materialize, quantiles, running
@@ -554,3 +554,72 @@ def ev_session(spark, d):
 @query("SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS length FROM (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings)")
 def vector_norms(spark, d):
     return f.emb(spark, d).select(F.col("id").alias("vec_id"), F.round(norm(F.col("vec")), 6).alias("length"))
+
+
+#: What the analysis of queries takes besides tables: cues by dimension, and other names of tags.
+CUES = (("quality", "license"), ("quality", "password"), ("toxic", "idiot"), ("toxic", "loser"), ("size", "more"))
+TAG_ALIASES = (("en", "the"), ("fr", "que"), ("short", "ion"))
+TELLING = "[a-z]{7,}"
+
+
+def ascii_terms(text):
+    """Words of 5 letters or more, without case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{5,}"), F.lit(0)))
+
+
+def _values(rows):
+    return "(VALUES " + ", ".join(f"({', '.join(map(repr, r))})" for r in rows) + ")"
+
+
+_NORM = f"regexp_replace(regexp_replace(lower(text), '{SP}', '', 'g'), '{PUNCT}', '', 'g')"
+_SPOTTED = f"""WITH q AS (SELECT doc_id AS id, text, {_NORM} AS t FROM documents WHERE doc_id % 20 = 0),
+names AS (SELECT min(source) AS spot, w AS pattern FROM (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all(lower(text), '{TELLING}')) AS w FROM documents) GROUP BY w HAVING min(source) = max(source) AND count(*) >= 3),
+ent AS (SELECT w AS term, min(source) AS spot FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS w FROM documents WHERE doc_id % 20 <> 0) GROUP BY w HAVING min(source) = max(source)),
+named AS (SELECT id, spot, max(length(pattern)) / 100.0 + 1.0 AS score FROM q JOIN names ON contains(t, pattern) GROUP BY ALL),
+kept AS (SELECT m.id, ent.spot, m.term, n1.id IS NULL AS open FROM (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS term FROM q) m JOIN ent USING (term)
+  LEFT JOIN (SELECT DISTINCT id FROM named) n1 ON n1.id = m.id LEFT JOIN named n2 ON n2.id = m.id AND n2.spot = ent.spot WHERE n1.id IS NULL OR n2.id IS NOT NULL),
+led AS (SELECT id, spot, n FROM (SELECT id, spot, n, row_number() OVER w AS place, lead(n) OVER w AS nxt FROM (SELECT id, spot, sum(least(length(term), 4)) AS n FROM kept WHERE open GROUP BY ALL) WINDOW w AS (PARTITION BY id ORDER BY n DESC, spot)) WHERE place = 1 AND (nxt IS NULL OR n >= nxt * 1.5)),
+scores AS (SELECT id, spot, score::DOUBLE AS score FROM named UNION ALL SELECT id, spot, least(0.88, 0.45 + n / 20.0)::DOUBLE FROM led),
+spots AS (SELECT id, array_to_string(list_slice(list(spot ORDER BY score DESC, spot), 1, 3), ',') AS spots, least(1.0, max(score)) AS sure FROM scores GROUP BY id),
+words AS (SELECT id, array_to_string(list_slice(list(term ORDER BY length(term) DESC, term), 1, 8), ',') AS terms FROM (SELECT DISTINCT id, term FROM kept) GROUP BY id),
+tags AS (SELECT DISTINCT dim, tag FROM (SELECT 'lang' AS dim, lang AS tag FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'size', CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END FROM documents UNION ALL SELECT 'quality', quality::VARCHAR FROM labels UNION ALL SELECT 'toxic', toxic::VARCHAR FROM labels) WHERE tag IS NOT NULL),
+asked AS (SELECT id, dim, count(*) AS exact FROM q JOIN tags ON length(tag) >= 2 AND (contains(t, lower(tag)) OR EXISTS (SELECT 1 FROM {_values(TAG_ALIASES)} a(tg, alias) WHERE tg = tag AND contains(t, alias))) GROUP BY ALL),
+cues AS (SELECT dim, cue FROM {_values(CUES)} c(dim, cue) UNION ALL SELECT DISTINCT dim, dim FROM tags WHERE dim NOT IN (SELECT dim FROM {_values(CUES)} c(dim, cue))),
+hinted AS (SELECT id, dim, count(*) AS cues FROM q JOIN cues ON contains(t, cue) GROUP BY ALL),
+dims AS (SELECT id, dim, coalesce(exact, 0) AS exact, coalesce(cues, 0) AS cues FROM asked FULL JOIN hinted USING (id, dim)),
+act AS (SELECT id, string_agg(dim, ',' ORDER BY place) AS active, count(*) FILTER (cues > 0) AS c, sum(exact) AS e FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cues + 3 * exact DESC, exact DESC, dim) AS place FROM dims) WHERE place <= 3 GROUP BY id)
+SELECT q.id, coalesce(spots, '') AS spot_names, round(coalesce(sure, 0.0), 4) AS spot_confidence, coalesce(terms, '') AS entity_terms, coalesce(active, '') AS active_dimensions, round(least(1.0, 0.45 * coalesce(sure, 0.0) + 0.15 * least(coalesce(c, 0), 3) + 0.15 * least(coalesce(e, 0), 3)), 4) AS confidence
+FROM q LEFT JOIN spots USING (id) LEFT JOIN words USING (id) LEFT JOIN act USING (id)"""
+
+
+def telling_names(spark, d):
+    """(spot, alias): words of 7 letters or more in three documents of one source, and in no other source."""
+    each = docs(spark, d, "source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TELLING), F.lit(0)))).alias("alias"))
+    by = each.groupBy("alias").agg(F.min("source").alias("spot"), F.max("source").alias("last"), F.count("*").alias("n"))
+    return by.filter("spot = last AND n >= 3").select("spot", "alias")
+
+
+@query(_SPOTTED)
+def query_analysis(spark, d):
+    """What every twentieth document names and asks for: its source by names or words, the dimensions of its tags and cues."""
+    every = f.t(spark, d, "documents")
+    queries = every.filter(F.col("doc_id") % f.EVERY == 0).select(F.col("doc_id").alias("id"), "text")
+    index = analysis.entity_index(every.filter(F.col("doc_id") % f.EVERY != 0).select(F.col("source").alias("spot"), "text"), ascii_terms)
+    cues, aliases = spark.createDataFrame(list(CUES), "dim string, cue string"), spark.createDataFrame(list(TAG_ALIASES), "tag string, alias string")
+    tags = f.tags(spark, d).select("dim", "tag").distinct()
+    found = analysis.analyze(queries, telling_names(spark, d), index, tags, aliases, cues, ascii_terms)
+    joined = [F.array_join(c, ",").alias(c) for c in ("spot_names", "entity_terms", "active_dimensions")]
+    return found.select("id", joined[0], "spot_confidence", joined[1], joined[2], "confidence")
+
+
+@query(
+    f"WITH n AS (SELECT w AS name FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{TELLING}')) AS w FROM documents WHERE lang = 'en') GROUP BY w HAVING count(*) BETWEEN 3 AND 5), "
+    "m AS (SELECT doc_id, string_agg(name, ',' ORDER BY length(name) DESC, name) AS uncovered FROM documents JOIN n ON contains(lower(text), name) WHERE doc_id % 20 = 0 GROUP BY doc_id) "
+    "SELECT doc_id AS id, uncovered IS NULL AS in_range, coalesce(uncovered, '') AS uncovered FROM documents LEFT JOIN m USING (doc_id) WHERE doc_id % 20 = 0"
+)
+def name_coverage(spark, d):
+    """Whether every twentieth document names nothing that is out of range: rare long words of the English ones."""
+    words = f.t(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TELLING), F.lit(0)))).alias("name"))
+    rare = words.groupBy("name").count().filter("count BETWEEN 3 AND 5").select("name")
+    texts = f.t(spark, d, "documents").filter(F.col("doc_id") % f.EVERY == 0).select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return analysis.known_names(texts, rare).withColumn("uncovered", F.array_join("uncovered", ","))
