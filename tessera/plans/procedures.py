@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import text as x
-from tessera.operators import chunkers, coref, fuzzy, models, vector
+from tessera.functions.vectors import cosine
+from tessera.operators import chunkers, coref, fuzzy, lsa, models, vector
 from tessera.plans import frames as f
 from tessera.plans.registry import query
 from tessera.plans.texts import _qa
@@ -48,16 +50,13 @@ def cluster_cases(spark, d):
     """K-means on the vectors; k follows the square root of half the rows, between 2 and 8. Clusters are numbered by size, with the row nearest to each centre."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    from pyspark.sql.window import Window
-
-    from tessera.functions.vectors import cosine
 
     e = f.emb(spark, d).select("id", "vec", array_to_vector("vec").alias("features"))
     k = min(8, max(2, round((e.count() / 2) ** 0.5)))
     model = KMeans(k=k, seed=42, maxIter=20).fit(e)
     centres = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, centre array<double>")
     near = model.transform(e).join(F.broadcast(centres), "prediction").withColumn("sim", cosine(F.col("vec"), F.col("centre")))
-    by = near.groupBy("prediction").agg(F.count("*").alias("n"), F.max_by("id", "sim").alias("representative"))
+    by = near.groupBy("prediction").agg(F.count("*").alias("n"), F.max_by("id", F.struct("sim", -F.col("id"))).alias("representative"))
     return by.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "representative"))).select("cluster", "n", "representative")  # a row for each cluster
 
 
@@ -109,3 +108,22 @@ def fuzzy_search(spark, d):
     hits = vector.topk(f.emb(spark, d), f.queries(spark, d), 10).select("query_id", "chunk_id", "rank")
     texts = f.t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return fuzzy.fuzzy_distinct(hits.join(texts, "chunk_id"), ["query_id"], ["rank"]).select("query_id", "chunk_id", "rank")
+
+
+@query()
+def lsa_values(spark, d):
+    """Singular values of the table of character grams of all documents, each over the first."""
+    model, _ = lsa.fit(f.t(spark, d, "documents"))
+    return spark.createDataFrame([(k, float(v), float(v / model.values[0])) for k, v in enumerate(model.values, 1)], "component int, value double, share double")
+
+
+@query()
+def lsa_contrast(spark, d):
+    """How unlike each document is to the one before it, and to the mean of its source, by the components of all."""
+    model, rows = lsa.fit(f.t(spark, d, "documents"))
+    vec = lsa.project(rows, model).join(f.t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    mean = vector.centroids(vec, "source").withColumnRenamed("vec", "centre")
+    order = Window.partitionBy("source").orderBy("doc_id")
+    near = vec.withColumn("before", F.lag("vec").over(order)).join(mean, "source")
+    part = lambda c: F.round(1 - cosine(F.col("vec"), F.col(c)), 6)
+    return near.select("doc_id", "source", part("before").alias("to_before"), part("centre").alias("to_source"))
