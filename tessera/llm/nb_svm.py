@@ -9,7 +9,7 @@ The ratios are counted over all labelled rows. The descent runs in one task on a
 (all, where there are no more), drawn by a hash of the id. A score is the logistic function of the margin, so 0.5 is the margin's sign.
 
 Rows: null and empty texts have one feature of their own; repeated rows get the same score; null ids have no label. Labels that are null are
-none; a document with several has the least. A text of any length is taken whole, in pieces that overlap by two words. Where
+none; a document with several has the least. A text of any length is taken whole, in pieces that overlap by three words. Where
 labels lack a class, every score is the share of label 1, or 0.5 without labels. An empty table gives an empty result.
 """
 
@@ -39,7 +39,7 @@ LOWER[65:91] += 32
 
 
 def _mix(x: np.ndarray, kind: int) -> np.ndarray:
-    x = (x + np.uint64(kind)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x + np.uint64(kind * BASE % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(29))
@@ -63,7 +63,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _piece(data: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """Hashes of the n-grams of some bytes, and where the last two words begin."""
+    """Hashes of the n-grams of some bytes, and where the last three words begin."""
     found = []
     if len(data) > 2:
         x = data.astype(np.uint64)
@@ -76,7 +76,7 @@ def _piece(data: np.ndarray) -> tuple[list[np.ndarray], int]:
         for k in range(n):
             codes = codes * np.uint64(2) + flag[k : len(flag) - n + 1 + k]
         found.append(_mix(np.unique(codes), 4 + n))
-    return found, int(start[-2]) if len(start) > 1 else 0
+    return found, int(start[-3]) if len(start) > 2 else 0
 
 
 def features(text: bytes, bits: int = BITS) -> np.ndarray:
@@ -84,14 +84,17 @@ def features(text: bytes, bits: int = BITS) -> np.ndarray:
     data, shift = np.frombuffer(text, np.uint8), np.uint64(64 - bits)
     if not len(data):
         return (_mix(np.zeros(1, np.uint64), 9) >> shift).astype(np.int32)
-    parts, at = [], 0
+    parts, at, size = [], 0, PIECE
     while at < len(data):
-        end = at + PIECE
+        end = at + size
         while end < len(data) and not SPACE[data[end]]:
             end += 1
         hashes, back = _piece(data[at:end])
+        if end < len(data) and not back:  # too few words to go on behind them
+            size *= 2
+            continue
         parts.append(np.unique((np.concatenate(hashes) >> shift).astype(np.int32)))
-        at = at + back if end < len(data) and back else end
+        at, size = (at + back if end < len(data) else end), PIECE
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
