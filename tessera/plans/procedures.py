@@ -7,10 +7,11 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as x
 from tessera.functions.vectors import cosine
-from tessera.operators import chunkers, coref, fuzzy, lsa, models, vector
+from tessera.operators import alignment, chunkers, coref, fuzzy, lsa, models, rounds, thresholds, vector
 from tessera.plans import frames as f
 from tessera.plans.registry import query
-from tessera.plans.texts import _qa
+from tessera.plans.texts import _qa, char_ppl
+from tessera.scratch import indexed
 
 for _how in chunkers.CHUNKERS:
     query(name=_how)(lambda spark, d, how=_how: chunkers.chunk(f.t(spark, d, "documents").select("doc_id", "text"), how))
@@ -127,3 +128,31 @@ def lsa_contrast(spark, d):
     near = vec.withColumn("before", F.lag("vec").over(order)).join(mean, "source")
     part = lambda c: F.round(1 - cosine(F.col("vec"), F.col(c)), 6)
     return near.select("doc_id", "source", part("before").alias("to_before"), part("centre").alias("to_source"))
+
+
+@query()
+def source_alignment(spark, d):
+    """Windows of every document back to the lines of its language, all documents in order: the first line from the last match on."""
+    every = f.t(spark, d, "documents").select("doc_id", F.col("lang").alias("source"), "text")
+    split = every.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
+    lines = indexed(split, ["source", "doc_id", "n"], "line").select("source", "line", "text")
+    parts = every.select("source", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("text"), F.lit(400)), lambda i: F.substr("text", i + 1, F.lit(400)))).alias("n", "text"))
+    chunks = indexed(parts, ["source", "doc_id", "n"], "place")
+    return alignment.assign(chunks.select("source", "place", "text"), lines)
+
+
+@query()
+def ppl_dynamic_chunk(spark, d):
+    """Each document's lines in chunks that end with a minimum of perplexity, by a threshold that is carried through all documents."""
+    lines = f.t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    ppl = lines.select("doc_id", "place").join(char_ppl(lines, "doc_id", "place"), ["doc_id", "place"], "left")
+    rows = thresholds.dynamic_chunks(ppl, "doc_id", "place", "ppl", 10.0)
+    return rows.groupBy("doc_id", "chunk").agg(F.min("place").alias("first_line"), F.count("*").alias("n"))
+
+
+@query()
+def integrated_chunk(spark, d):
+    """All documents by structure, perplexity against the whole corpus, and merging from a heap; shorter chunks for tables."""
+    table = F.contains("head", F.lit("|"))
+    done = rounds.integrated(f.t(spark, d, "documents").select("doc_id", "text"), F.when(table, 150).otherwise(300), F.when(table, 400).otherwise(600))
+    return done.select("doc_id", "section", "place", "chunk_len", F.md5("chunk_text").alias("chunk_md5"))
