@@ -7,7 +7,8 @@ in the text less the place in the template). Diagonals of the same text and
 template that lie within `gap` words are merged, so a text with inserted
 or missing words still counts as one place. A merged span is a match if its hits cover the
 template's part `coverage` of the grams or more and if it isn't longer than one
-and a half templates.
+and a half templates. A longer one (copies that follow closely, or words that repeat) is looked at in runs of diagonals
+half a template wide: the first of the runs that overlap and cover enough is a match.
 
 Base phrases are templates too, found where one diagonal has all their grams.
 
@@ -17,8 +18,8 @@ number of words and the grams whose three words all stand at their places of som
 template. Only these grams are exploded, joined and verified, and only hits, of which few
 texts have any, are shuffled, by text and template. Texts don't leave their tasks.
 
-Defined results: a null text is empty and has no words; repeated rows are texts of
-their own and each get the whole result; other columns are not read.
+Defined results: an empty table gives an empty result; a null text is empty and has no words, a null id stays; repeated rows are texts of
+their own and each get the whole result; labels are sorted, of equal scores the highest is the score; texts of any length are taken whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from tessera.llm.common import ascii_lower, discard, materialize
 #: All but 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F, stated by what a word holds: Java matches that 20 times faster.
 WORD = "[0-9a-z\x80-\U0010ffff]+"
 GRAM = 3
+#: Diagonals of a run at most: half of the longest template that is taken.
+WIDEST = 1000
 #: Base phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: The method's templates and their labels: fixed wordings of well-known licenses and notices.
@@ -67,8 +70,8 @@ def template_grams(spark: SparkSession, phrases, templates) -> DataFrame:
     rows = []
     for number, (text, label, phrase) in enumerate([(*p, True) for p in phrases] + [(*t, False) for t in templates]):
         own = re.findall("[0-9a-z]+", text)
-        if len(own) < GRAM:
-            raise ValueError(f"shorter than {GRAM} words: {text}")
+        if not GRAM <= len(own) <= 2 * WIDEST:
+            raise ValueError(f"not of {GRAM} to {2 * WIDEST} words: {text}")
         n = len(own) - GRAM + 1
         rows += [(number, label, phrase, n, t, *own[t : t + GRAM]) for t in range(n)]
     made = spark.createDataFrame(rows, "template int, label string, phrase boolean, n_grams int, t_place int, a string, b string, c string")
@@ -112,17 +115,31 @@ def spans(found: DataFrame, gap: int = 3, coverage: float = 0.8) -> DataFrame:
     )
     along = Window.partitionBy(*key).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > gap, F.lit(True)).cast("int")
+    islands = diagonals.filter(~F.col("phrase")).withColumn("apart", apart).withColumn("island", F.sum("apart").over(along))
     merged = (
-        diagonals.filter(~F.col("phrase")).withColumn("apart", apart).withColumn("island", F.sum("apart").over(along))
-        .groupBy(*key, "island")
+        islands.groupBy(*key, "island")
         .agg(
             F.first("label").alias("label"), F.first("n_grams").alias("n_grams"), F.min("low").alias("first"), F.max("high").alias("high"),
             F.size(F.array_distinct(F.flatten(F.collect_list("cover")))).alias("covered"),
         )
         .withColumn("score", F.col("covered") / F.col("n_grams"))
-        .filter((F.col("score") >= coverage) & (F.col("high") - F.col("first") + GRAM <= 1.5 * (F.col("n_grams") + GRAM - 1)))
+        .filter(F.col("score") >= coverage)
     )
-    return base.unionByName(merged.select("rid", "label", F.lit(False).alias("phrase"), "first", F.col("high").alias("last"), "score"))
+    fits = F.col("high") - F.col("first") + GRAM <= 1.5 * (F.col("n_grams") + GRAM - 1)
+    wide = F.floor((F.col("n_grams") + GRAM - 1) / 2)
+    within = Window.partitionBy(*key, "island").orderBy("diagonal")
+    # templates are parameters, so the widest run has a fixed size
+    ahead = F.collect_list(F.struct("diagonal", "low", "high", "cover")).over(within.rangeBetween(0, WIDEST))
+    own = islands.join(merged.filter(~fits).select(*key, "island"), [*key, "island"], "left_semi").withColumn("ahead", ahead)
+    runs = (
+        own.withColumn("ahead", F.filter("ahead", lambda d: d.diagonal <= F.col("diagonal") + wide))
+        .withColumn("score", F.size(F.array_distinct(F.flatten("ahead.cover"))) / F.col("n_grams"))
+        .filter(F.col("score") >= coverage)
+        .withColumn("back", F.col("diagonal") - F.lag("diagonal").over(within))
+        .filter(F.col("back").isNull() | (F.col("back") > wide))
+    )
+    told = [merged.filter(fits).select("rid", "label", "first", F.col("high").alias("last"), "score"), runs.select("rid", "label", F.array_min("ahead.low").alias("first"), F.array_max("ahead.high").alias("last"), "score")]
+    return base.unionByName(told[0].unionByName(told[1]).withColumn("phrase", F.lit(False)))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, gap: int = 3, coverage: float = 0.8) -> DataFrame:

@@ -117,9 +117,13 @@ a AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, id OR
 i AS (SELECT *, sum(apart) OVER (PARTITION BY rid, id ORDER BY diagonal, t_place) island FROM a),
 m AS (SELECT rid, label, count(DISTINCT t_place) / n AS score FROM i GROUP BY rid, id, label, n, island
       HAVING count(DISTINCT t_place) / n >= {coverage} AND max(place) - min(place) + 3 <= 1.5 * (n + 2)),
+o AS (SELECT rid, id, island FROM i GROUP BY rid, id, n, island HAVING count(DISTINCT t_place) / n >= {coverage} AND max(place) - min(place) + 3 > 1.5 * (n + 2)),
+s AS (SELECT x.rid, x.label, count(DISTINCT y.t_place) / x.n AS score FROM (SELECT DISTINCT rid, id, label, n, island, diagonal FROM i SEMI JOIN o USING (rid, id, island)) x
+      JOIN i y ON y.rid = x.rid AND y.id = x.id AND y.island = x.island AND y.diagonal BETWEEN x.diagonal AND x.diagonal + (x.n + 2) // 2
+      GROUP BY x.rid, x.id, x.label, x.n, x.island, x.diagonal HAVING count(DISTINCT y.t_place) / x.n >= {coverage}),
 r AS (SELECT rid, count(*) FILTER (base) n_base, min(place) FILTER (base) first_word, max(place) FILTER (base) last_word,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) base_labels, string_agg(DISTINCT label, ',' ORDER BY label) labels, max(score) score
-      FROM (SELECT rid, label, place, true base, 1.0::double score FROM base UNION ALL SELECT rid, label, NULL, false, score FROM m) GROUP BY rid)
+      FROM (SELECT rid, label, place, true base, 1.0::double score FROM base UNION ALL SELECT rid, label, NULL, false, score FROM m UNION ALL SELECT rid, label, NULL, false, score FROM s) GROUP BY rid)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
        coalesce(labels, '') AS labels, coalesce(score, 0.0)::double AS score
 FROM d LEFT JOIN r USING (rid)
