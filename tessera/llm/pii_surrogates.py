@@ -10,6 +10,8 @@ follows; its full stop or bracket at the end stays. A surrogate is drawn
 from a keyed hash of the entity's type and normal form, so an entity gets the same surrogate
 wherever and however it is written (coreference), in the mention's own format:
 length, punctuation, case, check digits, country code, and for names gender and script.
+A telephone number is the same entity with and without its country code. IPv6 addresses, postal
+addresses and dates of birth are no entities here and stay as they are.
 
 Collision checks: one pass gathers the distinct entities of the corpus. Where a
 surrogate equals that of another entity, of whatever type, or is itself an entity of the corpus,
@@ -20,7 +22,7 @@ carry a number of attempts; each document gets those that it holds by a join on
 its id, which the planner broadcasts if they are small. Texts don't leave their tasks
 unless they aren't.
 
-Defined results: a null text stays null; an empty one stays empty; rows that
+Defined results: an empty table stays empty; a null text stays null; an empty one stays empty; rows that
 repeat a doc_id are treated alike; overlapping finds go to the earlier, then
 the longer one; a secret without a letter or digit (a rule, a blank to fill in) is none; other columns are handed on, but that one named `entities` is replaced.
 """
@@ -50,8 +52,16 @@ PATTERNS = (
     ("ip", ".", re.compile(rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])")),
     ("card", "0123456789", re.compile(r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])")),
     ("ssn", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("phone", "0123456789", re.compile(r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])")),
+    ("phone", "0123456789", re.compile(
+        r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+        r"|(?<![0-9+])(?:\+|00(?=[1-9][0-9]{0,2}[ .-]))[0-9]{1,3}(?:[ .-]?\(0\))?(?:[ .-]?\(?[0-9]{1,4}+\)?){2,7}+(?![0-9])"
+        r"|(?<![0-9.,+-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9]|[.,-][0-9])")),
 )
+#: Country codes of one digit and of two; all others have three. Fixed values of the numbering plan.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 #: Titles and the gender that they tell.
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f",
@@ -109,6 +119,22 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - number % 97:02d}"
 
 
+def phone_parts(text: str) -> tuple[str, str]:
+    """The digits of a telephone number that stay (country code, the 0 before an area), and the others.
+
+    A number with and without its country code has the same others. Without a + or 00, eleven digits from 1 on have a country code.
+    """
+    digits = re.sub("[^0-9]", "", text)
+    at = 0
+    if text.startswith("+") or text.startswith("00"):
+        at = 0 if text.startswith("+") else 2
+        at += 1 if digits[at : at + 1] in ONE_DIGIT else 2 if digits[at : at + 2] in TWO_DIGITS else 3
+    elif len(digits) == 11 and digits[0] == "1":
+        at = 1
+    at += digits[at : at + 1] == "0"
+    return digits[:at], digits[at:]
+
+
 def normal(kind: str, text: str) -> str | None:
     """The normal form of a find, or None if its check digits or values rule it out."""
     if kind == "email":
@@ -117,7 +143,10 @@ def normal(kind: str, text: str) -> str | None:
         digits = re.sub("[^0-9]", "", text)
         if kind == "card" and (not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1]):
             return None
-        return digits if kind != "phone" or 8 <= len(digits) <= 15 else None
+        if kind == "phone":
+            own = phone_parts(text)[1]
+            return own if 8 <= len(digits) <= 17 and 6 <= len(own) <= 14 else None
+        return digits
     if kind == "iban":
         plain = text.replace(" ", "")
         return plain if 15 <= len(plain) <= 34 and iban_check(plain[:2], plain[4:]) == plain[2:4] else None
@@ -238,9 +267,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
             more = 1
         return s.like(wider(local, more)) + "@" + ".".join([d.like(x) for x in labels[:-fixed]] + labels[-fixed:])
     if kind == "phone":
-        country = value[: max(0, len(value) - 10)]
-        rest = value[len(country) :]
-        return country + s.one("23456789") + "".join(s.one("0123456789") for _ in range(len(rest) - 1 + more))
+        return s.one("23456789") + "".join(s.one("0123456789") for _ in range(len(value) - 1 + more))
     if kind == "card":
         body = value[0] + "".join(s.one("0123456789") for _ in range(len(value) - 2 + more))
         return body + luhn_digit(body)
@@ -273,7 +300,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
 def render(kind: str, shown: str, stand_in: str) -> str:
     """*stand_in*, a normal form, as *shown* was written; what it has more stands behind."""
     if kind in ("phone", "card", "ssn"):
-        digits = iter(stand_in)
+        digits = iter(phone_parts(shown)[0] + stand_in if kind == "phone" else stand_in)
         return "".join([next(digits) if c in "0123456789" else c for c in shown] + list(digits))
     if kind == "iban":
         chars = iter(stand_in)
