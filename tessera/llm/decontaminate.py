@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, materialize, packed, released, unpacked
+from tessera.llm.common import bounded, discard, materialize, packed, released, unpacked
 
 WORD = re.compile(r"\w+")
 #: Weight of a shingle that one item holds, or none.
@@ -386,7 +386,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, radius: int = 15, least: float
     spark = docs.sparkSession
     left = docs
     for n, index in each_index(benchmark, radius, block_items):
+        sent = spark.sparkContext.broadcast(index)
         rows = bounded(left).select(packed(left), "text")
-        kept = rows.filter(F.size(_matcher(spark.sparkContext.broadcast(index), radius, least)) == 0).select("row.*")
-        left = kept if n == 1 else materialize(kept, "clean")
+        kept = rows.filter(F.size(_matcher(sent, radius, least)) == 0).select("row.*")
+        if n == 1:
+            return kept
+        before, left = left, materialize(kept, "clean")
+        sent.unpersist()
+        if before is not docs:
+            discard(before)
     return left
