@@ -161,13 +161,13 @@ def hybrid_prefilter(spark, d):
     held = f.chunk_tags(spark, d).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("dim", "tag"))).alias("own"))
     # a chunk's tags of the dims asked for, whole: only chunks that meet all constraints are joined to a query
     signed = held.select("chunk_id", "own", asked).select("chunk_id", F.expr("filter(own, x -> array_contains(dims, x.dim))").alias("sign"))
-    allowed = materialize(ask.join(signed, "sign").filter("chunk_id <> query_id").select("query_id", "chunk_id").distinct(), "allowed")
+    sign = F.xxhash64("sign").alias("grp")
     vecs, q = f.emb(spark, d), f.queries(spark, d)
-    pairs = allowed.join(vecs.select(F.col("id").alias("chunk_id"), "vec"), "chunk_id").join(q.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
-    from tessera.functions.vectors import cosine
-
-    inside = vector.ranked(pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("vec")), 6).alias("score"))).filter("rank <= 10")
-    rest = vector.topk(vecs, q.join(allowed.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti"), 10)
+    # ranked within what a query asks for: the filter comes first, and a task keeps the best of each query
+    rows = vecs.drop("grp").join(signed.distinct().select(F.col("chunk_id").alias("id"), sign), "id")
+    wanted = q.drop("grp").join(ask.select(F.col("query_id").alias("id"), sign), "id")
+    inside = materialize(vector.topk(rows, wanted, 10, same_group=True), "inside")
+    rest = vector.topk(vecs, q.join(inside.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti"), 10)
     return inside.unionByName(rest)
 
 

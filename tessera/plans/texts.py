@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as x
 from tessera.functions.vectors import cosine, norm
-from tessera.operators import analysis, graphs, overlaps, vector
+from tessera.operators import analysis, graphs, lexical, nested, overlaps, vector
 from tessera.plans import frames as f
 from tessera.plans.registry import query
 from tessera.scratch import discard, indexed, materialize, quantiles, running
@@ -466,18 +466,8 @@ s AS (SELECT query_id, doc_id chunk_id, round(sum(ln(1 + ((SELECT count(*) FROM
 
 @query(f"{BM25} {f.rank('s', 10)}")
 def bm25_topk(spark, d):
-    """BM25 of the benchmark's texts over all documents, by joining query terms to posting rows; pre-aggregated by query and document."""
-    tokens = docs(spark, d, x.tokens(F.col("text")).alias("tokens"))
-    sizes = materialize(tokens.agg(F.count("*").alias("n"), F.avg(F.when(F.size("tokens") > 0, F.size("tokens"))).alias("mean")), "sizes")
-    n, mean = sizes.select("n").scalar(), sizes.select("mean").scalar()
-    q = f.t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(x.tokens(F.col("text")))).alias("t"))
-    # only the queries' terms are counted; a document's length comes with its row
-    each = tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("t")).join(q.select("t").distinct(), "t", "left_semi")
-    tf = materialize(each.groupBy("doc_id", "len", "t").agg(F.count("*").alias("n")), "postings")
-    df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = tf.join(q.join(df, "t"), "t").withColumn("s", idf * F.col("n") * 2.2 / (F.col("n") + 1.2 * (0.25 + 0.75 * F.col("len") / mean)))
-    return vector.ranked(s.groupBy("query_id", F.col("doc_id").alias("chunk_id")).agg(F.round(F.sum("s"), 6).alias("score"))).filter("rank <= 10")
+    """BM25 of the benchmark's texts over all documents: scored whole in their tasks, which keep the best of each query."""
+    return lexical.bm25(docs(spark, d, "text"), f.t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
 
 
 @query("WITH w AS (SELECT doc_id, string_split(lower(text), ' ') w, source FROM documents), g AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] gram, source FROM w, unnest(range(1, len(w))) u(i)) SELECT gram, count(*) AS n_sources, min(source) AS first_source, count(*) = 1 AS telling FROM g GROUP BY gram")
@@ -623,3 +613,34 @@ def name_coverage(spark, d):
     rare = words.groupBy("name").count().filter("count BETWEEN 3 AND 5").select("name")
     texts = f.t(spark, d, "documents").filter(F.col("doc_id") % f.EVERY == 0).select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
     return analysis.known_names(texts, rare).withColumn("uncovered", F.array_join("uncovered", ","))
+
+
+@query(
+    "WITH p AS (SELECT event_id, props::JSON AS j FROM events WHERE props IS NOT NULL), k AS (SELECT event_id, j, unnest(json_keys(j)) AS path FROM p) "
+    "SELECT event_id, path, json_extract(j, '$.' || path)::DOUBLE AS value FROM k WHERE json_type(j, '$.' || path) IN ('BIGINT', 'UBIGINT', 'DOUBLE')"
+)
+def nested_numbers(spark, d):
+    """Every number in the events' properties, with its path."""
+    return nested.numbers(f.t(spark, d, "events").select("event_id", "props"), "event_id", "props")
+
+
+_CUT = """WITH l AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) AS rank, 's' || l_suppkey AS method FROM lineitem),
+e AS (SELECT id, rank, method, '{"rank": ' || rank || ', "method": "' || method || '"}' AS entry FROM l),
+a AS (SELECT id, count(*) AS n, '{"ranking": [' || string_agg(entry, ', ' ORDER BY rank) || '], "summary": "done"}' AS whole FROM e GROUP BY id),
+c AS (SELECT id, n, length(whole) AS size, (id * 37) % (length(whole) + 40) AS cut FROM a),
+k AS (SELECT id, rank, method, 13 + sum(length(entry) + 2) OVER (PARTITION BY id ORDER BY rank) - 2 AS upto FROM e),
+h AS (SELECT c.id, c.n, c.cut < c.size AS truncated, count(*) AS held, string_agg(rank || ':' || method, ',' ORDER BY rank) AS entries FROM c JOIN k ON k.id = c.id AND k.upto <= c.cut GROUP BY ALL)
+SELECT id, entries, held < n AS partial, truncated FROM h WHERE held >= 0.5 * n"""
+
+
+@query(_CUT)
+def ranking_repair(spark, d):
+    """Rankings of each order's suppliers as JSON that is cut off somewhere: what can be kept of them."""
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber", "l_partkey", "l_suppkey")
+    rows = f.t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.row_number().over(w).alias("rank"), F.concat(F.lit("s"), "l_suppkey").alias("method"))
+    entry = F.concat(F.lit('{"rank": '), "rank", F.lit(', "method": "'), "method", F.lit('"}'))
+    lists = rows.groupBy("id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e"))))["e"], ", ").alias("list"))
+    whole = lists.select("id", "n", F.concat(F.lit('{"ranking": ['), "list", F.lit('], "summary": "done"}')).alias("t"))
+    cut = whole.select("id", "n", F.substr("t", F.lit(1), ((F.col("id") * 37) % (F.length("t") + 40)).cast("int")).alias("t"))
+    kept = cut.select("id", nested.repaired(F.col("t"), F.col("n")).alias("r")).filter("r IS NOT NULL")
+    return kept.select("id", F.array_join(F.transform("r.ranking", lambda e: F.concat(e.rank, F.lit(":"), e.method)), ",").alias("entries"), "r.partial", "r.truncated")
