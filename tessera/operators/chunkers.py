@@ -171,9 +171,114 @@ def merge_small(pieces: list[str], least: int, most: int, beta_small: float = 0.
     return out
 
 
+def tail_overlap(text: str, size: int = 800, overlap: int = 50) -> list[str]:
+    """Paragraphs; those over *size* by sentences joined with a full stop, each new chunk behind the last *overlap* characters of the one before.
+
+    The end marks of sentences are not kept, and a chunk that holds no more than *overlap* characters leaves no tail.
+    """
+    out: list[str] = []
+    for p in filter(None, (p.strip() for p in re.split(r"\n\n+|\r\n\r\n+", text))):
+        if len(p) <= size:
+            out.append(p)
+            continue
+        held = ""
+        for s in filter(None, (s.strip() for s in re.split("[。！？；!?;]", p))):
+            if len(held) + len(s) + 1 > size:
+                out += [held] if held else []
+                held = held[-overlap:] + s if 0 < overlap < len(held) else s
+            else:
+                held = f"{held}。{s}" if held else s
+        out += [held] if held else []
+    return out
+
+
+def model_pack(text: str, size: int = 2000) -> list[str]:
+    """Sentences with all that stands between them, packed up to *size*; a sentence over it is cut into pieces, the last of which goes on."""
+    out: list[str] = []
+    held = ""
+    for s in re.findall(r"[^。！？\.!\?\n]+[。！？\.!\?\n]*", text):
+        if len(held) + len(s) <= size:
+            held += s
+        elif held:
+            out.append(held)
+            held = s
+        else:
+            *whole, held = [s[i : i + size] for i in range(0, len(s), size)]
+            out += whole
+    return [*out, held] if held else out
+
+
+def sentence_budget(text: str, target: int = 200) -> list[str]:
+    """Windows of one sentence or more of *target* characters at most, so that long chunks don't hold more sentences by nature."""
+    out, held, size = [], [], 0
+    for s in split_sentences(text):
+        if held and size + len(s) > target:
+            out.append(" ".join(held))
+            held, size = [], 0
+        held.append(s)
+        size += len(s)
+        if len(s) >= target:
+            out.append(" ".join(held))
+            held, size = [], 0
+    return [*out, " ".join(held)] if held else out
+
+
+def minima(values: list[float], threshold: float) -> list[int]:
+    """Places below both neighbours by *threshold* on one side, or below the one before by it and equal to the next."""
+    out = []
+    for i in range(1, len(values) - 1):
+        left, right = values[i - 1] - values[i], values[i + 1] - values[i]
+        if left > 0 and (right > 0 and max(left, right) >= threshold or right == 0 and left >= threshold):
+            out.append(i)
+    return out
+
+
+def overlapping_minima(text: str, threshold: float = 1.0) -> list[str]:
+    """Sentences cut at minima of perplexity; the sentence at a cut ends one chunk and begins the next."""
+    s = split_sentences(text)
+    if not s:
+        return []
+    cuts = [0, *minima(bigram_perplexities(s), threshold), len(s) - 1]
+    return [" ".join(s[a : b + 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def likeness_margin(held: str, sentence: str) -> float:
+    """The offline margin: positive where two texts' characters are alike."""
+    return 2 * char_cosine(held, sentence) - 1
+
+
+def margin_chunks(text: str, margin: Callable[[str, str], float] = likeness_margin, size: int = 0) -> list[str]:
+    """A sentence joins the chunk before while the margin for it is over a threshold: 0, then the mean of the last five margins.
+
+    A model can give the margin, as the probability of joining less that of cutting. With *size*, neighbouring chunks of so many words at most are put together.
+    """
+    out: list[str] = []
+    seen: list[float] = []
+    for s in split_sentences(text):
+        if not out:
+            out.append(s)
+            continue
+        threshold = sum(seen[-5:]) / 5 if len(seen) >= 5 else 0.0
+        seen.append(margin(out[-1], s))
+        if seen[-1] > threshold:
+            out[-1] += " " + s
+        else:
+            out.append(s)
+    if not size:
+        return out
+    packed: list[str] = []
+    for c in out:
+        if packed and len(packed[-1].split()) + len(c.split()) <= size:
+            packed[-1] += " " + c
+        else:
+            packed.append(c)
+    return packed
+
+
 CHUNKERS: dict[str, Chunker] = {
     "paragraph_pack": paragraph_pack, "stepped_pack": stepped_pack, "sentence_window": sentence_window, "boundary_window": boundary_window,
     "word_halves": word_halves, "dynamic_combination": dynamic_combination, "three_round_chunker": three_rounds,
+    "tail_overlap": tail_overlap, "model_pack": model_pack, "sentence_budget": sentence_budget, "overlapping_minima": overlapping_minima, "margin_chunks": margin_chunks,
 }
 
 
@@ -188,13 +293,15 @@ def chunk(docs: DataFrame, how: str, **options) -> DataFrame:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, in one row of memory."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence: a bit for each word of *a*, a few operations on all of them for each word of *b*."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << i
+    row = whole = (1 << len(a)) - 1
+    for w in b:
+        held = row & at.get(w, 0)
+        row = (row + held | row - held) & whole
+    return len(a) - row.bit_count()
 
 
 def rouge_l(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:

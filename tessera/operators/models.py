@@ -95,3 +95,15 @@ def iterate(score: Callable[[str], float], refine: Callable[[str, float], str],
         trace.append({"round": k, "prompt": new, "score": got, "accepted": new != best})
         best, value = new, got
     return trace
+
+
+def with_iterations(df: DataFrame, prompt: str, score: Callable[[str], float], refine: Callable[[str, float], str], **how) -> DataFrame:
+    """A row for each row of *df* and round of iterate() on its prompt: `round`, `prompt`, `score`, `accepted` and `n_chars`; none for a null prompt."""
+    kind = pa.list_(pa.struct([("round", pa.int32()), ("prompt", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())]))
+
+    def run(prompts: pa.Array) -> pa.Array:
+        return pa.array([[] if p is None else iterate(score, refine, p, **how) for p in prompts.to_pylist()], kind)
+
+    traced = F.arrow_udf(run, "array<struct<round: int, prompt: string, score: double, accepted: boolean>>")(F.col(prompt))
+    rows = df.select(*[c for c in df.columns if c != prompt], F.explode(traced).alias("_t"))
+    return rows.select(*[c for c in rows.columns if c != "_t"], "_t.*").withColumn("n_chars", F.length("prompt"))

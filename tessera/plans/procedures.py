@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as x
 from tessera.functions.vectors import cosine
-from tessera.operators import alignment, chunkers, coref, fuzzy, lsa, models, rounds, thresholds, vector
+from tessera.operators import alignment, chunkers, coref, dims, fuzzy, lsa, models, rounds, thresholds, vector
 from tessera.plans import frames as f
 from tessera.plans.registry import query
 from tessera.plans.texts import _qa, char_ppl
@@ -82,9 +82,9 @@ def seeded_shuffle(spark, d):
 
 @query()
 def iterate_prompt(spark, d):
-    """The loop's trace with the offline judge: it prefers longer prompts up to a length."""
-    trace = models.iterate(lambda p: min(90.0, len(p) / 2), lambda p, s: p + " Be exact.", "Answer the question.", most=12)
-    return spark.createDataFrame([(t["round"], t["score"], t["accepted"]) for t in trace], "round int, score double, accepted boolean")
+    """Each benchmark text as a prompt that is refined until the offline judge, which prefers longer ones up to a length, is content: a row for each round."""
+    prompts = f.t(spark, d, "benchmark").select("item_id", "text")
+    return models.with_iterations(prompts, "text", lambda p: min(90.0, len(p) / 4), lambda p, s: p + " Be exact.", most=12).select("item_id", "round", "score", "accepted", "n_chars")
 
 
 @query("SELECT doc_id || '_sub_' || lpad(i::varchar, 3, '0') AS chunk_id, ls[i + 1] AS chunk_text, length(ls[i + 1])::bigint AS chunk_len FROM (SELECT doc_id, string_split(text, chr(10)) ls FROM documents), unnest(range(0, len(ls))) u(i)")
@@ -156,3 +156,17 @@ def integrated_chunk(spark, d):
     table = F.contains("head", F.lit("|"))
     done = rounds.integrated(f.t(spark, d, "documents").select("doc_id", "text"), F.when(table, 150).otherwise(300), F.when(table, 400).otherwise(600))
     return done.select("doc_id", "section", "place", "chunk_len", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@query()
+def enhanced_chunk(spark, d):
+    """All documents cut where the threshold, which follows the length so far, allows it, and merged best pair first."""
+    done = rounds.enhanced(f.t(spark, d, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "section", "place", "chunk_len", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@query()
+def dim_optimize(spark, d):
+    """Tags after their dimensions were decided on until nothing changes: how many of each are left."""
+    tags, n = f.tags(spark, d), f.t(spark, d, "documents").count()
+    return dims.optimize(tags, n).tags.groupBy("dim", "tag").agg(F.count("*").alias("n"))
