@@ -23,10 +23,20 @@ def rouge_l(spark, d):
     return chunkers.rouge_l(qa, "ref", "hyp").select("id", "rouge_p", "rouge_r", "rouge_f")
 
 
+def _resolved(spark, d):
+    c = f.t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("place"), "text")
+    return coref.resolve(c, coref.LATIN)
+
+
 @query()
 def coref_resolve(spark, d):
-    c = f.t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("place"), "text")
-    return coref.resolve(c)
+    return _resolved(spark, d)
+
+
+@query()
+def coref_consistency(spark, d):
+    """Pronouns that stand for several things within a conversation."""
+    return coref.inconsistent(_resolved(spark, d))
 
 
 @query()

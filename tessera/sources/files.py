@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.scratch import indexed
+
 
 def directory(spark: SparkSession, path: str, glob: str = "*.{txt,md,json}") -> DataFrame:
     """(path, content) of all files below *path* that match."""
@@ -13,11 +15,17 @@ def directory(spark: SparkSession, path: str, glob: str = "*.{txt,md,json}") ->
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): each line that isn't blank is a document, named by file and line."""
-    whole = directory(spark, path, "*.txt")
+    """(doc_id, text): each line that isn't blank is a document, named by file and line.
+
+    A file is read in blocks by many tasks; lines are numbered by their block and their order in it, so a file may be of any size.
+    """
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path)
+    each = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    placed = indexed(each, ["path", "block", "row"], "place")
+    begins = placed.groupBy("path").agg(F.min("place").alias("begin"))
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
-    each = whole.select(stem.alias("stem"), F.posexplode(F.split("content", r"\r?\n")).alias("i", "line"))
-    return each.filter(F.btrim("line") != "").select(F.format_string("%s_line_%05d", "stem", "i").alias("doc_id"), F.btrim("line").alias("text"))
+    held = placed.filter(F.btrim("line") != "").join(begins, "path")
+    return held.select(F.format_string("%s_line_%05d", stem, F.col("place") - F.col("begin")).alias("doc_id"), F.btrim("line").alias("text"))
 
 
 def first_of(df: DataFrame, names: list[str]) -> Column:
@@ -56,3 +64,26 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to *path* has been committed."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_chunk_files(chunks: DataFrame, path: str, name: str = "chunk_id", text: str = "chunk_text") -> bool:
+    """Each chunk in a folder of its name, white space collapsed, blank ones left out; False, and nothing is done, if that was finished before.
+
+    Spark's commit makes all of them appear at once, with its mark.
+    """
+    if finished(chunks.sparkSession, path):
+        return False
+    flat = chunks.select(F.col(name).alias("name"), F.btrim(F.regexp_replace(text, r"\s+", " ")).alias("value")).filter("value <> ''")
+    flat.write.mode("overwrite").partitionBy("name").text(path)
+    return True
+
+
+def read_chunk_files(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk_id, chunk_text) of what write_chunk_files() wrote."""
+    return spark.read.text(path).select(F.col("name").cast("string").alias("chunk_id"), F.col("value").alias("chunk_text"))

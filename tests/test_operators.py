@@ -119,9 +119,28 @@ def test_searches_in_blocks(spark):
 
 
 def test_coreference(spark):
-    df = spark.createDataFrame([(1, 0, "We met Anna there."), (1, 1, "Then she left."), (2, 0, "It rains.")], "doc_id long, place long, text string")
-    got = {(r.doc_id, r.place): r.resolved for r in coref.resolve(df).collect()}
-    assert got[(1, 1)] == "Then Anna left." and got[(2, 0)] == "It rains."
+    df = spark.createDataFrame([(1, 0, "We met Anna there."), (1, 1, "Then she left."), (2, 0, "It rains."), (3, 0, None), (3, 1, "They said so.")], "doc_id long, place long, text string")
+    got = {(r.doc_id, r.place): r.resolved for r in coref.resolve(df, coref.LATIN).collect()}
+    assert got[(1, 1)] == "Then Anna left." and got[(2, 0)] == "It rains." and got[(3, 0)] == "" and got[(3, 1)] == "They said so."
+
+
+def test_coreference_by_ordered_rules(spark):
+    texts = {
+        1: ["王小明教授到了。", "然后 他 走了。", "新的李四说好。", "那时 他 也在。"],  # the nearest chunk that names one
+        2: ["名叫张三是李四。", "于是 他 来了"],  # the earlier rule wins within a text
+        3: ["深度学习技术很好。", "但 它 很慢， 这 不好。", "她 不在这里"],
+        4: ["该方案 不变，他们也是。"],  # letters touch the pronoun
+    }
+    df = spark.createDataFrame([(d, i, t) for d, v in texts.items() for i, t in enumerate(v)], "doc_id long, place long, text string").repartition(3)
+    rows = {(r.doc_id, r.place): r for r in coref.resolve(df).collect()}
+    assert rows[(1, 1)].resolved == "然后 王小明 走了。" and [tuple(x) for x in rows[(1, 3)].resolutions] == [("他", "新的李四")]
+    assert rows[(2, 1)].resolved == "于是 张三是李 来了" or rows[(2, 1)].resolved == "于是 张三是李四 来了"
+    assert rows[(3, 1)].resolved == "但 深度学习 很慢， 深度学习 不好。" and rows[(3, 1)].n_resolved == 2 and rows[(3, 2)].n_resolved == 0
+    assert rows[(4, 0)].n_resolved == 0 and not rows[(4, 0)].rolled_back
+    bad = {(r.doc_id, r.pronoun): (r.n, r.antecedents) for r in coref.inconsistent(coref.resolve(df)).collect()}
+    assert bad == {(1, "他"): (2, ["新的李四", "王小明"])}
+    assert coref.circular([("他", "它"), ("它", "水")]) and not coref.circular([("他", "水")])
+    assert coref.resolve(df.limit(0)).count() == 0
 
 
 def test_models(spark):
