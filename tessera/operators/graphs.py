@@ -6,7 +6,9 @@ import heapq
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,3 +78,28 @@ def path_entropies(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"conv_id": [rows["conv_id"].iloc[0]], "entropy": [round(path_entropy(weights), 6)]})
 
     return edges.select("conv_id", "i", "j", "weight").groupBy("conv_id").applyInPandas(run, "conv_id long, entropy double")
+
+
+_SHARED = "conv_id long, i long, j long, g double, own double, tokens int, nodes long"
+
+
+def shared_words(turns: DataFrame) -> DataFrame:
+    """_SHARED: for each ordered pair of a document's *turns* (conv_id, turn, t: its words) how many distinct words both hold, and the second one's sizes.
+
+    A group is one document; each turn's words come to it once, as one set of bits over the document's own vocabulary. The pairs are what a full graph has.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        words = [set(w or ()) for w in group["t"].to_pylist()]
+        place = {w: k for k, w in enumerate(set().union(*words))}
+        bits = [sum(1 << place[w] for w in own) for own in words]
+        n, turn = len(words), group["turn"].to_numpy()
+        both = np.array([[(a & b).bit_count() for b in bits] for a in bits], np.float64).reshape(n, n)
+        sizes = group["n"].to_numpy()
+        return pa.table({
+            "conv_id": pa.array(np.repeat(group["conv_id"].to_numpy()[:1], n * n)), "i": np.repeat(turn, n), "j": np.tile(turn, n), "g": both.ravel(),
+            "own": np.tile([float(len(w)) for w in words], n), "tokens": pa.array(np.tile(sizes, n), pa.int32()), "nodes": np.full(n * n, n),
+        })
+
+    held = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "t", F.size("t").alias("n"))
+    return held.groupBy("conv_id").applyInArrow(run, _SHARED)

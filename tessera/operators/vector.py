@@ -176,7 +176,8 @@ def ranked(found: DataFrame, *by: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def centroids(members: DataFrame, *keys: str) -> DataFrame:
-    """(keys, vec): the element-wise mean of the vectors `vec` of each key; summed as vectors before the exchange."""
-    held = members.filter("vec IS NOT NULL").select(*keys, array_to_vector(F.col("vec").cast("array<double>")).alias("vec"))
-    return held.groupBy(*keys).agg(vector_to_array(Summarizer.mean(F.col("vec"))).alias("vec"))
+def centroids(members: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
+    """(keys, vec): the element-wise mean of the vectors `vec` of each key, by a column *weight* if there is one; summed as vectors before the exchange."""
+    held = members.filter("vec IS NOT NULL").select(*keys, array_to_vector(F.col("vec").cast("array<double>")).alias("vec"), *([weight] if weight else []))
+    mean = Summarizer.mean(F.col("vec"), F.col(weight)) if weight else Summarizer.mean(F.col("vec"))
+    return held.groupBy(*keys).agg(vector_to_array(mean).alias("vec"))

@@ -249,25 +249,34 @@ def semantic_split(spark, d):
     return g.groupBy("label", "chunk").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
 
 
-CENTRE = f"WITH {f.EMB}, c0 AS (SELECT label, u.i, avg(v[u.i]) x FROM emb, unnest(range(1, len(v) + 1)) u(i) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) c FROM c0 GROUP BY 1), s AS (SELECT vec_id, label, {f.cos('v', 'c')} sim FROM emb JOIN c USING (label))"
+CENTRE = f"WITH {f.EMB}, wt AS (SELECT vec_id, label, v, greatest(1, coalesce(n_chars, 1)) w FROM emb LEFT JOIN (SELECT doc_id, max(n_chars) n_chars FROM documents GROUP BY 1) ON doc_id = vec_id), c0 AS (SELECT label, u.i, sum(w * v[u.i]) / sum(w) x FROM wt, unnest(range(1, len(v) + 1)) u(i) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) c FROM c0 GROUP BY 1), s AS (SELECT vec_id, label, w, {f.cos('v', 'c')} sim FROM wt JOIN c USING (label))"
 
 
 def _to_centre(spark, d):
-    e = f.emb(spark, d).select(F.col("id").alias("vec_id"), F.col("grp").alias("label"), "vec")
-    c = vector.centroids(e.select("label", "vec"), "label").withColumnRenamed("vec", "c")
-    return e.join(c, "label").select("vec_id", "label", F.round(cosine(F.col("vec"), F.col("c")), 6).alias("sim"))
+    """The vectors with the weight of their texts' length, and how near they are to the centre, weighted by it, of their label."""
+    sizes = f.t(spark, d, "documents").groupBy(F.col("doc_id").alias("vec_id")).agg(F.max("n_chars").alias("n"))
+    e = f.emb(spark, d).select(F.col("id").alias("vec_id"), F.col("grp").alias("label"), "vec").join(sizes, "vec_id", "left")
+    e = e.withColumn("w", F.greatest(F.lit(1.0), F.coalesce("n", F.lit(1)).cast("double")))
+    c = vector.centroids(e.select("label", "vec", "w"), "label", weight="w").withColumnRenamed("vec", "c")
+    return e.join(c, "label").select("vec_id", "label", "w", F.round(cosine(F.col("vec"), F.col("c")), 6).alias("sim"))
+
+
+def _weighted(value):
+    return F.sum(value * F.col("w")) / F.sum("w")
 
 
-@query(f"{CENTRE} SELECT label, round(avg(1 - sim), 6) AS dispersion, round(avg(sim), 6) AS consistency FROM s GROUP BY label")
+@query(f"{CENTRE} SELECT label, round(sum(w * (1 - sim)) / sum(w), 6) AS dispersion, round(sum(w * sim) / sum(w), 6) AS consistency FROM s GROUP BY label")
 def content_consistency(spark, d):
-    return _to_centre(spark, d).groupBy("label").agg(F.round(F.avg(1 - F.col("sim")), 6).alias("dispersion"), F.round(F.avg("sim"), 6).alias("consistency"))
+    return _to_centre(spark, d).groupBy("label").agg(F.round(_weighted(1 - F.col("sim")), 6).alias("dispersion"), F.round(_weighted(F.col("sim")), 6).alias("consistency"))
 
 
-@query(f"{CENTRE}, i AS (SELECT avg(m) intra FROM (SELECT avg(1 - sim) m FROM s GROUP BY label)), n AS (SELECT c, lead(c) OVER (ORDER BY label) nc FROM c), o AS (SELECT avg(1 - {f.cos('c', 'nc')}) outer_ FROM n WHERE nc IS NOT NULL) SELECT round(intra, 6) AS intra, round(outer_, 6) AS boundary, round(outer_ - intra, 6) AS contrast FROM i, o")
+@query(f"{CENTRE}, i AS (SELECT avg(m) intra FROM (SELECT sum(w * (1 - sim)) / sum(w) m FROM s GROUP BY label)), n AS (SELECT c, lead(c) OVER (ORDER BY label) nc FROM c), o AS (SELECT avg(1 - {f.cos('c', 'nc')}) outer_ FROM n WHERE nc IS NOT NULL) SELECT round(intra, 6) AS intra, round(outer_, 6) AS boundary, round(outer_ - intra, 6) AS contrast FROM i, o")
 def topic_contrast(spark, d):
     """Dispersion about the topics' centres against the distance of neighbouring centres."""
-    intra = _to_centre(spark, d).groupBy("label").agg(F.avg(1 - F.col("sim")).alias("m")).agg(F.avg("m"))
-    c = vector.centroids(f.emb(spark, d).select(F.col("grp").alias("label"), "vec"), "label")
+    intra = _to_centre(spark, d).groupBy("label").agg(_weighted(1 - F.col("sim")).alias("m")).agg(F.avg("m"))
+    sizes = f.t(spark, d, "documents").groupBy(F.col("doc_id").alias("id")).agg(F.max("n_chars").alias("n"))
+    held = f.emb(spark, d).join(sizes, "id", "left").select(F.col("grp").alias("label"), "vec", F.greatest(F.lit(1.0), F.coalesce("n", F.lit(1)).cast("double")).alias("w"))
+    c = vector.centroids(held, "label", weight="w")
     n = c.withColumn("n", F.lead("vec").over(Window.orderBy("label"))).filter("n IS NOT NULL")  # a row for each topic
     outer = n.agg(F.avg(1 - F.round(cosine(F.col("vec"), F.col("n")), 6)).alias("b")).withColumn("i", intra.scalar())
     return outer.select(F.round("i", 6).alias("intra"), F.round("b", 6).alias("boundary"), F.round(F.col("b") - F.col("i"), 6).alias("contrast"))
@@ -275,7 +284,7 @@ def topic_contrast(spark, d):
 
 @query(f"{CENTRE} SELECT vec_id, label, sim, near <= 5 AS core FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) near, row_number() OVER (PARTITION BY label ORDER BY sim, vec_id) far FROM s) WHERE near <= 5 OR far <= 5")
 def core_boundary_sample(spark, d):
-    s = materialize(_to_centre(spark, d), "centred")
+    s = materialize(_to_centre(spark, d).drop("w"), "centred")
     w = Window.partitionBy("label")
     # each branch keeps five rows of a label before the exchange
     near = s.withColumn("n", F.row_number().over(w.orderBy(F.desc("sim"), "vec_id"))).filter("n <= 5").drop("n").withColumn("core", F.lit(True))
@@ -407,14 +416,9 @@ g AS (SELECT conv_id, i, j, CASE WHEN i = j THEN 1.0 ELSE exp(greatest(-50, leas
 
 
 def _graph(spark, d):
-    """(conv_id, i, j, weight) of all ordered pairs of a conversation's turns; conversations are short."""
+    """(conv_id, i, j, weight) of all ordered pairs of a conversation's turns, whose words come to their group once."""
     c = f.t(spark, d, "conversations").select("conv_id", "turn", x.tokens(F.col("text")).alias("t"))
-    w = c.select("conv_id", "turn", F.array_distinct("t").alias("w"), F.size("t").alias("n"))
-    a = w.select("conv_id", F.col("turn").alias("i"), F.col("w").alias("wi"))
-    b = w.select("conv_id", F.col("turn").alias("j"), F.col("w").alias("wj"), "n")
-    sizes = w.groupBy("conv_id").agg(F.count("*").alias("nodes"))
-    pairs = a.join(b, "conv_id").join(sizes, "conv_id")
-    return graphs.normalized(pairs.select("conv_id", "i", "j", F.size(F.array_intersect("wi", "wj")).cast("double").alias("g"), F.size("wj").cast("double").alias("own"), F.col("n").alias("tokens"), "nodes"), 0.1)
+    return graphs.normalized(graphs.shared_words(c), 0.1)
 
 
 @query(f"WITH {GRAPH} SELECT conv_id, i, j, round(weight, 6) AS weight FROM g")
