@@ -1,4 +1,4 @@
-"""Default parameters of the engine."""
+"""Default parameters of the searches."""
 
 from __future__ import annotations
 
@@ -7,27 +7,6 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class EngineConfig:
-    rrf_k: int = 60
-    alpha_dim: float = 0.2
-    sem_k: int = 20
-    dim_k: int = 100
-    rerank_k: int = 50
-    final_k: int = 8
-    tags_per_query: int = 20
-    soft_threshold: float = 0.58
-    margin: float = 0.04
-    tags_per_dim: int = 5
-    entity_bonus: float = 0.12
-    coverage_bonus: float = 0.08
-    coverage_min: float = 0.20
-    entropy_min: float = 0.30
-    diff_min: float = 0.3
-    index_coverage: float = 0.50
-    index_values: int = 5
-    context_window: int = 3
-    mad_k: float = 3.5
-    bm25_k1: float = 1.2
-    bm25_b: float = 0.75
     #: Query vectors that are sent to all tasks; larger sets are dealt in blocks, against blocks of rows.
     query_block: int = 2048
     row_block: int = 65536

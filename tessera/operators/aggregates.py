@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.scratch import materialize, running
+
 #: Ids in one block of a posting list.
 POSTING_BLOCK = 1 << 16
 
@@ -59,8 +61,11 @@ def borda(rankings: DataFrame) -> DataFrame:
         F.sum(n - F.col("rank") + 1).alias("borda"), F.count_if(F.col("rank") == 1).alias("wins"), F.count("*").alias("n"), F.round(F.avg("rank"), 4).alias("avg_rank")
     )
     win_rate, per_query = F.round(F.col("wins") / F.col("n"), 4), F.round(F.col("borda") / F.col("n"), 2)
-    place = F.rank().over(Window.orderBy(F.desc("borda")))  # a row for each method
-    return sums.select("method", "borda", "wins", win_rate.alias("win_rate"), "avg_rank", per_query.alias("score_per_query"), place.alias("global_rank"))
+    sums = materialize(sums, "sums")
+    # how many methods have more, by the scores' global order: methods may be many
+    above = running(sums.groupBy((-F.col("borda")).alias("k")).agg(F.count("*").alias("m")), ["k"], "m", "above").select((-F.col("k")).alias("borda"), "above")
+    ranked = sums.join(above, "borda").withColumn("global_rank", F.col("above") + 1)
+    return ranked.select("method", "borda", "wins", win_rate.alias("win_rate"), "avg_rank", per_query.alias("score_per_query"), "global_rank")
 
 
 def normalize_weights(df: DataFrame, group: str, order: str, weight: str) -> DataFrame:

@@ -54,18 +54,30 @@ def with_embedding(df: DataFrame, text: str, embedder: Embedder | None = None, c
 
 
 def with_completion(df: DataFrame, prompt: str, completer: Completer = stub_completer, retries: int = 3, name: str = "completion") -> DataFrame:
-    """*df* with a completion of a prompt column; a call that raises is tried again, then gives null."""
+    """*df* with a completion of a prompt column, and in *name*_error what went wrong: a batch that fails *retries* times is asked prompt by prompt.
 
-    def run(prompts: pa.Array) -> pa.Array:
-        asked = prompts.to_pylist()
+    A prompt whose own call fails as well has a null completion and the last error's text.
+    """
+
+    def tried(asked: list[str]) -> tuple[list[str | None], str | None]:
+        said = None
         for _ in range(retries):
             try:
-                return pa.array(completer(asked), pa.string())
-            except Exception:  # noqa: BLE001  whatever a client raises
-                continue
-        return pa.array([None] * len(asked), pa.string())
+                return list(completer(asked)), None
+            except Exception as e:  # noqa: BLE001  whatever a client raises
+                said = f"{type(e).__name__}: {e}"
+        return [None] * len(asked), said
 
-    return df.withColumn(name, F.arrow_udf(run, "string")(F.col(prompt)))
+    def run(prompts: pa.Array) -> pa.Array:
+        asked = prompts.to_pylist()
+        done, error = tried(asked)
+        rows = [(d, error) for d in done]
+        if error and len(asked) > 1:
+            rows = [(d[0], e) for d, e in (tried([p]) for p in asked)]
+        return pa.array([{"text": d, "error": e} for d, e in rows], pa.struct([("text", pa.string()), ("error", pa.string())]))
+
+    asked = df.withColumn("_c", F.arrow_udf(run, "struct<text: string, error: string>")(F.col(prompt)))
+    return asked.withColumns({name: F.col("_c.text"), f"{name}_error": F.col("_c.error")}).drop("_c")
 
 
 def with_perplexity(df: DataFrame, context: str, target: str, scorer: Scorer = context_perplexity, name: str = "ppl") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -13,10 +14,15 @@ from pyspark.sql.window import Window
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset, one beside the warehouse, which executors share as well."""
+    """The shared folder of spark.checkpoint.dir.
+
+    Where it is unset, one below the warehouse is taken and set; on a cluster that must not be a folder of one machine.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if root.startswith(("file:", "/")) and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 

@@ -20,18 +20,18 @@ def process_new(source: DataFrame, key: str, transform, target: str, checkpoint:
 
 
 def upsert_stream(source: DataFrame, key: str, target: str, checkpoint: str):
-    """Keep the last row of each key in *target*: versions are written by batch, the newest is what counts."""
+    """Keep the last row of each key in *target*: versions are written by batch and place in it, the newest is what counts."""
 
     def each(batch: DataFrame, version: int) -> None:
-        batch.withColumn("_version", F.lit(version)).write.mode("append").parquet(target)
+        batch.withColumns({"_version": F.lit(version), "_place": F.monotonically_increasing_id()}).write.mode("append").parquet(target)
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest(spark: SparkSession, target: str, key: str) -> DataFrame:
     rows = spark.read.parquet(target)
-    others = [c for c in rows.columns if c not in (key, "_version")]
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), "_version").alias("r"))
+    others = [c for c in rows.columns if c not in (key, "_version", "_place")]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct("_version", "_place")).alias("r"))
     return best.select(key, "r.*")
 
 

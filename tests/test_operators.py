@@ -151,7 +151,14 @@ def test_models(spark):
     def broken(prompts):
         raise OSError
 
-    assert [r.completion for r in models.with_completion(df, "t", broken).collect()] == [None] * 3
+    assert [(r.completion, r.completion_error) for r in models.with_completion(df, "t", broken).collect()] == [(None, "OSError: ")] * 3
+
+    def picky(prompts):
+        if None in prompts:
+            raise ValueError("no prompt")
+        return [p.upper() for p in prompts]
+
+    assert [(r.completion, r.completion_error) for r in models.with_completion(df.coalesce(1), "t", picky).collect()] == [("A B", None), (None, "ValueError: no prompt"), ("", None)]
     trace = models.iterate(lambda p: 10.0, lambda p, s: p + "x", "p")
     assert [t["score"] for t in trace] == [10.0] * 3
 
