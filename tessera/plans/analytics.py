@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions import text as x
 from tessera.operators import aggregates as agg
 from tessera.plans import frames as f
 from tessera.plans.registry import query
@@ -157,10 +158,15 @@ def dims_by_values(spark, d):
 
 # --- cases of an evaluation run: a case for each order; its parts are what was found, those sent back the evidence
 
-CASES = """c AS (SELECT o_orderkey id, o_orderpriority question_type, o_custkey % 7 <> 0 answerable, o_totalprice > 1000 valid, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END answer, o_orderstatus = 'F' AND o_totalprice > 300000 err,
+CASES = """c AS (SELECT o_orderkey id, o_orderpriority question_type, o_custkey % 7 <> 0 answerable, o_totalprice > 1000 valid, CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_custkey % 11 = 0 THEN 'unknown' ELSE o_orderpriority END answer, o_orderstatus = 'F' AND o_totalprice > 300000 err,
+  o_orderpriority || ' ' || (o_custkey % 10) reference, CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 20)::VARCHAR END gold_text,
   list(l_partkey) FILTER (l_quantity > 25) top, list(l_partkey) FILTER (l_returnflag = 'R') gold FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
-b0 AS (SELECT *, coalesce(len(gold), 0) > 0 has_gold, coalesce(list_has_any(top, gold), false) hit, coalesce(len(top), 0) = 0 no_top FROM c),
-b AS (SELECT *, list_filter([CASE WHEN has_gold AND NOT hit THEN 'retrieval_miss_at_k' END, CASE WHEN err THEN 'system_error' END, CASE WHEN no_top THEN 'empty_retrieval' END, CASE WHEN answerable AND answer = '' THEN 'empty_answer' END, CASE WHEN NOT answerable AND answer <> '' AND NOT answer LIKE '%SPECIFIED%' THEN 'out_of_scope_answer_candidate' END], lambda x: x IS NOT NULL) labels FROM b0)"""
+b0 AS (SELECT *, coalesce(len(gold), 0) > 0 has_gold, coalesce(list_has_any(top, gold), false) hit, coalesce(len(top), 0) = 0 no_top,
+  coalesce(len(list_filter(top, lambda p: contains(p::VARCHAR, gold_text))) > 0, false) text_hit, len(list_filter(regexp_extract_all(reference, '\\d+'), lambda n: NOT list_contains(regexp_extract_all(answer, '\\d+'), n))) > 0 number_missing,
+  regexp_extract_all(lower(answer), '[a-z0-9]+') said, regexp_extract_all(lower(reference), '[a-z0-9]+') want FROM c),
+b1 AS (SELECT *, len(list_filter(list_distinct(said), lambda t: list_contains(want, t))) shared FROM b0),
+b AS (SELECT *, list_filter([CASE WHEN has_gold AND NOT hit THEN 'retrieval_miss_at_k' END, CASE WHEN NOT has_gold AND gold_text IS NOT NULL AND NOT text_hit THEN 'retrieval_miss_at_k_candidate' END, CASE WHEN err THEN 'system_error' END, CASE WHEN no_top THEN 'empty_retrieval' END, CASE WHEN answerable AND answer = '' THEN 'empty_answer' END,
+  CASE WHEN answerable AND number_missing THEN 'reference_number_missing_candidate' END, CASE WHEN answerable AND 2 * shared < 0.2 * (len(said) + len(want)) THEN 'low_reference_overlap_candidate' END, CASE WHEN NOT answerable AND answer <> '' AND NOT answer LIKE '%SPECIFIED%' THEN 'out_of_scope_answer_candidate' END], lambda x: x IS NOT NULL) labels FROM b1)"""
 
 
 def _cases(spark, d):
@@ -169,13 +175,20 @@ def _cases(spark, d):
     none = F.array().cast("array<bigint>")
     c = o.join(lists, o.o_orderkey == lists.l_orderkey, "left").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("question_type"), (F.col("o_custkey") % 7 != 0).alias("answerable"), (F.col("o_totalprice") > 1000).alias("valid"),
-        F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority")).alias("answer"), ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000)).alias("err"),
+        F.when(F.col("o_orderstatus") == "P", "").when(F.col("o_custkey") % 11 == 0, "unknown").otherwise(F.col("o_orderpriority")).alias("answer"),
+        F.concat("o_orderpriority", F.lit(" "), F.col("o_custkey") % 10).alias("reference"), F.when(F.col("o_custkey") % 3 == 0, (F.col("o_custkey") % 20).cast("string")).alias("gold_text"), ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000)).alias("err"),
         F.coalesce("top", none).alias("top"), F.coalesce("gold", none).alias("gold"),
     )
     c = c.withColumns({"has_gold": F.size("gold") > 0, "hit": F.arrays_overlap("top", "gold"), "no_top": F.size("top") == 0})
     ask, said = F.col("answerable"), F.col("answer") != ""
+    text_hit = F.exists("top", lambda p: F.contains(p.cast("string"), F.col("gold_text")))
+    missing = F.size(F.array_except(x.numbers(F.col("reference")), x.numbers(F.col("answer")))) > 0
+    # words stand once in references and answers, so shared ones are those of both sets
+    told, want = x.tokens(F.col("answer")), x.tokens(F.col("reference"))
+    low = 2 * F.size(F.array_intersect(told, want)) < 0.2 * (F.size(told) + F.size(want))
     labels = agg.case_labels(
-        retrieval_miss_at_k=F.col("has_gold") & ~F.col("hit"), system_error=F.col("err"), empty_retrieval=F.col("no_top"), empty_answer=ask & ~said,
+        retrieval_miss_at_k=F.col("has_gold") & ~F.col("hit"), retrieval_miss_at_k_candidate=~F.col("has_gold") & F.col("gold_text").isNotNull() & ~text_hit, system_error=F.col("err"),
+        empty_retrieval=F.col("no_top"), empty_answer=ask & ~said, reference_number_missing_candidate=ask & missing, low_reference_overlap_candidate=ask & low,
         out_of_scope_answer_candidate=~ask & said & ~F.contains("answer", F.lit("SPECIFIED")),
     )
     return c.withColumn("labels", labels)
