@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tessera.scratch import discard, indexed, materialize
 
 #: Length of the pieces that are looked up.
 PIECE = 3
+#: Pairs that a task compares.
+PAIRS = 1000
 
 
 def errors(m: int) -> int:
@@ -20,17 +23,29 @@ def errors(m: int) -> int:
     return -(-m // 4) - 1
 
 
-def pieces(text: str) -> tuple[Counter, int]:
+def piece_size(m: int) -> int:
+    """Length of the pieces of a text of *m* characters: there are more of them than errors()."""
+    return 2 if m == 5 else min(PIECE, m)
+
+
+def codes(text: str, size: int) -> np.ndarray:
+    """A number for each stretch of *size* characters, up to PIECE, by place; stretches of different sizes differ."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    n = max(0, len(c) - size + 1)
+    out = np.zeros(n, np.int64)
+    for k in range(PIECE):
+        out = out << 21 | (c[k : k + n] if k < size else 0)
+    return out
+
+
+def pieces(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Pieces of *text* end to end, how often each stands there, and how many of them every near copy holds.
 
     Each edit changes one piece at most, so all but errors() of them stand unchanged in a near copy.
     """
-    m = len(text)
-    if not m:
-        return Counter(), 1
-    size = 2 if m == 5 else min(PIECE, m)
-    found = Counter(text[i : i + size] for i in range(0, m - size + 1, size))
-    return found, found.total() - errors(m)
+    size = piece_size(len(text))
+    found, n = np.unique(codes(text, size)[::size], return_counts=True) if size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return found, n, max(1, int(n.sum()) - errors(len(text)))
 
 
 class Pattern:
@@ -69,30 +84,35 @@ class Pattern:
         return any(self.distance(text[j - m : j]) <= most for _, j in ends)
 
 
+@lru_cache(256)
+def pattern(text: str) -> Pattern:
+    """Pairs of one short text mostly come together."""
+    return Pattern(text)
+
+
 def is_near(a: str, b: str) -> bool:
     """Whether the shorter text is within fewer edits than a quarter of its length of a window of the longer one."""
     short, long = (b, a) if len(a) > len(b) else (a, b)
-    return bool(short) and (short in long or Pattern(short).near(long, errors(len(short))))
+    return bool(short) and (short in long or pattern(short).near(long, errors(len(short))))
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text the grams that it holds (n null), and its own pieces, with how often (n) and how many of all are needed."""
-    names = ["_i", "_by", "_len", "gram", "n", "need"]
-    for batch in batches:
-        rows: list[tuple] = []
-        for i, by, text in zip(*(batch.column(c).to_pylist() for c in ("_i", "_by", "_t")), strict=True):
-            m = len(text)
-            held = {text[k : k + size] for size in range(1, PIECE + 1) for k in range(m - size + 1)}
-            own, need = pieces(text)
-            rows += [(i, by, m, g, None, None) for g in held]
-            rows += [(i, by, m, g, n, need) for g, n in own.items()]
-            if len(rows) > 200_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], _GRAMS)
-                rows = []
-        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], _GRAMS)
+def _grams(sizes: list[int]):
+    """For each text the grams of *sizes* that it holds (n null), and its own pieces, with how often (n) and how many of all are needed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, by, text in zip(*(batch.column(c).to_pylist() for c in ("_i", "_by", "_t")), strict=True):
+                held = np.concatenate([np.unique(codes(text, k)) for k in sizes])
+                own, n, need = pieces(text)
+                rows = len(held) + len(own)
+                lone = pa.nulls(len(held), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(i, pa.int64()), rows), pa.repeat(pa.scalar(by, pa.int64()), rows), pa.repeat(pa.scalar(len(text), pa.int32()), rows), pa.array(np.concatenate([held, own])),
+                     pa.concat_arrays([lone, pa.array(n, pa.int32())]), pa.concat_arrays([lone, pa.repeat(pa.scalar(need, pa.int32()), len(own))])],
+                    ["_i", "_by", "_len", "gram", "n", "need"],
+                )
 
-_GRAMS = pa.schema([("_i", pa.int64()), ("_by", pa.int64()), ("_len", pa.int32()), ("gram", pa.string()), ("n", pa.int32()), ("need", pa.int32())])
+    return run
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:
@@ -101,7 +121,11 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     The pieces of the shorter text are joined to the grams of the longer one, and summed by pair: a plain equi-join, whose hot grams
     adaptive execution deals out. Only pairs that hold as many pieces as a near copy must are compared.
     """
-    grams = materialize(texts.select("_i", "_by", "_t").mapInArrow(_grams, "_i long, _by long, _len int, gram string, n int, need int"), "grams")
+    size = F.when(F.length("_t") == 5, 2).otherwise(F.least(F.lit(PIECE), F.length("_t")))
+    sizes = sorted(r.k for r in texts.select(size.alias("k")).distinct().collect() if r.k)  # PIECE numbers at most
+    if not sizes:
+        return texts.select(F.col("_i").alias("a"), F.col("_i").alias("b")).limit(0)
+    grams = materialize(texts.select("_i", "_by", "_t").mapInArrow(_grams(sizes), "_i long, _by long, _len int, gram long, n int, need int"), "grams")
     long = grams.filter("n IS NULL").select("_by", "gram", F.col("_i").alias("l"), F.col("_len").alias("l_len"))
     short = grams.filter("n IS NOT NULL").select("_by", "gram", F.col("_i").alias("s"), F.col("_len").alias("s_len"), "n", "need")
     larger = (F.col("l_len") > F.col("s_len")) | ((F.col("l_len") == F.col("s_len")) & (F.col("l") > F.col("s")))
@@ -112,7 +136,9 @@ def near_pairs(texts: DataFrame) -> DataFrame:
         return pa.array([is_near(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
     s, l = (texts.select(F.col("_i").alias(k), F.col("_t").alias(f"{k}_t")) for k in ("s", "l"))  # noqa: E741
-    near = some.join(s, "s").join(l, "l").filter(F.arrow_udf(compared, "boolean")("s_t", "l_t"))
+    # comparing costs far more than reading, so tasks are cut by the number of pairs, not by bytes
+    tasks = max(1, some.count() // PAIRS)
+    near = some.join(s, "s").join(l, "l").repartition(tasks, "s", "l").filter(F.arrow_udf(compared, "boolean")("s_t", "l_t"))
     out = materialize(near.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")), "near")
     discard(grams, some)
     return out
