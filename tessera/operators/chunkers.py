@@ -23,6 +23,19 @@ def split_sentences(text: str, ends: str = ".!?;") -> list[str]:
     return [s.strip() for s in found if s.strip()]
 
 
+def metric_sentences(text: str, least: int = 5) -> list[str]:
+    """Sentences with their end mark, of *least* characters or more; a Latin mark ends one only before white space or the end."""
+    found, held = [], ""
+    for part in re.split(r"([。！？\n]|[.!?](?=\s|$))", text):
+        if part in tuple("。！？.!?"):
+            found.append(held + part)
+            held = ""
+            continue
+        found.append(held)
+        held = "" if part == "\n" else part
+    return [s.strip() for s in [*found, held] if len(s.strip()) >= least]
+
+
 def pack(parts: list[str], limit: int, joiner: str = "\n") -> list[str]:
     """Parts in turn while they fit; a part over the limit stands alone."""
     out, held, size = [], [], 0

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text as x
 from tessera.functions.vectors import cosine
-from tessera.operators import alignment, chunkers, coref, dims, fuzzy, lsa, models, rounds, thresholds, vector
+from tessera.operators import alignment, chunkers, coref, dims, fuzzy, lsa, models, rounds, tasks, thresholds, vector
 from tessera.plans import frames as f
 from tessera.plans.registry import query
 from tessera.plans.texts import _qa, char_ppl
@@ -180,3 +180,13 @@ def dim_optimize(spark, d):
     """Tags after their dimensions were decided on until nothing changes: how many of each are left."""
     tags, n = f.tags(spark, d), f.t(spark, d, "documents").count()
     return dims.optimize(tags, n).tags.groupBy("dim", "tag").agg(F.count("*").alias("n"))
+
+
+@query()
+def task_scores(spark, d):
+    """Conversations as three tasks: what is said before a turn as its summary, the turn before as what it goes on from, the turn itself without its last word as an edit."""
+    qa = _qa(spark, d)
+    parts = [qa.select(F.lit(name).alias("task"), "id", ref.alias("reference"), gen.alias("generated")) for name, ref, gen in (
+        ("summary", F.col("a"), F.col("q")), ("continuation", F.col("q"), F.col("a")), ("edit", F.col("a"), F.regexp_replace("a", r"\s+\S+\s*$", "")),
+    )]
+    return tasks.overall(tasks.scores(parts[0].unionByName(parts[1]).unionByName(parts[2])))

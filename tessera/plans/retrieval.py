@@ -421,3 +421,16 @@ def hits_map_mrr(spark, d):
 @query(f"{REL} SELECT query_id, bool_or(ok AND rank <= 5) AS hit, min(rank) FILTER (ok) AS first_rank FROM r GROUP BY query_id")
 def hit_at_k(spark, d):
     return _relevant(spark, d).groupBy("query_id").agg(F.bool_or(F.col("ok") & (F.col("rank") <= 5)).alias("hit"), F.min(F.when(F.col("ok"), F.col("rank"))).cast("long").alias("first_rank"))
+
+
+@query(f"WITH {f.sem_sql(10)} SELECT query_id, chunk_id, round(1 - score, 6) AS distance, round(1 - round(1 - score, 6), 6) AS similarity FROM sem")
+def distance_similarity(spark, d):
+    """What a store answers with, distances, back to similarities."""
+    found = f.sem(spark, d, 10).select("query_id", "chunk_id", F.round(1 - F.col("score"), 6).alias("distance"))
+    return found.withColumn("similarity", F.round(1 - F.col("distance"), 6))
+
+
+@query(f"WITH {f.sem_sql(50)} SELECT query_id, chunk_id, score, rank, 'dim' AS source FROM sem")
+def dim_recall_vec(spark, d):
+    """Recall by vectors that stands in for that by dimensions, told apart by its source."""
+    return f.sem(spark, d, 50).withColumn("source", F.lit("dim"))

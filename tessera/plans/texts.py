@@ -334,7 +334,11 @@ def set_prf(spark, d):
 
 def _bleu(spark, d):
     """Precisions and the length penalty, counted row by row: nothing is exchanged but to pair the turns."""
-    qa = _qa(spark, d).select("id", x.tokens(F.col("q")).alias("ref"), x.tokens(F.col("a")).alias("hyp"))
+    return bleu_parts(_qa(spark, d).select("id", x.tokens(F.col("q")).alias("ref"), x.tokens(F.col("a")).alias("hyp")))
+
+
+def bleu_parts(qa):
+    """(id, p1 to p4, bp) of rows (id, ref, hyp: words)."""
     k = qa.select("id", F.size("hyp").alias("h"), F.size("ref").alias("r"), overlaps.clipped("hyp", "ref", 4).alias("k"))
     ps = [(F.col("k")[n] / F.greatest(F.col("h") - n, F.lit(1))).alias(f"p{n + 1}") for n in range(4)]
     bp = F.when(F.col("h") == 0, 0.0).when(F.col("h") < F.col("r"), F.exp(1 - F.col("r") / F.col("h"))).otherwise(1.0)
@@ -648,3 +652,14 @@ def ranking_repair(spark, d):
     cut = whole.select("id", "n", F.substr("t", F.lit(1), ((F.col("id") * 37) % (F.length("t") + 40)).cast("int")).alias("t"))
     kept = cut.select("id", nested.repaired(F.col("t"), F.col("n")).alias("r")).filter("r IS NOT NULL")
     return kept.select("id", F.array_join(F.transform("r.ranking", lambda e: F.concat(e.rank, F.lit(":"), e.method)), ",").alias("entries"), "r.partial", "r.truncated")
+
+
+@query(f"{PAIR}, g AS (SELECT n2.n k, ln((n2.n + 1) / (n1.n + 65536)) lp FROM n2 JOIN n1 USING (a)) SELECT sum(k)::BIGINT AS scored, round(-sum(k * lp) / sum(k), 6) AS mean_log_ppl, round(exp(least(-sum(k * lp) / sum(k), 20)), 4) AS ppl FROM g")
+def corpus_ppl(spark, d):
+    """Perplexity of all documents together: all losses over all that was scored, by the model that their pairs of characters make."""
+    c = f.t(spark, d, "documents").select(F.explode(x.runs(F.col("text"))).alias("g")).groupBy("g").agg(F.count("*").alias("k"))
+    c = materialize(c, "pairs")
+    n1 = c.groupBy(F.left("g", F.lit(1)).alias("a")).agg(F.sum("k").alias("n1"))
+    lost = c.join(n1, F.left("g", F.lit(1)) == F.col("a")).select("k", (-F.col("k") * F.ln((F.col("k") + 1) / (F.col("n1") + 65536))).alias("s"))
+    mean = F.col("s") / F.col("n")
+    return lost.agg(F.sum("k").alias("n"), F.sum("s").alias("s")).select(F.col("n").alias("scored"), F.round(mean, 6).alias("mean_log_ppl"), F.round(F.exp(F.least(mean, F.lit(20.0))), 4).alias("ppl"))

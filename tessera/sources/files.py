@@ -35,13 +35,41 @@ def first_of(df: DataFrame, names: list[str]) -> Column:
 
 
 def chunk_json(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text) of records whose id and text go by several names."""
+    """(doc_id, text) of a file of records whose id and text go by several names, bare or in a wrapper.
+
+    A record without text has that of its own chunks, joined by blank lines; one without id is named by its place. Records without either text are left out.
+    """
     df = spark.read.option("multiLine", True).json(path)
     for wrapper in ("chunks", "documents", "docs", "data", "items"):
-        if wrapper in df.columns and dict(df.dtypes)[wrapper].startswith("array<struct"):
-            df = df.select(F.explode_outer(wrapper).alias("r")).select("r.*")
+        kind = dict(df.dtypes).get(wrapper, "")
+        if kind.startswith("array<struct") and not {"id", "doc_id", "docid"} & set(df.columns):
+            df = df.select(F.posexplode_outer(wrapper).alias("_i", "r")).select("_i", "r.*")
             break
-    return df.select(first_of(df, ["id", "doc_id", "docid"]).alias("doc_id"), first_of(df, ["text", "doc_text", "content", "chunk_text"]).alias("text"))
+    else:
+        df = indexed(df.withColumn("_row", F.monotonically_increasing_id()), ["_row"], "_i").drop("_row")
+    text = first_of(df, ["text", "doc_text", "content", "chunk_text"])
+    if dict(df.dtypes).get("chunks", "").startswith("array<struct"):
+        names = [f.name for f in df.schema["chunks"].dataType.elementType.fields]
+        own = lambda c: F.coalesce(*[F.when(c[n] != "", c[n].cast("string")) for n in ("chunk_text", "text", "content") if n in names], F.lit(None).cast("string"))
+        parts = F.filter(F.transform("chunks", own), lambda t: t.isNotNull())
+        text = F.coalesce(text, F.when(F.size(parts) > 0, F.array_join(parts, "\n\n")))
+    named = F.coalesce(first_of(df, ["id", "doc_id", "docid"]), F.format_string("chunk_%06d", "_i"))
+    return df.select(named.alias("doc_id"), text.alias("text")).filter("text IS NOT NULL")
+
+
+def clean_questions(spark: SparkSession, path: str, categories: tuple[str, ...] = ("questanswer_1doc", "questanswer_2docs", "questanswer_3docs")) -> DataFrame:
+    """(category, id, question, answer) of a file with a list for each category; rows whose question or answer is blank are left out."""
+    df = spark.read.option("multiLine", True).json(path)
+    parts = []
+    for c in categories:
+        if not dict(df.dtypes).get(c, "").startswith("array<struct"):
+            continue
+        r = df.select(F.explode(c).alias("r")).select("r.*")
+        parts.append(r.select(F.lit(c).alias("category"), *[(F.trim(F.col(n).cast("string")) if n in r.columns else F.lit(None).cast("string")).alias(a) for n, a in (("ID", "id"), ("questions", "question"), ("answers", "answer"))]))
+    out = spark.createDataFrame([], "category string, id string, question string, answer string")
+    for p in parts:
+        out = out.unionByName(p)
+    return out.filter("question <> '' AND answer <> ''")
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:

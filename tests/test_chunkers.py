@@ -118,3 +118,10 @@ def test_iterations_of_every_prompt(spark):
     df = spark.createDataFrame([(1, "short"), (2, "x" * 400), (3, None)], "id long, p string")
     got = models.with_iterations(df, "p", lambda p: min(90.0, len(p) / 4), lambda p, s: p + " Be exact.", most=3).collect()
     assert sorted((r.id, r["round"], r.n_chars) for r in got) == [(1, 0, 5), (1, 1, 15), (1, 2, 25), (1, 3, 35), (2, 0, 400)]
+
+
+def test_sentences_of_the_metrics():
+    assert chunkers.metric_sentences("版本3.5发布了。It is v1.2 now. ok. 真的很不错吗？好\n新的一行没有标点") == ["版本3.5发布了。", "It is v1.2 now.", "真的很不错吗？", "新的一行没有标点"]
+    assert chunkers.metric_sentences("end of it.") == ["end of it."] and chunkers.metric_sentences("") == []
+    for t in texts(60):
+        assert "".join("".join(chunkers.metric_sentences(t, 1)).split()) == "".join(t.split())

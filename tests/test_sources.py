@@ -62,3 +62,19 @@ def test_chunk_files_are_written_once(spark, tmp_path):
     assert files.write_chunk_files(df, path) and files.finished(spark, path)
     assert sorted(tuple(r) for r in files.read_chunk_files(spark, path).collect()) == [("chunk_000", "a b c"), ("chunk_003", "d")]
     assert not files.write_chunk_files(df.limit(0), path) and files.read_chunk_files(spark, path).count() == 2
+
+
+def test_shapes_of_chunk_files(spark, tmp_path):
+    def read(text):
+        (tmp_path / "c.json").write_text(text)
+        return sorted(tuple(r) for r in files.chunk_json(spark, str(tmp_path / "c.json")).collect())
+
+    assert read('[{"id": 1, "text": "x"}, {"id": 2, "text": " "}, {"text": "y"}]') == [("1", "x"), ("chunk_000002", "y")]
+    assert read('[{"doc_id": "a", "doc_text": "x"}]') == [("a", "x")]
+    assert read('{"documents": [{"docid": "a", "content": "x"}, {"content": "y"}]}') == [("a", "x"), ("chunk_000001", "y")]
+    assert read('[{"doc_id": "d", "file_name": "f", "chunks": [{"chunk_text": "one"}, {"chunk_text": ""}, {"chunk_text": "two"}]}, {"doc_id": "e", "chunks": []}]') == [("d", "one\n\ntwo")]
+
+
+def test_clean_questions(spark, tmp_path):
+    (tmp_path / "q.json").write_text('{"questanswer_1doc": [{"ID": "1", "questions": " q ", "answers": "a"}, {"ID": "2", "questions": " ", "answers": "a"}], "questanswer_3docs": [{"ID": "3", "questions": "q", "answers": null}, {"ID": "4", "questions": "q", "answers": "b"}], "other": [{"ID": "5"}]}')
+    assert [tuple(r) for r in files.clean_questions(spark, str(tmp_path / "q.json")).collect()] == [("questanswer_1doc", "1", "q", "a"), ("questanswer_3docs", "4", "q", "b")]
