@@ -306,7 +306,7 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 def test_queries_and_sql_agree_on_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
