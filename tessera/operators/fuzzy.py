@@ -132,13 +132,15 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     both = short.join(long, ["_by", "gram"]).filter(larger).groupBy("s", "l").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     some = materialize(both.filter("n >= need").select("s", "l"), "candidates")
 
-    def compared(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([is_near(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [is_near(x, y) for x, y in zip(batch.column("s_t").to_pylist(), batch.column("l_t").to_pylist(), strict=True)]
+            yield batch.select(["s", "l"]).filter(pa.array(near, pa.bool_()))
 
     s, l = (texts.select(F.col("_i").alias(k), F.col("_t").alias(f"{k}_t")) for k in ("s", "l"))  # noqa: E741
-    # comparing costs far more than reading, so tasks are cut by the number of pairs, not by bytes
+    # comparing costs far more than reading, so tasks are cut by the number of pairs, not by bytes; a filter would be moved before that exchange
     tasks = max(1, some.count() // PAIRS)
-    near = some.join(s, "s").join(l, "l").repartition(tasks, "s", "l").filter(F.arrow_udf(compared, "boolean")("s_t", "l_t"))
+    near = some.join(s, "s").join(l, "l").repartition(tasks, "s", "l").select("s", "l", "s_t", "l_t").mapInArrow(compared, "s long, l long")
     out = materialize(near.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b")), "near")
     discard(grams, some)
     return out
