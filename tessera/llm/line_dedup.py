@@ -12,7 +12,7 @@ maximum and, for thresholds over 2, distinct ids: a line that a third of all
 documents share costs a row for each task. The join that finds the losing
 documents is an equi-join that adaptive execution splits at such lines.
 
-Defined results: a null or empty text is one empty line (kept text: ''); rows
+Defined results: an empty table gives an empty result; a null or empty text is one empty line (kept text: ''); rows
 without a doc_id neither count nor lose lines; rows that repeat a doc_id count
 as one document and lose the same lines; all columns are handed on, but that dedup_lines
 replaces those named `n_lines`, `n_dropped` or `kept`.

@@ -18,7 +18,7 @@ white space) one by one with a heap, in n log n steps; both give the same ids.
 Decoding is lossless for every text: characters that are no piece, and the
 space mark itself where a text holds it, are bytes.
 
-Defined results: a null or empty text has no ids and decodes to ''; a null key
+Defined results: an empty table gives an empty result; a null or empty text has no ids and decodes to ''; a null key
 counts as 0; all columns are handed on, but that those named `ids` and `lossless` are replaced.
 """
 

@@ -13,7 +13,7 @@ fewer than log(delta / strata) / log(1 - alpha) labelled good documents, 86 at 5
 Features are computed in one pass over whole texts; counts are summed before
 the exchange; only a row for each stratum leaves it.
 
-Defined results: a null or empty text has no words and fails the base rules; a
+Defined results: an empty table gives an empty result; a null doc_id has no label; texts of any length are taken whole, and rows that tie are judged alike; a null or empty text has no words and fails the base rules; a
 null lang is a stratum of its own; a document with several labels is good if
 all known ones say so; repeated rows count each; other columns are handed on.
 """

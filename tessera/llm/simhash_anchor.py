@@ -20,7 +20,7 @@ the anchor go; such anchors are HOT_ANCHORS at most.
 Near copies: a link is 4 bits or fewer of the 64, as the contract fixes it. Texts with a shingle similarity of 0.8
 differ in some 9 bits on average, so about half of all near copies are linked; the README states the measured part.
 
-Defined results: a null or empty text has fingerprint 0 and links like any
+Defined results: an empty table gives an empty result; a null or empty text has fingerprint 0 and links like any
 other; a null doc_id is never a component's id unless nothing else is in it
 (then null); repeated rows are kept as they are; columns other than doc_id and
 text are not read.

@@ -21,7 +21,7 @@ before each exchange, and all further steps run on one row for each host. The
 verdicts are written first, so the planner broadcasts them only where they are
 small; else the join's hot hosts are split by adaptive execution.
 
-Defined results: a null url or one without `://` has an empty host and path and
+Defined results: an empty table gives an empty result; a null url or one without `://` has an empty host and path and
 is judged as the host ``''``; repeated pages count once for each row; a page
 with several labels counts once, bad if any label says so; labels whose
 quality and toxic are both null don't count; without labels nothing is blocked but

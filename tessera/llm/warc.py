@@ -13,7 +13,7 @@ the logarithm of a file's blocks. Only candidates that the chain reaches are
 records: the magic inside a payload starts none. Payloads that hold the
 magic lie in several fragments; these alone are read again and put together.
 
-Defined results: a null html is an empty payload; a null page_id is written
+Defined results: an empty table gives an empty result; a null html is an empty payload; a null page_id is written
 without a number and read back as null, and ranks below all others; pages that
 repeat the largest page_id of a payload are all responses; control characters
 and spaces in a url are written as %20, and urls may be of any length. A file whose chain doesn't end
