@@ -20,7 +20,7 @@ whole, and its finds are written before the next one comes. How many items share
 a shingle is counted over all items once, so the blocks don't change the result; the weights of the
 shingles that several items share go to all tasks, 9 bytes each, of which `most_shared` are allowed (ValueError beyond it).
 
-Defined results: an empty table of documents or items gives an empty result; items of fewer than five words (null and empty texts among
+Defined results: an empty table of documents gives an empty result, one of items finds nothing; items of fewer than five words (null and empty texts among
 them) have no shingle and match nothing; a null or empty document matches
 nothing; equal items each get their own match; rows that repeat a doc_id and text are treated alike; a document's
 columns stay, but that with_matches replaces one named `matches`.
