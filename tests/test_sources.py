@@ -78,3 +78,47 @@ def test_shapes_of_chunk_files(spark, tmp_path):
 def test_clean_questions(spark, tmp_path):
     (tmp_path / "q.json").write_text('{"questanswer_1doc": [{"ID": "1", "questions": " q ", "answers": "a"}, {"ID": "2", "questions": " ", "answers": "a"}], "questanswer_3docs": [{"ID": "3", "questions": "q", "answers": null}, {"ID": "4", "questions": "q", "answers": "b"}], "other": [{"ID": "5"}]}')
     assert [tuple(r) for r in files.clean_questions(spark, str(tmp_path / "q.json")).collect()] == [("questanswer_1doc", "1", "q", "a"), ("questanswer_3docs", "4", "q", "b")]
+
+
+def test_nested_answers_against_loops(spark, tmp_path):
+    import json
+    import random
+
+    from tessera.sources import answers
+
+    rnd = random.Random(3)
+    place = lambda: rnd.choice([-1, 0, 1, 2, 5, 9, 40])
+    schema = (
+        "id long, question struct<text: string>, document struct<html: string>, long_answer_candidates struct<top_level: array<boolean>, start_token: array<int>, end_token: array<int>>, "
+        "annotations struct<id: array<string>, long_answer: array<struct<start_token: int, end_token: int>>, short_answers: array<struct<text: array<string>, start_token: array<int>, end_token: array<int>>>, yes_no_answer: array<int>>"
+    )
+    rows = []
+    for i in range(40):
+        n, m = rnd.randrange(0, 15), rnd.randrange(0, 4)
+        spans = lambda k: ([place() for _ in range(k)], [place() for _ in range(k)])
+        shorts = []
+        for _ in range(m):
+            k = rnd.randrange(0, 3)
+            shorts.append((rnd.sample(["w1", "w2 w3", "no"], rnd.randrange(0, 3)), *spans(k)))
+        html = "<p>" + " ".join(f"w{k}" for k in range(rnd.randrange(0, 12))) + "</p><script>x</script>"
+        rows.append((i, (f"q{i}",), (html,), ([rnd.random() < 0.7 for _ in range(n)], *spans(n)), ([f"a{k}" for k in range(m)], [(place(), place()) for _ in range(m)], shorts, [rnd.choice([-1, 0, 1]) for _ in range(m)])))
+    rows.append((99, None, None, None, None))
+    got = {r.id: r for r in answers.records(spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == len(rows) and got["99"].document == "" and got["99"].long_answer_candidates == [] and got["99"].annotations.short_answers == []
+    for i, q, (html,), (top, start, end), (ids, longs, shorts, yes) in rows[:-1]:
+        r, words = got[str(i)], re.findall(r"w\d+", html)
+        ok = lambda s, e: 0 <= s < e and s < len(words)  # noqa: B023, E731
+        text = lambda s, e: " ".join(words[s:e])  # noqa: B023, E731
+        assert r.question == q[0] and r.document == " ".join(words)
+        assert [tuple(c) for c in r.long_answer_candidates] == [(k, s, e, text(s, e)) for k, (t, s, e) in enumerate(zip(top, start, end, strict=True)) if t and ok(s, e)][:10]
+        held = []
+        for own, s, e in shorts:
+            held += own
+            for a, b in zip(s, e, strict=True):
+                if ok(a, b) and text(a, b) not in held:
+                    held.append(text(a, b))
+        assert r.annotations.short_answers == held
+        assert [tuple(c) for c in r.annotations.long_answers] == [(a, s, e, text(s, e)) for a, (s, e) in zip(ids, longs, strict=True) if ok(s, e)]
+        assert r.annotations.yes_no_answer == next((("NO", "YES")[v] for v in yes if v >= 0), None)
+    files.write_json(answers.records(spark.createDataFrame(rows[:2], schema)), str(tmp_path / "out"))
+    assert sorted(json.loads(x)["id"] for f in (tmp_path / "out").glob("*.json") for x in f.read_text().splitlines()) == ["0", "1"]
