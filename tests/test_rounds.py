@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import rounds
+from tessera.operators import pairs, rounds
 
 
 def plain(docs, least, most, denoise=True):
@@ -89,3 +89,24 @@ def test_a_waiting_pair_is_merged_even_if_it_has_grown():
     # the best pair is the last two; the first two wait with a gain that no longer is theirs, and are merged beyond the limit, which cuts them
     out = rounds.merge_by_gain("甲乙。丙甲。丙甲。", 6)
     assert out == ["甲乙。丙甲。", "丙甲。"] and sum(map(len, out)) == 9
+
+
+@pytest.mark.parametrize("most_sent", [0, 10**6])
+def test_models_that_are_sent_and_joined_give_the_same(spark, most_sent):
+    docs = [*corpus(40), (100, None), (102, "只有一句"), (103, "a"), (104, "𠀀" * 50 + "。" + "同" * 50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.section, r.place, r.chunk_text) for r in rounds.integrated(df, 30, 60, most_sent=most_sent).collect())
+    assert got == plain(docs, 30, 60)
+    count, firsts = Counter(t[i : i + 2] for _, t in docs if t for i in range(len(t) - 1)), Counter()
+    for g, n in count.items():
+        firsts[g[0]] += n
+    want = {d: (len(t) - 1, sum(math.log((firsts[t[i]] + 65536) / (count[t[i : i + 2]] + 1)) for i in range(len(t) - 1))) for d, t in docs if t and len(t) > 1}
+    rows = {r.doc_id: r for r in pairs.sums(df, ["doc_id"], most_sent=most_sent).collect()}
+    assert {d: r.n for d, r in rows.items()} == {d: n for d, (n, _) in want.items()}
+    assert all(rows[d].loss == pytest.approx(loss) for d, (_, loss) in want.items())
+
+
+def test_sections_do_not_go_through_an_exchange(spark):
+    df = spark.createDataFrame(corpus(20), "doc_id long, text string").repartition(3)
+    for done in (rounds.integrated(df, 30, 60), rounds.enhanced(df, 30, 60)):
+        assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
