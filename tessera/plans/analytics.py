@@ -508,11 +508,11 @@ def paired_diffs(spark, d):
 
 @query("SELECT 'raw_' || c_custkey AS raw, c_custkey AS id FROM customer")
 def suffix_id_recover(spark, d):
-    """The longest valid id that a raw id ends with: its suffixes are joined to the ids."""
+    """The longest valid id that a raw id ends with: its suffixes are joined to the ids, of which there may be too many to be sent."""
     valid = f.t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("suffix"), F.col("c_custkey").alias("id"))
     raws = valid.select(F.concat(F.lit("raw_"), "suffix").alias("raw"))
     ends = raws.select("raw", F.explode(F.transform(F.sequence(F.lit(1), F.length("raw")), lambda i: F.substring(F.col("raw"), i, F.length("raw")))).alias("suffix"))
-    return ends.join(valid, "suffix").groupBy("raw").agg(F.max_by("id", F.length("suffix")).alias("id"))
+    return ends.join(valid.hint("merge"), "suffix").groupBy("raw").agg(F.max_by("id", F.length("suffix")).alias("id"))
 
 
 @query("SELECT c_nationkey AS id FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
