@@ -9,7 +9,7 @@ from dataclasses import dataclass
 class EngineConfig:
     #: Query vectors that are sent to all tasks; larger sets are dealt in blocks, against blocks of rows.
     query_block: int = 2048
-    row_block: int = 65536
+    row_block: int = 16384
 
 
 DEFAULT = EngineConfig()

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.vector import centroids, ranked, scores
+from tessera.scratch import materialize
 
 TAG = ["dim", "tag"]
+#: Rows that a task of expand() takes.
+EXPANDED = 4096
 
 
 def tag_vectors(tags: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -31,10 +34,18 @@ def expand(found: DataFrame, tags: DataFrame, k: int, extra: int = 1) -> DataFra
 
     Of each tag's chunks only the first k + *extra* ids are joined. That loses nothing: a chunk
     behind them has that many before it, which score at least as high and have smaller ids.
-    *extra* covers the query itself, which is left out.
+    *extra* covers the query itself, which is left out. Nor are tags joined that score less than one of the query's that has so many
+    chunks: all of its come first. So a query meets its best tags up to the first full one, not all. As each row becomes k + *extra*, tasks
+    are cut by the number of rows, not by bytes.
     """
-    first = tags.withColumn("n", F.row_number().over(Window.partitionBy(*TAG).orderBy("chunk_id"))).filter(F.col("n") <= k + extra).drop("n")
-    hits = found.join(first, TAG).filter("chunk_id <> query_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    place = F.dense_rank().over(Window.partitionBy(*TAG).orderBy("chunk_id"))
+    first = materialize(tags.withColumn("n", place).filter(F.col("n") <= k + extra), "first")
+    full = first.filter(F.col("n") == k + extra).select(*TAG).distinct()
+    floor = found.join(full, TAG).groupBy("query_id").agg(F.max("score").alias("_floor"))
+    some = found.join(floor, "query_id", "left").filter(F.col("_floor").isNull() | F.col("score").isNull() | (F.col("score") >= F.col("_floor")))
+    wanted = materialize(some.drop("_floor"), "wanted")
+    each = wanted.repartition(1 + wanted.count() // EXPANDED, "query_id")
+    hits = each.join(first.drop("n"), TAG).filter("chunk_id <> query_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return ranked(hits).filter(F.col("rank") <= k)
 
 

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from tessera.config import DEFAULT
 
 METRICS = ("cosine", "ip", "euclid")
+#: Blocks of queries that meet a block of rows in one task.
+DEALT = 32
 
 
 def similarities(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -58,10 +60,14 @@ def _partial(k: int, metric: str, digits: int, exclude_self: bool, same_group: b
                     scores[groups[:, None] != label[part][None, :]] = -np.inf
                 if least is not None:
                     scores[scores < least] = -np.inf
-                scores = np.concatenate([best_score, scores], axis=1)
-                every = np.concatenate([best_id, np.broadcast_to(own[part], (len(ids), len(own[part])))], axis=1)
+                # only queries with a row that may come in are ranked anew
+                new = np.flatnonzero(((scores >= best_score[:, -1:]) & np.isfinite(scores)).any(axis=1))
+                if not len(new):
+                    continue
+                scores = np.concatenate([best_score[new], scores[new]], axis=1)
+                every = np.concatenate([best_id[new], np.broadcast_to(own[part], (len(new), len(own[part])))], axis=1)
                 order = np.lexsort((every, -scores))[:, :k]
-                best_score, best_id = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
+                best_score[new], best_id[new] = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
         q, j = np.nonzero(np.isfinite(best_score))
         return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_id[q, j]), pa.array(best_score[q, j])], ["query_id", "chunk_id", "score"])
 
@@ -102,7 +108,7 @@ def topk(
     """(query_id, chunk_id, score, rank): the *k* nearest rows of *corpus* for each row of *queries*.
 
     Both have (id, vec, grp). Up to *block* queries are sent to all tasks, each of which keeps
-    the best k of its rows. More are dealt in blocks, as are the rows, and each pair of blocks is a task's;
+    the best k of its rows. More are dealt in DEALT blocks together, as are the rows, and each pair of those is a task's;
     neither side goes to the driver. The final exchange holds k rows for each query and task.
     Scores are rounded to *digits*; equal ones go by id. With *same_group* a filter on grp
     comes before the ranking, so it costs no recall.
@@ -127,10 +133,11 @@ def topk(
     else:
 
         def pair(own: pa.Table, others: pa.Table) -> pa.Table:
-            found = best(own, others.to_batches())
-            return pa.Table.from_batches([] if found is None else [found], schema=TOPK)
+            found = [best(own.slice(at, block), others.to_batches()) for at in range(0, own.num_rows, block)]
+            return pa.Table.from_batches([x for x in found if x is not None], schema=TOPK)
 
-        left, right = _blocks(rows, rows.count(), wanted, n, block, row_block)
+        # rows are many and queries few: rows are sent once for DEALT blocks of queries, which their task takes one by one
+        left, right = _blocks(rows, rows.count(), wanted, n, DEALT * block, row_block)
         found = left.groupBy("_q", "_r").cogroup(right.groupBy("_q", "_r")).applyInArrow(pair, kinds)
     return ranked(found).filter(F.col("rank") <= k)
 

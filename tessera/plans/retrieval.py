@@ -30,7 +30,7 @@ def euclid_topk(spark, d):
 
 @query(f"{HEAD}, r AS ({f.rank('sims', 5)}) SELECT query_id, count(*) AS n, round(avg(score), 6) AS mean_score, string_agg(chunk_id::varchar, ',' ORDER BY rank) AS ids FROM r GROUP BY query_id")
 def batch_topk(spark, d):
-    best = vector.topk(f.emb(spark, d), f.queries(spark, d), 5, block=8)
+    best = vector.topk(f.emb(spark, d), f.queries(spark, d), 5)
     ids = F.expr("array_join(transform(sort_array(collect_list(struct(rank, chunk_id))), x -> string(x.chunk_id)), ',')")
     return best.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), ids.alias("ids"))
 

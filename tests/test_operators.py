@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.operators import chunkers, coref, fusion, graphs, models, overlaps, vector
+from tessera.operators import chunkers, coref, fusion, graphs, models, overlaps, recall, vector
 from tessera.sources import files
 from tessera.streaming import incremental
 
@@ -198,3 +198,30 @@ def test_embeddings_are_of_whole_texts(spark):
     assert by[0] != by[1] and len(by[2]) == len(by[0])
     clipped = {r.doc_id: r.embedding for r in models.with_embedding(df, "text", clip=2000).collect()}
     assert clipped[0] == clipped[1]
+
+
+def test_rows_are_sent_once_for_many_blocks_of_queries(spark):
+    df = spark.range(400).select("id", F.array(*[F.sin(F.col("id") * k) for k in (1.0, 2.0, 3.0)]).alias("vec"), F.lit(0).alias("grp"))
+    plan = vector.topk(df, df, 3, block=20, row_block=100)
+    parts = vector._blocks(df, 400, df, 400, vector.DEALT * 20, 100)[1]
+    assert parts.count() == 400 and plan.count() == 1200
+    want = {(r.query_id, r.chunk_id) for r in vector.topk(df, df, 3).collect()}
+    assert {(r.query_id, r.chunk_id) for r in plan.collect()} == want
+
+
+def test_tags_behind_a_full_one_are_not_joined(spark):
+    tags = spark.createDataFrame([(i, "d", f"t{i % 7}") for i in range(300)] * 2 + [(i, "e", f"u{i % 90}") for i in range(300)], "chunk_id long, dim string, tag string")
+    rng = np.random.default_rng(2)
+    found = [(q, d, f"{t}{k}", float(rng.integers(0, 6)) / 10) for q in range(12) for d, t, n in (("d", "t", 7), ("e", "u", 90)) for k in rng.choice(n, 6, False)]
+    held = {}
+    for c, d, t in {tuple(r) for r in tags.collect()}:
+        held.setdefault((d, t), set()).add(c)
+    want = set()
+    for q in range(12):
+        best = {}
+        for a, d, t, s in found:
+            for c in held[d, t] - {q} if a == q else ():
+                best[c] = max(best.get(c, 0.0), s)
+        want |= {(q, c, k) for k, (c, _) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20], 1)}
+    got = recall.expand(spark.createDataFrame(found, "query_id long, dim string, tag string, score double"), tags, 20)
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in got.collect()} == want
