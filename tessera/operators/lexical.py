@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as x
@@ -93,3 +94,19 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
         best = _best(k, own, mine, idf, sizes["mean"] or 1.0, k1, b)
         out = out.unionByName(posted.mapInArrow(best, "query_id long, chunk_id long, score double"))
     return ranked(out).filter(F.col("rank") <= k)
+
+
+def counted(tokens: Column) -> Column:
+    """An array of (t, n): the distinct tokens of each array, and how often each stands there."""
+    kind = pa.struct([("t", pa.string()), ("n", pa.int64())])
+
+    def run(lists: pa.Array) -> pa.Array:
+        sizes, parts = [0], []
+        for x in lists:
+            found = pc.value_counts(x.values) if x.is_valid and len(x.values) else None
+            sizes.append(sizes[-1] + (len(found) if found is not None else 0))
+            if found is not None:
+                parts.append(pa.StructArray.from_arrays([found.field("values"), found.field("counts")], fields=list(kind)))
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.concat_arrays(parts) if parts else pa.array([], kind))
+
+    return F.arrow_udf(run, "array<struct<t: string, n: bigint>>")(tokens)

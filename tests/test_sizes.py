@@ -1,7 +1,10 @@
 """What a query holds or sends doesn't follow its input."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from tessera.operators import chunkers
+from tessera.operators import chunkers, lexical
+from tessera.plans import texts
 
 
 def test_ids_are_not_sent_to_all_tasks(spark, sf_dir):
@@ -17,3 +20,19 @@ def test_chunks_are_given_back_by_characters(spark, monkeypatch):
     monkeypatch.setattr(chunkers, "CHARS", 300)
     assert sorted(map(tuple, chunkers.chunk(df, "model_pack", size=20).collect())) == whole
     assert {r[0] for r in whole} == set(range(40))
+
+
+def test_terms_of_a_document_are_counted_without_an_exchange(spark, sf_dir):
+    terms = texts._terms(spark, sf_dir)
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None), (4, ["b"])], "id int, w array<string>")
+    got = {r.id: sorted((x.t, x.n) for x in r.c) for r in df.select("id", lexical.counted(F.col("w")).alias("c")).collect()}
+    assert got == {1: [("a", 2), ("b", 1)], 2: [], 3: [], 4: [("b", 1)]}
+
+
+def test_sources_of_pairs_as_bits_and_counted_are_the_same(spark):
+    rows = spark.createDataFrame([("x", ["a", "b", "a", "b"]), ("y", ["a", "b"]), (None, ["b", "a"]), ("x", ["c"]), ("z", None), ("x", [])], "source string, words array<string>")
+    want = [("a b", 2, "x", False), ("b a", 2, "x", False)]
+    for most in (60, 2):
+        assert sorted(map(tuple, texts.gram_sources(rows, most).collect())) == want
+    assert texts.gram_sources(rows)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
