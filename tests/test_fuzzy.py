@@ -85,3 +85,48 @@ def test_one_list_and_no_rows(spark):
 def test_chains_are_settled_in_order(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long")
     assert sorted(r.b for r in fuzzy.dropped(pairs).collect()) == [1, 3, 5, 7, 9]
+
+
+def sentences(rnd, n, letters="eeettaaoinshrdlucmfgypw   ", longest=200):
+    texts = []
+    for _ in range(n):
+        t = "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, longest)))
+        chars = list(rnd.choice([*texts, t])) if rnd.random() < 0.4 else list(t)
+        for _ in range(rnd.randrange(2 + len(chars) // 6)):
+            at = rnd.randrange(len(chars) + 1)
+            chars[at : at + rnd.randrange(2)] = rnd.choice([[], ["é"], ["x"]])
+        texts.append("".join(chars) + ("日本" * rnd.randrange(1, 600) if rnd.random() < 0.05 else ""))
+    return [t for t in texts if t]
+
+
+def test_the_bound_misses_no_near_copy_and_leaves_few_others():
+    rnd = random.Random(6)
+    texts = sorted(varied(rnd, 40) + sentences(rnd, 60), key=len)
+    texts = [t for t in texts if t]
+    s, l = np.triu_indices(len(texts), 1)  # noqa: E741
+    near = {k for k in range(len(s)) if fuzzy.is_near(texts[s[k]], texts[l[k]])}
+    left = set(fuzzy.possible(texts, np.zeros(len(texts), np.int64), s, l).tolist())
+    assert near and near <= left
+    long = {k for k in range(len(s)) if len(texts[s[k]]) > 60}
+    assert len((left - near) & long) < 0.1 * len(long)
+
+
+def test_blocks_of_a_list_and_no_rows_by_grams(spark, monkeypatch):
+    rnd = random.Random(7)
+    texts = list(dict.fromkeys(sentences(rnd, 40)))
+    rows = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "_i long, _by long, _t string")
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if (b - a) % 2 == 0 and fuzzy.is_near(texts[a], texts[b])}
+    written = []
+    plain = fuzzy.materialize
+
+    def counted(df, name="stage"):
+        out = plain(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(fuzzy, "materialize", counted)
+    assert sorted(map(tuple, fuzzy.near_pairs(rows).collect())) == sorted(want)
+    assert len(want) > 5 and max(written[:-1]) <= 2  # a row for each list: no table of grams
+    monkeypatch.setattr(fuzzy, "CHARS", 1000)
+    monkeypatch.setattr(fuzzy, "PAIRS", 5)
+    assert sorted(map(tuple, fuzzy.near_pairs(rows).collect())) == sorted(want)
