@@ -11,12 +11,12 @@ from tessera.scratch import materialize
 
 TAG = ["dim", "tag"]
 #: Rows that a task of expand() takes.
-EXPANDED = 4096
+EXPANDED = 512
 
 
 def tag_vectors(tags: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(dim, tag, vec): the mean vector of each tag's chunks; *vectors* is (id, vec)."""
-    return centroids(tags.join(vectors.select(F.col("id").alias("chunk_id"), "vec"), "chunk_id"), *TAG)
+    """(dim, tag, vec): the mean vector of each tag's chunks; *vectors* is (id, vec), joined by a merge: a planner that takes their file for small would have every task hold them all."""
+    return centroids(tags.join(vectors.select(F.col("id").alias("chunk_id"), "vec").hint("merge"), "chunk_id"), *TAG)
 
 
 def tag_similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.operators import chunkers, lexical
-from tessera.plans import texts
+from tessera.operators import chunkers, lexical, recall
+from tessera.plans import frames, texts
 
 
 def test_ids_are_not_sent_to_all_tasks(spark, sf_dir):
@@ -36,3 +36,17 @@ def test_sources_of_pairs_as_bits_and_counted_are_the_same(spark):
     for most in (60, 2):
         assert sorted(map(tuple, texts.gram_sources(rows, most).collect())) == want
     assert texts.gram_sources(rows)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_vectors_are_not_sent_to_all_tasks(spark, sf_dir):
+    plan = recall.tag_vectors(frames.tags(spark, sf_dir), frames.emb(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_tasks_of_an_expansion_are_cut_by_rows(spark):
+    tags = spark.createDataFrame([(k, "d", f"t{k % 3}") for k in range(300)], "chunk_id long, dim string, tag string")
+    found = spark.createDataFrame([(q, "d", f"t{t}", 1.0 - t / 10) for q in range(1000, 1700) for t in range(2)], "query_id long, dim string, tag string, score double")
+    got = recall.expand(found, tags, 40).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in got}) > 1
+    want = {(q, 3 * k, k + 1) for q in range(1000, 1700) for k in range(40)}
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in got} == want and len(got) == len(want)
