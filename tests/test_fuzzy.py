@@ -130,3 +130,22 @@ def test_blocks_of_a_list_and_no_rows_by_grams(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "CHARS", 1000)
     monkeypatch.setattr(fuzzy, "PAIRS", 5)
     assert sorted(map(tuple, fuzzy.near_pairs(rows).collect())) == sorted(want)
+
+
+def test_a_short_list_of_long_texts_is_dealt_in_blocks(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("eeettaaoinshrdlu  ") for _ in range(1500)) for _ in range(6)]
+    texts[4] = texts[1][:700] + "x" + texts[1][700:]
+    rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "_i long, _by long, _t string")
+    groups = []
+    plain = fuzzy.materialize
+
+    def seen(df, name="stage"):
+        out = plain(df, name)
+        if name == "sizes":
+            groups.extend(r._n for r in out.collect())
+        return out
+
+    monkeypatch.setattr(fuzzy, "materialize", seen)
+    monkeypatch.setattr(fuzzy, "CHARS", 3000)
+    assert [tuple(r) for r in fuzzy.near_pairs(rows).collect()] == [(1, 4)] and groups == [4]
