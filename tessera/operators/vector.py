@@ -18,6 +18,8 @@ from tessera.config import DEFAULT
 METRICS = ("cosine", "ip", "euclid")
 #: Blocks of queries that meet a block of rows in one task.
 DEALT = 32
+#: Products of two norms from which the cosine's 1e-8 changes no score by more than 1e-6; the share of pairs up to which pairs are looked at one by one.
+NORMS, FEW = 1e-2, 1 / 16
 
 
 def similarities(metric: str, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -35,9 +37,48 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+class Units:
+    """Vectors of length one in single precision: their products are cosines but for *margin*, at half the work."""
+
+    def __init__(self, vectors: np.ndarray):
+        norms = np.linalg.norm(vectors, axis=1)
+        self.least = norms.min(initial=np.inf) if np.isfinite(norms).all() else 0.0
+        self.units = (vectors / norms[:, None]).astype(np.float32) if self.least > 0 else None
+        # an entry is off by one part in 2**24, a product by three, and their sum by as many more as there are entries
+        self.margin = (2 * vectors.shape[1] + 8) * 2.0**-24
+
+    def near(self, rows: Units, least: np.ndarray, digits: int) -> np.ndarray | None:
+        """The pairs whose rounded cosine may be *least* or more, one number for each vector; None if that can't be said."""
+        if self.units is None or rows.units is None or not self.least * rows.least >= NORMS:
+            return None
+        bound = np.nextafter((least - self.margin - 2e-6 - 10.0**-digits).astype(np.float32), np.float32(-np.inf))
+        return self.units @ rows.units.T >= bound[:, None]
+
+
 def _partial(k: int, metric: str, digits: int, exclude_self: bool, same_group: bool, least: float | None):
     """The best *k* of some rows for each of a block of queries: (id, vec, grp) tables to (query_id, chunk_id, score)."""
 
+    def _pairs(maybe: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query by number, id, score) of the pairs that may come in, in full precision."""
+        q, j = np.nonzero(maybe)
+        if exclude_self:
+            q, j = q[ids[q] != own[j]], j[ids[q] != own[j]]
+        scores = np.empty(len(q))
+        for at in range(0, len(q), 8192):
+            a, b = vectors[q[at : at + 8192]], rows[j[at : at + 8192]]
+            scores[at : at + 8192] = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1) + 1e-8)
+        scores = np.round(scores, digits)
+        fits = np.isfinite(scores) if least is None else scores >= least
+        return q[fits], own[j[fits]], scores[fits]
+
+    def _merge(best_score: np.ndarray, best_id: np.ndarray, q: np.ndarray, found: np.ndarray, scores: np.ndarray) -> None:
+        new = np.unique(q)
+        q = np.concatenate([np.repeat(new, k), q])
+        scores, found = np.concatenate([best_score[new].ravel(), scores]), np.concatenate([best_id[new].ravel(), found])
+        order = np.lexsort((found, -scores, q))
+        order = order[(np.searchsorted(q[order], new)[:, None] + np.arange(k)).ravel()]  # each query has k at least
+        best_score[new], best_id[new] = scores[order].reshape(-1, k), found[order].reshape(-1, k)
+
     def best(queries: pa.Table, batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
         batches = iter(batches)
         first = next((b for b in batches if b.num_rows), None)
@@ -48,11 +89,16 @@ def _partial(k: int, metric: str, digits: int, exclude_self: bool, same_group: b
         vectors = _matrix(queries.column("vec").combine_chunks(), width)
         best_score = np.full((len(ids), k), -np.inf)
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
+        units = Units(vectors) if metric == "cosine" and not same_group else None
         for batch in itertools.chain([first], batches):
             own, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "grp"))
             rows = _matrix(batch.column("vec"), width)
             for at in range(0, len(own), 512):
                 part = slice(at, at + 512)
+                maybe = units.near(Units(rows[part]), best_score[:, -1], digits) if units else None
+                if maybe is not None and np.count_nonzero(maybe) <= FEW * maybe.size:
+                    _merge(best_score, best_id, *_pairs(maybe, vectors, ids, rows[part], own[part]))
+                    continue
                 scores = np.round(similarities(metric, vectors, rows[part]), digits)
                 if exclude_self:
                     scores[ids[:, None] == own[part][None, :]] = -np.inf
@@ -61,9 +107,12 @@ def _partial(k: int, metric: str, digits: int, exclude_self: bool, same_group: b
                 if least is not None:
                     scores[scores < least] = -np.inf
                 # only queries with a row that may come in are ranked anew
-                new = np.flatnonzero(((scores >= best_score[:, -1:]) & np.isfinite(scores)).any(axis=1))
-                if not len(new):
+                maybe = (scores >= best_score[:, -1:]) & np.isfinite(scores)
+                if np.count_nonzero(maybe) <= FEW * maybe.size:
+                    q, j = np.nonzero(maybe)
+                    _merge(best_score, best_id, q, own[part][j], scores[q, j])
                     continue
+                new = np.flatnonzero(maybe.any(axis=1))
                 scores = np.concatenate([best_score[new], scores[new]], axis=1)
                 every = np.concatenate([best_id[new], np.broadcast_to(own[part], (len(new), len(own[part])))], axis=1)
                 order = np.lexsort((every, -scores))[:, :k]

@@ -225,3 +225,23 @@ def test_tags_behind_a_full_one_are_not_joined(spark):
         want |= {(q, c, k) for k, (c, _) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20], 1)}
     got = recall.expand(spark.createDataFrame(found, "query_id long, dim string, tag string, score double"), tags, 20)
     assert {(r.query_id, r.chunk_id, r["rank"]) for r in got.collect()} == want
+
+
+def test_few_pairs_are_compared_in_full_precision(monkeypatch):
+    """The search of many queries reads most pairs in single precision only, with the same rows, ties and copies as in full."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    vec = rng.normal(size=(4096, 24))
+    vec[500:600] = vec[:100]
+    vec[900] = -vec[3]
+    rows = pa.table({"id": pa.array(range(4096)), "vec": pa.array(list(vec), pa.list_(pa.float64())), "grp": pa.array([0] * 4096)})
+    asked = rows.take(pa.array(range(0, 4096, 20)))
+    full, plain = [], vector.similarities
+    monkeypatch.setattr(vector, "similarities", lambda m, q, r: full.append(len(q) * len(r)) or plain(m, q, r))
+    got = vector._partial(5, "cosine", 6, True, False, None)(asked, rows.to_batches(1000)).to_pylist()
+    assert sum(full) < 0.5 * asked.num_rows * rows.num_rows
+    scores = np.round(plain("cosine", vec[::20], vec), 6)
+    want = {(q * 20, c) for q in range(len(scores)) for c in sorted((c for c in range(4096) if c != q * 20), key=lambda c: (-scores[q, c], c))[:5]}
+    assert {(r["query_id"], r["chunk_id"]) for r in got} == want
