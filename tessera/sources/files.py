@@ -79,10 +79,15 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return df.select(q.alias("question"), first_of(df, ["answer", "reference_answer", "output", "答案"]).alias("answer")).filter("question IS NOT NULL")
 
 
-def flatten(subfiles: DataFrame) -> DataFrame:
-    """(chunk_id, chunk_text, chunk_len, place) of rows (doc_id, chunks ARRAY<STRUCT<chunk_text, chunk_len>>)."""
+def flatten(subfiles: DataFrame, chunk_id: Column | None = None) -> DataFrame:
+    """(chunk_id, chunk_text, chunk_len, place) of rows (doc_id, chunks ARRAY<STRUCT<chunk_text, chunk_len>>).
+
+    *chunk_id* is a column of doc_id and place; else the place has three digits at least.
+    """
     each = subfiles.select("doc_id", F.posexplode("chunks").alias("place", "c"))
-    return each.select(F.format_string("%s_sub_%03d", F.col("doc_id").cast("string"), "place").alias("chunk_id"), "c.chunk_text", "c.chunk_len", "place")
+    if chunk_id is None:
+        chunk_id = F.format_string("%s_sub_%03d", F.col("doc_id").cast("string"), "place")
+    return each.select(chunk_id.alias("chunk_id"), "c.chunk_text", "c.chunk_len", "place")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
